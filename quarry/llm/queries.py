@@ -76,3 +76,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_language_id, op5_mixing, op6_secrets, op7_fingerprints, op8_chat, op10_toxicity)}
+ORACLE: dict[str, str] = {}
