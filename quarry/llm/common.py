@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +55,51 @@ def below(fraction: float, seed: int, *columns: str) -> Column:
 def widened(df: DataFrame, ddl: str) -> StructType:
     """`df`'s schema with the columns of `ddl` added; the frame's own schema object stays as it is."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+class KeyFilter:
+    """A bitmap of the low bits of many 64-bit keys, of bounded size (at most MOST_BITS): to pass over rows that surely don't matter.
+
+    It lets all keys through that it was made of, and some others; an exact join has to follow. Built by partial
+    aggregation in the cluster; the driver gets the bitmap alone.
+    """
+
+    MOST_BITS = 1 << 27
+
+    def __init__(self, keys: DataFrame):
+        column, page = keys.columns[0], 1 << 15
+        wanted = 16 * max(1, keys.count())
+        self.bits = min(self.MOST_BITS, max(page, 1 << (wanted - 1).bit_length()))
+        place = F.pmod(F.col(column), F.lit(self.bits))
+        pages = keys.filter(F.col(column).isNotNull()).select(F.floor(place / page).cast("long").alias("page"), (place % page).alias("bit"))
+        raw = np.zeros(self.bits // 8, np.uint8)
+        for r in pages.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("map")).collect():
+            raw[r["page"] * page // 8 : (r["page"] + 1) * page // 8] = np.frombuffer(r["map"], np.uint8)
+        self.raw = raw
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the int64 keys may be among those that the filter was made of."""
+        place = keys & np.int64(self.bits - 1)
+        return (self.raw[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component) for all nodes of the (u, v) edges; component is the smallest node reachable.
+
+    Alternating large-star and small-star steps, each cut, until nothing changes: logarithmically many rounds, no state on the
+    driver but a count and a checksum. Joins are equi-joins on nodes, whose skew adaptive execution can split.
+    """
+    edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    seen = None
+    for _ in range(rounds):
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(small.unionByName(lowest.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now == seen:
+            break
+        seen = now
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

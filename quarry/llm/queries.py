@@ -14,6 +14,7 @@ from .decontaminate import items_digest, match_benchmark
 from .fingerprint import compare_with_next
 from .langid import fit_languages, predict_languages
 from .mixing import mix_sources
+from .neardup import near_duplicates
 from .secrets import findings_of, scan_secrets, spans_digest, spans_text, train
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -67,6 +68,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(turns.unionByName(more)))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, percent=85).drop("rkey")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(F.pmod(id_crc(), F.lit(5)) == 0, F.lit(False))
@@ -75,5 +80,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_language_id, op5_mixing, op6_secrets, op7_fingerprints, op8_chat, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_language_id, op5_mixing, op6_secrets, op7_fingerprints, op8_chat, op9_near_dedup, op10_toxicity)}
 ORACLE: dict[str, str] = {}

@@ -1,6 +1,7 @@
 """Operator 10: toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A text's features are the distinct hashes of its words, word pairs and pairs with one or two words between, in DIMS buckets.
+A text's features are the distinct hashes of its words, their beginnings (PREFIXES bytes: inflected forms share them), word
+pairs and pairs with one or two words between, in DIMS buckets.
 FTRL-proximal keeps a learning rate for each coordinate and an L1 term that leaves most weights at exactly 0; the surviving
 weights (float32, DIMS of them at most: 4 MB) are broadcast and texts are scored where they lie, without a shuffle.
 
@@ -19,6 +20,7 @@ from .common import below, map_arrow, widened
 from .textvec import SYMBOLS, chunks, mix, word_hashes, words
 
 DIMS = 1 << 20
+PREFIXES = (4, 5, 6)
 #: Most documents of each class that a model is fitted on, and passes over them.
 PER_CLASS, EPOCHS = 5000, 3
 _gaps = [np.uint64(x | 1) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)]
@@ -29,6 +31,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends, first = words(data, offsets, SYMBOLS)
     h, row = word_hashes(data, starts, ends, SYMBOLS), np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
     parts, rows = [h], [row]
+    for k in PREFIXES:
+        longer = np.flatnonzero(ends - starts > k)
+        parts.append(word_hashes(data, starts[longer], starts[longer] + k, SYMBOLS) * np.uint64(2 * k + 1))
+        rows.append(row[longer])
     for gap, salt in enumerate(_gaps, 1):
         same = row[gap:] == row[:-gap]
         parts.append(mix(h[:-gap] * salt + h[gap:])[same])
@@ -36,7 +42,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(parts) % np.uint64(DIMS)).astype(np.int32), np.concatenate(rows)
 
 
-def fit_ftrl(examples: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, alpha: float = 0.15, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = EPOCHS, seed: int = 1) -> tuple[np.ndarray, float]:
+def fit_ftrl(examples: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0, epochs: int = EPOCHS, seed: int = 1) -> tuple[np.ndarray, float]:
     """Weights and bias. Per-coordinate FTRL-proximal; the bias is a coordinate without L1."""
     z, n = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
     order = np.random.Generator(np.random.PCG64(seed))
