@@ -14,6 +14,7 @@ from .decontaminate import items_digest, match_benchmark
 from .fingerprint import compare_with_next
 from .langid import fit_languages, predict_languages
 from .mixing import mix_sources
+from .oracle import ORACLE  # noqa: F401
 from .neardup import near_duplicates
 from .secrets import findings_of, scan_secrets, spans_digest, spans_text, train
 from .suffixdedup import remove_repeats
@@ -31,7 +32,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         return batch.append_column("items_sha256", pa.array(items_digest(batch.column("items")), pa.string()))
 
     digested = map_arrow(matched.drop("text", "spans"), each, widened(matched.drop("text", "spans"), "items_sha256 string"))
-    return digested.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "longest")
+    return digested.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +89,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_language_id, op5_mixing, op6_secrets, op7_fingerprints, op8_chat, op9_near_dedup, op10_toxicity)}
-ORACLE: dict[str, str] = {}
