@@ -174,7 +174,7 @@ def session_windows(spark, sf_dir):
 def csv_roundtrip(spark, sf_dir):
     path = _scratch(spark)
     sinks.write_results_csv(table(spark, sf_dir, "nation"), path, "n_nationkey")
-    return readers.read_csv(spark, path, {"n_name": "string", "n_nationkey": "long", "n_regionkey": "long"})
+    return readers.read_csv(spark, path, {"n_name": "string", "n_nationkey": "int", "n_regionkey": "int"})
 
 
 @query("SELECT r_regionkey, r_name FROM region")
