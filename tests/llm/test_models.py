@@ -1,0 +1,111 @@
+"""Operators with models: held-out accuracy, base findings against brute force, awkward rows, empty tables."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+
+from pyspark.sql import functions as F
+
+from quarry.llm.langid import UNDETERMINED, fit_languages, predict_languages
+from quarry.llm.queries import QUERIES
+from quarry.llm.secrets import KINDS, base_spans, findings_of, redact, scan_secrets, spans_text, train
+from quarry.llm.toxicity import DIMS, fit_toxicity, score_toxicity
+
+from .conftest import AWKWARD
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_language_id_held_out(spark):
+    got = QUERIES["op3_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = got.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.min("score"), F.max("score")).first()
+    assert held[0] > 0.97 and 0 <= held[1] <= held[2] <= 1
+
+
+def test_language_id_rows(spark, make):
+    docs = make([(k, ("the cat and the dog " if k % 2 else "le chat et le chien ") * 5, "en" if k % 2 else "fr") for k in range(40)] + [(100, "what", None)])
+    model = fit_languages(docs)
+    assert model.languages == ["en", "fr"] and len(model.families) == 2 and not model.pairs
+    found = {r["doc_id"]: r["lang_pred"] for r in predict_languages(make([(r[0], r[1]) for r in AWKWARD]), model).collect()}
+    assert found[1] == found[2] == found[3] == found[4] == UNDETERMINED and found[5] in ("en", "fr")
+    assert fit_languages(docs.filter("lang is null")) is None
+    assert {r["lang_pred"] for r in predict_languages(docs, None).collect()} == {UNDETERMINED}
+    assert predict_languages(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    got = QUERIES["op10_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").select("score", "toxic").toPandas()
+    order = got["score"].rank()
+    n = got["toxic"].sum()
+    auc = (order[got["toxic"] == 1].sum() - n * (n + 1) / 2) / (n * (len(got) - n))
+    assert auc > 0.95
+    predicted = got["score"] >= 0.5
+    assert (predicted & (got["toxic"] == 1)).sum() > 0.75 * n and (predicted & (got["toxic"] == 0)).sum() < 0.02 * len(got)
+
+
+def test_toxicity_rows(spark, make):
+    rng = random.Random(2)
+    rows = [(k, " ".join([rng.choice(["fine", "good", "calm"]) for _ in range(12)] + (["idiot"] if k % 4 == 0 else []))) for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0), "x") for k in range(200)] + [(None, 1, "x"), (5000, None, "x"), (3, 0, "x")], "doc_id long, toxic int, text string")
+    model = fit_toxicity(make(rows), labels)
+    scored = {r["doc_id"]: r["score"] for r in score_toxicity(make([(900, "an IDIOT"), (901, "good calm"), (902, None), (903, "")]), model).collect()}
+    assert scored[900] > 0.5 > scored[901] and scored[902] == scored[903]
+    assert score_toxicity(make([(r[0], r[1]) for r in AWKWARD]), model).count() == len(AWKWARD)
+    one = fit_toxicity(make(rows), labels.filter("toxic = 0"))
+    assert not one[0].any() and len(one[0]) == DIMS and one[1] < 0
+    assert fit_toxicity(make(rows), labels.limit(0))[1] == 0.0
+
+
+ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def brute_spans(t):
+    found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    found += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    found += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
+
+
+def secret_texts():
+    rng = random.Random(4)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    out = []
+    for k in range(400):
+        words = [rng.choice(["alpha", "beta", "gamma", "é🙂", "mail42@example.com", "4111111111111111", "to-ken"]) for _ in range(12)]
+        if k % 3 == 0:
+            words.insert(rng.randrange(12), rng.choice(['token = "%s"', "API_KEY:%s", "passwd=%s", "ſecret=%s", "%s"]) % hexes(rng.choice([4, 5, 6, 24, 40])))
+        if k % 7 == 0:
+            words.insert(3, "AKIA" + "".join(rng.choice("ABCDEF0123") for _ in range(rng.choice([10, 16, 20]))))
+        out.append((k, " ".join(words)))
+    return out
+
+
+def test_secret_spans(spark, make):
+    rows = secret_texts() + [(900 + (r[0] or 0), r[1]) for r in AWKWARD]
+    docs = make(rows)
+    for _, t in rows:
+        assert base_spans(t or "") == brute_spans(t or "")
+    net = train(findings_of(docs))
+    assert net is not None and 0.5 <= net.threshold <= 1
+    fresh = [(f"zq {''.join(random.Random(k).choice('0123456789abcdef') for _ in range(20))} zq", 1) for k in range(30)] + [("zq mail42@example.com 4111111111111111 zq", 0)] * 5
+    scanned = scan_secrets(make([(k, t) for k, (t, _) in enumerate(fresh)]), net).orderBy("doc_id").collect()
+    hits = [any(s["kind"] == "cnn" for s in r["spans"]) for r in scanned]
+    assert np.mean(hits[:30]) > 0.25 and not any(hits[30:])
+    again = Counter((r["doc_id"], spans_text([s.asDict() for s in r["spans"]], KINDS[:3])) for r in scan_secrets(docs, net).collect())
+    assert again == Counter((i, ",".join(f"{k}:{a}:{b}" for a, b, k in brute_spans(t or ""))) for i, t in rows)
+    clean = {r["doc_id"]: r["text"] for r in redact(scan_secrets(make([(1, "x token=abcdef123 y"), (2, "nothing here"), (3, None)]), net)).collect()}
+    assert clean == {1: "x [SECRET] y", 2: "nothing here", 3: None}
+    assert scan_secrets(docs.limit(0), net).count() == 0 and train([]) is None and findings_of(docs.limit(0)) == []
+
+
+def test_secret_digest(spark):
+    got = QUERIES["op6_secrets"](spark, "/root/testdata/sf0.001").collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in got:
+        base = brute_spans(texts[r["doc_id"]] or "")
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for _, _, k in base) for x in KINDS[:3])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest()
