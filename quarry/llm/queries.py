@@ -18,6 +18,7 @@ from .oracle import ORACLE  # noqa: F401
 from .neardup import near_duplicates
 from .secrets import findings_of, scan_secrets, spans_digest, spans_text, train
 from .suffixdedup import remove_repeats
+from .tokencount import count_tokens
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -48,6 +49,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -88,4 +93,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_language_id, op5_mixing, op6_secrets, op7_fingerprints, op8_chat, op9_near_dedup, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_language_id, op4_token_counts, op5_mixing, op6_secrets, op7_fingerprints, op8_chat, op9_near_dedup, op10_toxicity)}

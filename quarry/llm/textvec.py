@@ -27,7 +27,7 @@ def lookup(separators: str, lower: bool = True) -> np.ndarray:
     table = np.arange(256, dtype=np.uint8)
     if lower:
         table[65:91] += 32
-    table[0] = 1  # a NUL is an ordinary byte unless named below
+    table[0] = 255  # a NUL is an ordinary byte unless named below; no UTF-8 text has a byte 255
     for c in separators:
         table[ord(c)] = 0
     return table

@@ -19,6 +19,8 @@ from quarry.llm.oracle import ORACLE
 from quarry.llm.queries import QUERIES
 from quarry.llm.suffixdedup import common, deep_shallow, remove_repeats, repeated_offsets
 
+from quarry.llm.tokencount import MARK, Unigram, count_tokens, _model
+
 from .conftest import AWKWARD
 
 SYMBOLS, BLANKS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"), re.compile(r"[^\x20\x09-\x0D]+")
@@ -215,3 +217,32 @@ def test_chat(spark):
         assert got[key]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
         assert (got[key]["loss_chars"], got[key]["loss_sha256"]) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
     assert format_chats(df.limit(0)).count() == 0
+
+
+def brute_count(model, text):
+    """Tokens of the best segmentation of one pre-token, without sharing anything."""
+    best = [(0.0, 0)] + [None] * len(text)
+    for end in range(1, len(text) + 1):
+        n = len(text[end - 1].encode())
+        options = [(best[end - 1][0] + n * model.byte, best[end - 1][1] - n)]
+        options += [(best[s][0] + model.pieces[text[s:end]], best[s][1] - 1) for s in range(end) if text[s:end] in model.pieces]
+        best[end] = max(options)
+    return -best[-1][1]
+
+
+@given(st.lists(st.text("abc", min_size=1, max_size=12), min_size=1, max_size=20, unique=True))
+@settings(max_examples=100, deadline=None)
+def test_trie_counts(texts):
+    model = Unigram.of(["a", "b", "ab", "abc", "bca", "aa", "cab", "abcabc"])
+    assert model.counts(texts) == [brute_count(model, t) for t in texts]
+
+
+def test_token_counts(spark, make):
+    with open("/opt/tokenizers/piece_bpe_32k.model", "rb") as f:
+        model = _model(f.read())
+    rows = [(r[0], r[1]) for r in AWKWARD] + [(30, "The quick brown fox, über den \u4e2d\u6587 Zaun! " + "x" * 300), (31, "the THE The")]
+    got = Counter((r["doc_id"], r["n_pretokens"], r["n_tokens"]) for r in count_tokens(make(rows)).collect())
+    known = {}
+    count = lambda w: known.setdefault(w, brute_count(model, MARK + w))
+    assert got == Counter((i, len(BLANKS.findall(t or "")), sum(map(count, BLANKS.findall(t or "")))) for i, t in rows)
+    assert count_tokens(make([])).count() == 0
