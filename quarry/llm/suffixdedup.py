@@ -225,8 +225,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         found = [Anchors(data, at, length, anchor).kmer.view(np.int64) for _, _, data, at in chunks(batch.column("text"))]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["key"])
 
-    often = map_arrow(keyed.select("text"), kmers, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    twice = context.broadcast(KeyFilter(cut(often.select("key"))))
+    # cut, so that texts are read once for it, and so that the join below deals both sides anew and can split a frequent key
+    often = cut(map_arrow(keyed.select("text"), kmers, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    twice = context.broadcast(KeyFilter(often))
 
     def rows(batch: pa.RecordBatch, wanted=None) -> pa.RecordBatch:
         rid, out, texts = batch.column("rid").to_numpy(), [], []
@@ -245,7 +246,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         more = ([pa.array(texts, pa.binary())], ["context"]) if wanted is not None else ([], [])
         return pa.RecordBatch.from_arrays([*(pa.array(c) for c in table), *more[0]], [*names, *more[1]])
 
-    placed = cut(map_arrow(keyed, rows, SCHEMA).join(often.select("key"), "key", "left_semi"))
+    placed = cut(map_arrow(keyed, rows, SCHEMA).join(often, "key", "left_semi"))
     whole, reps = classes(placed, ["lo", "hi", "off"])
     results = [whole]
     reps = cut(reps)
