@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -13,6 +14,7 @@ from pyspark.sql.types import StructType
 
 #: Rows in an Arrow batch; a worker holds one batch at a time, so its memory is about this many texts.
 BATCH_ROWS = 1000
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -30,17 +32,31 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow over slices of at most `rows` rows, so that a worker's scratch memory doesn't follow Spark's batch size."""
+    """mapInArrow over slices of at most `rows` rows, so that a worker's scratch memory doesn't follow Spark's batch size.
+
+    A session that leaves Spark's batch size at its default (10,000 rows) gets BATCH_ROWS: batches of texts are large.
+    """
+    if df.sparkSession.conf.get(_BATCHES) == "10000":
+        df.sparkSession.conf.set(_BATCHES, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 if (out := each(batch.slice(at, rows))) is not None:
                     yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on between stages, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def id_crc(column: str = "doc_id") -> Column:
     """crc32 of an id written as text; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
@@ -83,13 +99,39 @@ class KeyFilter:
         return (self.raw[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
+#: Edges up to which one task finds the components (16 bytes each), rather than rounds of joins.
+SMALL_EDGES = 1 << 20
+
+
+def _components_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges of one task: roots are hooked on smaller ones and paths halved until nothing changes."""
+    seen = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    nodes, ends = np.unique(np.concatenate([x for pair in seen for x in pair] or [np.zeros(0, np.int64)]), return_inverse=True)
+    cuts = np.cumsum([0, *(len(x) for pair in seen for x in pair)])
+    u, v = (np.concatenate([ends[cuts[k] : cuts[k + 1]] for k in range(side, 2 * len(seen), 2)] or [ends]) for side in (0, 1))
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], least)
+        np.minimum.at(new, label[v], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for all nodes of the (u, v) edges; component is the smallest node reachable.
 
-    Alternating large-star and small-star steps, each cut, until nothing changes: logarithmically many rounds, no state on the
-    driver but a count and a checksum. Joins are equi-joins on nodes, whose skew adaptive execution can split.
+    Up to SMALL_EDGES edges go to one task. More take alternating large-star and small-star steps, each cut, until nothing changes:
+    logarithmically many rounds, no state on the driver but a count and a checksum. Joins are equi-joins on nodes, whose skew
+    adaptive execution can split.
     """
     edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if edges.count() <= SMALL_EDGES:
+        return edges.repartition(1).mapInArrow(_components_of, "node long, component long")
     seen = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -181,7 +181,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None) -> DataFrame
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         m, names, scores = shared.value, [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
         texts = batch.column("text")
-        for lo, hi, data, at in chunks(texts, 1 << 20) if m is not None else ():
+        for lo, hi, data, at in chunks(texts) if m is not None else ():
             letters = np.concatenate([[0], np.cumsum((_table[data] >= 97) & (data < 128))])
             full = letters[at[1:]] > letters[at[:-1]]
             for r in np.flatnonzero(~full & (at[1:] > at[:-1])):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import KeyFilter, connected_components, cut, map_arrow
+from .common import KeyFilter, connected_components, cut, give_back, map_arrow
 from .textvec import BLANKS, chunks, mix, word_hashes, words
 
 COORDINATES = 32
@@ -125,6 +125,7 @@ def grouped(df: DataFrame, key: str, each: Callable[[pa.Table], pa.RecordBatch |
                 last = keys[a]
         if held and (out := each(pa.Table.from_batches(held))) is not None:
             yield out
+        give_back()
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(parts, key).sortWithinPartitions(key).mapInArrow(run, schema)
@@ -186,13 +187,14 @@ def candidate_families(reps: DataFrame, matches: int, coordinates: int = COORDIN
     """(node, component) of nodes whose signatures collide often enough, and (node, central): how common a node's values are."""
     prefix = coordinates - matches + 1
     posted = reps.select("node", F.explode("sig").alias("value"))
-    often = posted.groupBy("value").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    # cut, here and below, so that a join deals both of its sides anew: adaptive execution can then split a frequent value
+    often = cut(posted.groupBy("value").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
     shared = posted.join(often, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("values"))
     # values that this node alone has come first in its prefix, and needn't be posted
     shared = shared.withColumn("left", F.lit(prefix - coordinates) + F.size("values")).filter("left > 0")
     shared = cut(shared.select("node", F.slice("values", F.lit(1), F.col("left")).alias("values"), F.aggregate("values", F.lit(0).cast("long"), lambda s, x: s + x["often"]).alias("central")))
     lists = shared.select("node", F.explode("values").alias("x")).select("node", "x.value", "x.often")
-    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("posted"), F.min("node").alias("least")).filter("posted > 1")
+    sizes = cut(lists.groupBy("value").agg(F.count(F.lit(1)).alias("posted"), F.min("node").alias("least")).filter("posted > 1"))
     lists = lists.select("node", "value").join(sizes, "value")
     whole = lists.filter(F.col("posted") > BLOCK).select(F.col("node").alias("u"), F.col("least").alias("v"))
     signed = lists.filter(F.col("posted") <= BLOCK).select("node", "value").join(reps.select("node", "sig"), "node")
@@ -283,11 +285,13 @@ def large_family_links(full: DataFrame, central: DataFrame, percent: int) -> Dat
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` without near-duplicates: of each component the row of the smallest id stays, once; rows without shingles all stay."""
-    found = near_duplicates(docs, shingle, percent)
-    drop = cut(found.filter(~F.col("kept")).select("rkey").distinct())
-    wanted = KeyFilter(drop)
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    """`docs` without near-duplicates: of each component the row of the smallest id stays, once if it is repeated; rows without
+    shingles all stay."""
+    found = cut(near_duplicates(docs, shingle, percent).select("rkey", "kept", (F.col("n_shingles") > 0).alias("full")))
+    drop = found.filter(~F.col("kept")).select("rkey").distinct()
+    again = found.filter("kept and full").groupBy("rkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rkey", F.lit(-1).cast("long").alias("one"))
+    touched = cut(drop.withColumn("one", F.lit(None).cast("long")).unionByName(again))
+    shared = docs.sparkSession.sparkContext.broadcast(KeyFilter(touched.select("rkey")))
     columns = docs.columns
 
     def clear(batch: pa.RecordBatch, inside: bool) -> pa.RecordBatch:
@@ -295,5 +299,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
 
     keyed = docs.withColumn("rkey", F.xxhash64("doc_id", "text"))
     sure = map_arrow(keyed, lambda b: clear(b, False), docs.schema)
-    rest = map_arrow(keyed, lambda b: clear(b, True), keyed.schema).join(drop, "rkey", "left_anti").select(*columns)
-    return sure.unionByName(rest)
+    rest = map_arrow(keyed, lambda b: clear(b, True), keyed.schema).join(touched.filter("one is null").select("rkey"), "rkey", "left_anti")
+    # a repeated row is kept once; other rows that the filter let through have a number of their own
+    rest = rest.join(touched.filter("one is not null"), "rkey", "left").withColumn("one", F.coalesce("one", F.monotonically_increasing_id()))
+    return sure.unionByName(rest.dropDuplicates(["rkey", "one"]).select(*columns))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240521))
 #: A random 64-bit value for each byte, and an odd base of the polynomial hash with its inverse modulo 2**64.

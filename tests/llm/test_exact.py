@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quarry.llm import common as shared_parts
 from quarry.llm.chat import MARKS, chat_digests, escape, format_chats, unescape
 from quarry.llm.decontaminate import match_benchmark, remove_matches
 from quarry.llm.fingerprint import compare_with_next, edited, fingerprints
@@ -154,7 +155,8 @@ def test_near_duplicates(spark, make, block, monkeypatch):
     assert near_duplicates(make([])).count() == 0
     kept = keep_one(make(rows), 3, 85)
     assert kept.columns == make(rows).columns
-    assert {r["doc_id"] for r in kept.collect()} - {None} == {i for i, _, c in got if i == c and i is not None}
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert set(ids) - {None} == {i for i, _, c in got if i == c and i is not None} and ids.count(6) == 1
 
 
 def test_matches_asked_for():
@@ -246,3 +248,19 @@ def test_token_counts(spark, make):
     count = lambda w: known.setdefault(w, brute_count(model, MARK + w))
     assert got == Counter((i, len(BLANKS.findall(t or "")), sum(map(count, BLANKS.findall(t or "")))) for i, t in rows)
     assert count_tokens(make([])).count() == 0
+
+
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_components(spark, small, monkeypatch):
+    monkeypatch.setattr(shared_parts, "SMALL_EDGES", small)
+    rng = random.Random(8)
+    edges = [(k, k + 1) for k in range(100, 140)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)] + [(5, 5)]
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    label.pop(5)
+    got = shared_parts.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+    own = {x for a, b in edges if a != b for x in (a, b)}
+    assert {r["node"]: r["component"] for r in got} == {x: label[x] for x in own} and len(got) == len(own)
+    assert shared_parts.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
