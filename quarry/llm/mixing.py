@@ -13,14 +13,16 @@ ordered is the one in which a source's quota ends. Plans over sources hold a row
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Rows that a bucket of the seeded order should hold, about; and sources up to which a plan is broadcast (some 100 bytes each).
-BUCKET_ROWS, BROADCAST_SOURCES = 20_000, 100_000
+#: Rows up to which a plan (of sources, or of their buckets) is broadcast: some 100 bytes each.
+BROADCAST_ROWS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -82,7 +84,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
     rows = cut(rows)
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     largest, n_sources = per_source.agg(F.max("n_rows"), F.count(F.lit(1))).first()
-    digits = max(1, min(7, len(f"{(largest or 0) // BUCKET_ROWS:x}")))
+    # about as many buckets as rows in each, for the largest source: neither grows faster than the root of the rows
+    digits = max(1, round(math.log((largest or 1) ** 0.5, 16)))
     plan = source_quotas(source_targets(per_source.select("source", "source_size"), weights, max_epochs), shards, blocks)
     take = F.least(F.col("quota_tokens"), F.col("source_size") * max_epochs)
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(take / F.col("source_size"))).otherwise(0).cast("long")).withColumn("rest", (take - F.col("epochs") * F.col("source_size")).cast("long"))
@@ -90,10 +93,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "bucket_size", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("before"))
-    small = F.broadcast if n_sources <= BROADCAST_SOURCES else (lambda df: df)
+    small = F.broadcast if n_sources <= BROADCAST_ROWS else (lambda df: df)
     placed = sums.join(small(plan), F.col("b_source").eqNullSafe(F.col("source")))
     buckets = placed.drop("source").withColumn("cut", (F.col("before") < F.col("rest")) & (F.col("rest") < F.col("before") + F.col("bucket_size")))
-    each = rows.join(small(buckets) if n_sources * 16**digits <= BROADCAST_SOURCES else buckets, rows.source.eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
+    each = rows.join(small(buckets) if n_sources * 16**digits <= BROADCAST_ROWS else buckets, rows.source.eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
     within = W.partitionBy("source", "bucket").orderBy("rank", F.col("doc_id").isNull(), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     split = each.filter("cut").withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     whole = each.filter("not cut").withColumn("start", F.col("before"))
