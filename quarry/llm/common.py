@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -26,8 +27,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df`, written once to the shared checkpoint folder. Survives lost executors, unlike a local checkpoint."""
+    """`df`, written once to the shared checkpoint folder. Survives lost executors, unlike a local checkpoint.
+
+    Plans that nothing refers to any more are let go first: a long job's driver would gather them otherwise.
+    """
     checkpoint_dir(df.sparkSession)
+    gc.collect()
+    give_back()
     return df.checkpoint()
 
 
