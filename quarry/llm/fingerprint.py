@@ -82,20 +82,30 @@ def with_next(docs: DataFrame, order: str = "doc_id", text: str = "text", parts:
     rows = docs.select(F.col(order).alias("id"), F.col(text).alias("text"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     quantiles = rows.filter("id is not null").select(F.percentile_approx("id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else None
-    bounds = sorted({int(x) for x in quantiles or ()})
-    part = F.when(F.col("id").isNull(), F.lit(len(bounds)))
-    for i, bound in enumerate(bounds):
-        part = part.when(F.col("id") <= F.lit(bound), F.lit(i))
-    rows = rows.withColumn("part", part.otherwise(F.lit(len(bounds))).cast("int"))
+    bounds = np.array(sorted({int(x) for x in quantiles or ()}), np.int64)
+
+    def part_of(ids: pa.Array) -> np.ndarray:
+        """The part of each id: the first whose bound isn't below it; nulls are in the last one."""
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), len(bounds), np.searchsorted(bounds, ids.fill_null(0).to_numpy()))
+
+    def parts_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(part_of(batch.column("id")), pa.int32())], ["id", "part"])
+
+    kind = rows.schema["id"].dataType.simpleString()
     # One (part, first id) for each part: where a part holds null ids alone, its first id is null.
-    firsts = sorted(rows.groupBy("part").agg(F.min("id").alias("id")).collect(), key=lambda r: r["part"])
-    heads = [(r["part"], r["id"], firsts[i - 1]["part"]) for i, r in enumerate(firsts)]
-    copies = F.lit(None).cast("int")
-    for own, first, to in heads:
-        copies = F.when((F.col("part") == own) & F.col("id").eqNullSafe(F.lit(first).cast(rows.schema["id"].dataType)), F.lit(to)).otherwise(copies)
-    rows = rows.withColumn("copy_to", copies)
-    dealt = rows.select("id", "text", F.explode(F.when(F.col("copy_to").isNull(), F.array(F.struct("part", F.lit(0).alias("is_copy")))).otherwise(F.array(F.struct("part", F.lit(0).alias("is_copy")), F.struct(F.col("copy_to").alias("part"), F.lit(1).alias("is_copy"))))).alias("x"))
-    dealt = dealt.select("id", "text", "x.part", "x.is_copy")
+    firsts = sorted(map_arrow(rows.select("id"), parts_of, f"id {kind}, part int").groupBy("part").agg(F.min("id").alias("id")).collect(), key=lambda r: r["part"])
+    heads = {r["id"]: firsts[i - 1]["part"] for i, r in enumerate(firsts)}
+
+    def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, part = batch.column("id"), part_of(batch.column("id"))
+        first = [i for i, v in enumerate(ids.to_pylist()) if v in heads]
+        rows = np.concatenate([np.arange(len(part)), np.array(first, np.int64)])
+        to = np.concatenate([part, np.array([heads[ids[i].as_py()] for i in first], np.int64)])
+        copy = np.concatenate([np.zeros(len(part), np.int32), np.ones(len(first), np.int32)])
+        taken = pa.array(rows)
+        return pa.RecordBatch.from_arrays([ids.take(taken), batch.column("text").take(taken), pa.array(to, pa.int32()), pa.array(copy)], ["id", "text", "part", "is_copy"])
+
+    dealt = map_arrow(rows, deal, f"id {kind}, text string, part int, is_copy int")
     return dealt.repartition(parts, "part").sortWithinPartitions("part", "is_copy", F.col("id").isNull(), "id", "text")
 
 
