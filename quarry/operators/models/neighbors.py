@@ -17,19 +17,29 @@ from ..stats import majority
 
 BROADCAST_BYTES = 64 << 20
 QUERY_BLOCK = 4096
+#: Rows whose distances to a query are computed directly at once.
+PIECE = 8192
 
 
 def _nearest(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each query the places and distances of its k nearest rows, ties by id.
 
-    Candidates come from a matrix product; they are ranked by distances computed directly.
+    Candidates come from a matrix product: all rows up to the k-th rough distance plus a bound of both roundings, so that no tie
+    is lost. They are ranked by distances computed directly.
     """
-    k, more = min(k, len(rows)), min(len(rows), k + 16)
-    rough = (rows * rows).sum(1) - 2 * queries @ rows.T
-    pick = np.argpartition(rough, more - 1, axis=1)[:, :more]
-    true = np.sqrt(((queries[:, None, :] - rows[pick]) ** 2).sum(2))
-    order = np.lexsort((ids[pick], true), axis=1)[:, :k]
-    return np.take_along_axis(pick, order, 1), np.take_along_axis(true, order, 1)
+    k = min(k, len(rows))
+    squares = (rows * rows).sum(1)
+    rough = squares - 2 * queries @ rows.T
+    reach = (np.sqrt((queries * queries).sum(1)) + np.sqrt(squares.max())) ** 2
+    most = np.partition(rough, k - 1, axis=1)[:, k - 1] + 16 * (rows.shape[1] + 4) * np.finfo(float).eps * reach
+    place, far = np.empty((len(queries), k), np.int64), np.empty((len(queries), k))
+    for q, query in enumerate(queries):
+        pick = np.flatnonzero(~(rough[q] > most[q]))  # what isn't comparable stays
+        true = np.concatenate([np.sqrt(((rows[pick[at : at + PIECE]] - query) ** 2).sum(1)) for at in range(0, len(pick), PIECE)])
+        kept = np.flatnonzero(~(true > np.partition(true, k - 1)[k - 1]))
+        order = kept[np.lexsort((ids[pick[kept]], true[kept]))[:k]]
+        place[q], far[q] = pick[order], true[order]
+    return place, far
 
 
 def nearest(test: DataFrame, train: DataFrame, k: int) -> DataFrame:

@@ -98,6 +98,20 @@ def test_neighbors(spark, monkeypatch):
         neighbors.nearest(ask, train, 0)
 
 
+def test_neighbors_tied(spark, monkeypatch):
+    """More equal training rows than any margin of candidates, and near ties that a rough distance can't order."""
+    n = 1000
+    order = np.random.default_rng(3).permutation(n)
+    train = spark.createDataFrame([(int(i), [1.0, 2.0], 0.0 if i < 5 else 1.0) for i in order], "row_id long, x array<double>, y double")
+    ask = rows(spark, [(1.0, 2.5)])
+    near = spark.createDataFrame([(i, [1e6, 1e-3 * (40 - i)], float(i)) for i in range(40)], "row_id long, x array<double>, y double")
+    for limit in (neighbors.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(neighbors, "BROADCAST_BYTES", limit)
+        assert sorted((r["rank"], r["neighbor"]) for r in neighbors.nearest(ask, train, 5).collect()) == [(k + 1, k) for k in range(5)]
+        assert [r["y"] for r in neighbors.knn_predict(ask, train, 5).collect()] == [0.0]
+        assert [r["neighbor"] for r in neighbors.nearest(rows(spark, [(1e6, 0.0)]), near, 3).orderBy("rank").collect()] == [39, 38, 37]
+
+
 def test_gaussian_nb(spark):
     df = rows(spark, [(0, 0), (0.1, 0), (0.2, 0), (5, 5), (5.1, 5), (5.2, 5)], [0, 0, 0, 1, 1, 1])
     model = bayes.fit_gaussian_nb(df)
