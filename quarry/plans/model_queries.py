@@ -174,8 +174,8 @@ def hinge_loss(spark, sf_dir):
     return df.agg(r(F.avg(F.greatest(F.lit(0.0), 1 - F.col("y") * m.raw(F.col("x"))))).alias("hinge"))
 
 
-def _two_classes(spark, sf_dir, n=200):
-    e = embeddings(spark, sf_dir).filter(f"y < 2 and row_id < {n * 5}")
+def _two_classes(spark, sf_dir):
+    e = embeddings(spark, sf_dir).filter("y < 2")
     return e.withColumn("y", F.when(F.col("y") == 1, 1.0).otherwise(-1.0))
 
 
@@ -204,7 +204,7 @@ def kernel_svm(spark, sf_dir):
 @query()
 def rff_svm(spark, sf_dir):
     df = _two_classes(spark, sf_dir)
-    return _agreement(kernels.fit_fourier_svm(df, 64).predict(df), F.col("predicted"))
+    return _agreement(kernels.fit_fourier_svm(df, 64, primal=True).predict(df), F.col("predicted"))
 
 
 @query("SELECT 2.0::DOUBLE AS x0, 2.0::DOUBLE AS x1, 10.0::DOUBLE AS objective, true AS optimal")
@@ -259,7 +259,7 @@ def symbolic_minimum(spark, sf_dir):
 
 @query()
 def network_training(spark, sf_dir):
-    df = embeddings(spark, sf_dir).filter("row_id < 500")
+    df = embeddings(spark, sf_dir)
     model = train_network(df, Sequential.build([64, 16, 10], "relu", 1), Optimizer("adam", 0.02), 15, "softmax")
     return network_scores(df, model).select("row_id", F.col("y").cast("int").alias("y"), (F.array_position("out", F.array_max("out")) - 1).cast("int").alias("predicted"))
 
@@ -298,7 +298,7 @@ def recommender_session(spark, sf_dir):
 
 @query()
 def classification_pipeline(spark, sf_dir):
-    e = embeddings(spark, sf_dir).filter("y < 2 and row_id < 500")
+    e = embeddings(spark, sf_dir).filter("y < 2")
     return classification_scores(e)
 
 
