@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import cut
 from quarry.llm.decontaminate import match_benchmark, remove_matches
-from quarry.llm.langid import UNDETERMINED, fit_languages, predict_languages
+from quarry.llm.langid import UNDETERMINED, calibrate, fit_languages, held_out, predict_languages
 from quarry.llm.mixing import mix_sources, word_count
 from quarry.llm.neardup import keep_one
 from quarry.llm.secrets import findings_of, redact, scan_secrets, train
@@ -21,9 +21,23 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents of no determinable language (null, or without letters) go; a null lang becomes the prediction."""
-    found = predict_languages(docs.select(*COLUMNS), fit_languages(docs))
-    return found.filter(F.col("lang_pred") != UNDETERMINED).select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
+    """Language ID: documents of no determinable language (null, without letters, or scored below all clean held-out ones) go.
+
+    A null lang becomes the prediction, and so does a lang that a sure prediction contradicts, if the model knows that lang (one it
+    was fitted on can sway it). Without
+    a lang to learn from, documents with letters stay as they are.
+    """
+    held = held_out()
+    model = fit_languages(docs, ~held) or fit_languages(docs)
+    if model is None:
+        return docs.select(*COLUMNS).filter(F.col("text").rlike(r"\p{L}"))
+    least, sure = calibrate(docs.filter(held), model)
+    found = predict_languages(docs.select(*COLUMNS), model).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    confident = F.lit(False)
+    for lang, usual in sure.items():
+        confident = F.when(F.col("lang_pred") == lang, F.col("score") >= usual).otherwise(confident)
+    wrong = F.col("lang").isin(model.languages) & (F.col("lang") != F.col("lang_pred")) & confident
+    return found.select("doc_id", "text", F.when(F.col("lang").isNull() | wrong, F.col("lang_pred")).otherwise(F.col("lang")).alias("lang"), "source", "n_chars")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,3 +197,17 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None) -> DataFrame
         return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names_kept), pa.array(names, pa.string()), pa.array(scores)], [*names_kept, "lang_pred", "score"])
 
     return map_arrow(kept, each, widened(kept, "lang_pred string, score double"))
+
+
+def held_out() -> Column:
+    """A fifth of the documents, by a seeded hash of doc_id; no row of a null id."""
+    return F.coalesce(F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(5)) == 0), F.lit(False))
+
+
+def calibrate(docs: DataFrame, model: LanguageModel) -> tuple[float, dict[str, float]]:
+    """From labelled documents that weren't learnt from: the score below which no clean one (predicted as labelled) lies, and each
+    language's score that nine in ten clean ones reach, from which on a prediction counts as sure. 0 and nothing without clean documents.
+    """
+    clean = predict_languages(docs.select("text", "lang"), model).filter(F.col("lang") == F.col("lang_pred"))
+    rows = clean.groupBy("lang").agg(F.min("score").alias("least"), F.percentile_approx("score", 0.1, 10_000).alias("usual")).collect()
+    return min((r["least"] for r in rows), default=0.0), {r["lang"]: r["usual"] for r in rows}

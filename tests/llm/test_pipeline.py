@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 
 from .test_exact import brute_components, brute_matches
@@ -48,3 +50,20 @@ def test_run_and_empty(spark):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_language_decisions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.select(*pipeline.COLUMNS)
+    german = [r["doc_id"] for r in docs.filter("lang = 'de' and length(text) > 1000").filter(pipeline.held_out()).orderBy("doc_id").limit(5).collect()]
+    lang = F.when(F.col("doc_id").isin(german[:4]), "en").when(F.col("doc_id") == german[4], F.lit(None)).otherwise(F.col("lang")).alias("lang")
+    wrong = docs.select("doc_id", "text", lang, "source", "n_chars").unionByName(spark.createDataFrame([(10**7, "@@@@ 99 q", "en", None, 9)], docs.schema))
+    out = {r["doc_id"]: r["lang"] for r in pipeline.identify_language(spark, wrong, SF).collect()}
+    assert 10**7 not in out and out[german[4]] == "de" and sum(out[i] == "de" for i in german[:4]) >= 3
+    before = {r["doc_id"]: r["lang"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert sum(out.get(i) != lang for i, lang in before.items()) <= len(before) // 200
+
+
+def test_no_language_to_learn(spark, make):
+    docs = make([(1, "some text", None), (2, "12 34", None), (3, None, None), (4, "é", None)])
+    assert {(r["doc_id"], r["lang"]) for r in pipeline.identify_language(spark, docs, SF).collect()} == {(1, None), (4, None)}
