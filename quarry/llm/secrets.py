@@ -1,10 +1,10 @@
 """Operator 6: secret scans by a character convolutional network, in numpy, beside the stated base patterns.
 
-Base findings (assignments, access keys, hex runs) are the labels. Candidates are all runs of key characters that have a digit
-and CANDIDATE characters at least; a network over each candidate's characters and those around it (embedding, convolution, max
+Base findings (assignments, access keys, hex runs) are the labels. Candidates are all runs of CANDIDATE key characters
+at least; a network over each candidate's characters and those around it (embedding, convolution, max
 over the candidate and over its surroundings, one dense layer) is trained on labelled candidates, its scores are calibrated on
 held-out ones (Platt), and its threshold is the least one from an even chance up that passes no held-out negative, as long as the
-stated recall is kept there.
+stated recall is kept on held-out secrets in a form that no base pattern finds.
 Max pooling is associative, so candidates of any length are read whole, in windows.
 
 Scale: training takes a bounded sample of labelled rows (SAMPLE_DOCS documents, FINDINGS candidates); all texts are scanned
@@ -51,8 +51,27 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """All runs of CANDIDATE key characters or more that have a digit."""
-    return [m.span() for m in RUN.finditer(text) if any(c.isdigit() for c in m[0])]
+    """All runs of CANDIDATE key characters or more."""
+    return [m.span() for m in RUN.finditer(text)]
+
+
+def beyond(own: str) -> str | None:
+    """A labelled candidate's secret in a form that no base pattern finds: an assignment's value alone, an access key without its
+    prefix, hex digits as capitals. None if too little is left.
+    """
+    held = ASSIGN.search(own)
+    value = held[2] if held else own
+    value = HEX.sub(lambda m: m[0].upper(), value.replace("AKIA", ""))
+    return value if len(value) >= CANDIDATE and not base_spans(value) else None
+
+
+def reaches_beyond(a: int, b: int, base: list[tuple[int, int, str]]) -> bool:
+    """Whether the base findings, in order of their starts, leave any character of a to b uncovered."""
+    for x, y, _ in base:
+        if x > a:
+            break
+        a = max(a, y)
+    return a < b
 
 
 _classes = np.zeros(256, np.int64)  # 0 is padding
@@ -166,7 +185,11 @@ def train(findings: list[tuple[str, str, int]], epochs: int = 12, seed: int = 5,
         goal = np.where(truth == 1, (truth.sum() + 1) / (truth.sum() + 2), 1 / ((1 - truth).sum() + 2))
         a, b = a - 0.05 * ((p - goal) * raw).mean(), b - 0.05 * (p - goal).mean()
     sure = 1 / (1 + np.exp(-np.clip(a * raw + b, -35, 35)))
-    right, wrong = np.sort(sure[truth == 1]), sure[truth == 0]
+    wrong = sure[truth == 0]
+    # the scan adds to the base patterns: recall counts on held-out secrets outside them, without surroundings
+    unseen = [v for e in held if y[e] == 1 and (v := beyond(findings[e][0])) is not None]
+    alone = np.array([float(net.raw(v, [(0, len(v))])[0]) for v in unseen])
+    right = np.sort(1 / (1 + np.exp(-np.clip(a * alone + b, -35, 35))))
     net.platt = (a, b)
     most = float(right[int((1 - recall) * len(right))]) if len(right) else 1.0
     net.threshold = min(most, max(0.5, np.nextafter(wrong.max(), 1) if len(wrong) else 0.5))
@@ -199,7 +222,7 @@ def findings_of(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, findings: int =
 def scan_secrets(docs: DataFrame, net: SecretNet | None) -> DataFrame:
     """`docs` with `spans`: array<struct<start,end,kind,score>> in code points, by start, then kind; base findings all stay.
 
-    A null or empty text has none. Network findings that overlap a base finding are that finding and aren't repeated.
+    A null or empty text has none. Every candidate is scored; one that base findings cover wholly is theirs and isn't repeated.
     """
     kept = docs.drop("spans")
     names_kept = kept.columns
@@ -211,9 +234,9 @@ def scan_secrets(docs: DataFrame, net: SecretNet | None) -> DataFrame:
         for text in batch.column("text").to_pylist():
             text = text or ""
             base = base_spans(text)
-            more = [(a, b) for a, b in (candidates(text) if net is not None else ()) if not any(x < b and a < y for x, y, _ in base)]
+            more = candidates(text) if net is not None else []
             scores = net.score(text, more) if more else ()
-            found = [(a, b, k, 1.0) for a, b, k in base] + [(a, b, "cnn", float(s)) for (a, b), s in zip(more, scores, strict=True) if s >= net.threshold]
+            found = [(a, b, k, 1.0) for a, b, k in base] + [(a, b, "cnn", float(s)) for (a, b), s in zip(more, scores, strict=True) if s >= net.threshold and reaches_beyond(a, b, base)]
             found.sort(key=lambda s: (s[0], KINDS.index(s[2])))
             out.append([{"start": a, "end": b, "kind": k, "score": s} for a, b, k, s in found])
         return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names_kept), pa.array(out, span)], [*names_kept, "spans"])
