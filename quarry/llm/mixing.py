@@ -7,8 +7,7 @@ documents stand in a seeded order; its quota takes that order's blocks from the
 above the source's size.
 
 Scale: texts are read once, to count words; the (id, source, size, order) rows are cut. Sums go by (source, bucket of
-the seeded order), so that a source with a third of all rows is spread over its buckets: the only bucket whose rows must be
-ordered is the one in which a source's quota ends. Plans over sources hold a row for each source.
+the seeded order), so that a source with a third of all rows is spread over its buckets, each of which is ordered by itself. Plans over sources hold a row for each source.
 """
 
 from __future__ import annotations
@@ -76,7 +75,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
     """For each row of (doc_id, text, source, ...): doc_id, size, source, source_size, target, quota_tokens, taken, first_token.
 
     `taken` is the number of words that the mix takes, repeats counted; `first_token` the place of the document in its
-    source's seeded order. Nulls: a null text has size 0 and is never taken; a null source is a source of its own; null ids
+    source's seeded order, in words. No block or shard is assigned. Nulls: a null text has size 0 and is never taken; a null source is a source of its own; null ids
     are ordered last. Rows alike in id and size are interchangeable. An empty table gives no rows. Other columns of `docs` are
     ignored, whatever their names.
     """
@@ -95,11 +94,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
     sums = sums.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "bucket_size", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("before"))
     small = F.broadcast if n_sources <= BROADCAST_ROWS else (lambda df: df)
     placed = sums.join(small(plan), F.col("b_source").eqNullSafe(F.col("source")))
-    buckets = placed.drop("source").withColumn("cut", (F.col("before") < F.col("rest")) & (F.col("rest") < F.col("before") + F.col("bucket_size")))
+    buckets = placed.drop("source")
     each = rows.join(small(buckets) if n_sources * 16**digits <= BROADCAST_ROWS else buckets, rows.source.eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
     within = W.partitionBy("source", "bucket").orderBy("rank", F.col("doc_id").isNull(), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    split = each.filter("cut").withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    whole = each.filter("not cut").withColumn("start", F.col("before"))
-    part = F.when(F.col("cut"), F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start")))).otherwise(F.when(F.col("before") + F.col("bucket_size") <= F.col("rest"), F.col("size")).otherwise(0))
-    mixed = split.unionByName(whole)
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "quota_tokens", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), F.when(F.col("cut"), F.col("start")).alias("first_token"))
+    mixed = each.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start")))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "quota_tokens", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), F.col("start").alias("first_token"))

@@ -181,6 +181,16 @@ def test_mixing(spark, make):
     assert [r["taken"] for r in mix_sources(make([(1, None, None, "a"), (2, "", None, None)])).collect()] == [0, 0]
 
 
+def test_places_in_mix(spark, make):
+    """Each document's place is the sum of the sizes ahead of it, in every bucket."""
+    got = mix_sources(make([(k, "w " * (1 + k % 7), None, "ab"[k % 2]) for k in range(200)])).collect()
+    for source in "ab":
+        at = 0
+        for r in sorted((r for r in got if r["source"] == source), key=lambda r: hashlib.md5(f"mix-1:{r['doc_id']}".encode()).hexdigest()):
+            assert r["first_token"] == at
+            at += r["size"]
+
+
 def test_fingerprints(spark, make):
     rows = [(r[0], r[1]) for r in AWKWARD] + [(20 + k, " ".join(f"t{k * j % 37}{j}" for j in range(60 + k))) for k in range(30)]
     got = compare_with_next(make(rows)).collect()
