@@ -19,15 +19,19 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
-OP2 = """
+OP2 = rf"""
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 p AS (SELECT doc_id, i, md5(array_slice(b, i + 1, i + 400)) AS h FROM (SELECT doc_id, b, unnest(generate_series(0, n - 400)) AS i FROM d WHERE n >= 400)),
 r AS (SELECT doc_id, i FROM p WHERE h IN (SELECT h FROM p GROUP BY h HAVING count(*) > 1)),
 g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM r)),
 s AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY doc_id, k),
 e AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
-t AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(hex(array_slice(b, before + 1, a)), '' ORDER BY a) AS head, max(z) AS tail FROM e JOIN d USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(CASE WHEN tail IS NULL THEN b ELSE unhex(head || hex(array_slice(b, tail + 1, n))) END) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
+t AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(hex(array_slice(b, before + 1, a)), '' ORDER BY a) AS head, max(z) AS tail FROM e JOIN d USING (doc_id) GROUP BY doc_id),
+o AS (SELECT doc_id, regexp_extract_all({LOWER}, '{BLANKS}') AS ws FROM documents),
+q AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 50], ' ')) AS h FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 50)) AS i FROM o WHERE len(ws) > 50)),
+v AS (SELECT doc_id, i FROM q WHERE h IN (SELECT h FROM q GROUP BY h HAVING count(*) > 1)),
+w AS (SELECT doc_id, sum(fresh) AS n_passage_words FROM (SELECT doc_id, least(51, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 51)) AS fresh FROM v) GROUP BY 1)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(CASE WHEN tail IS NULL THEN b ELSE unhex(head || hex(array_slice(b, tail + 1, n))) END) AS kept_sha256, coalesce(n_passage_words, 0)::BIGINT AS n_passage_words FROM d LEFT JOIN t USING (doc_id) LEFT JOIN w USING (doc_id)"""
 
 OP5 = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{BLANKS}')), 0)::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS rank FROM documents),

@@ -38,8 +38,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     shortened = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
-    return shortened.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    size = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return shortened.select("doc_id", "n_bytes", size("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), size("passages").alias("n_passage_words"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,13 +15,20 @@ strings), without sorting every suffix:
 4. An anchor string of over CAP contexts is split: windows by the half of the offsets they lie in, with the bytes which these
    have in common added to the key, and so on until a part has at most CAP contexts (a part of one offset has one).
 
-Scale: texts are read four times and never shuffled, but for those that lose bytes. Anchors (8 bytes each) are shuffled once.
+A text is read in two ways at once, as bytes (LENGTH of them a window) and as words (PASSAGE of them, by their 64-bit hashes), in the
+same passes: a passage of over 50 short words may have fewer than LENGTH bytes.
+
+Scale: texts are read four times, in the third only those that hold a context to be compared, and never shuffled, but for those that
+lose bytes. Anchors (8 bytes each) are shuffled once.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from collections.abc import Iterator
+
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +37,11 @@ from pyspark.sql import functions as F
 
 from .common import KeyFilter, cut, map_arrow
 from .neardup import grouped
-from .textvec import BYTE_VALUE, buffers, chunks, mix, powers
+from .textvec import BLANKS, BYTE_VALUE, buffers, chunks, mix, powers, word_hashes, words
 
 LENGTH, ANCHOR = 400, 100
+#: Words of a repeated passage, and of an anchor in it.
+PASSAGE, PASSAGE_ANCHOR = 51, 13
 CAP = 4096
 #: Bytes of the shallow sort past what all suffixes of a group share, and of one comparison in it.
 SHALLOW, WORD = 64, 8
@@ -40,8 +49,23 @@ PIECE = 1 << 22
 _spot = np.uint64((1 << 24) - 1)
 
 
+class Reading(NamedTuple):
+    """How texts are read: symbols of `unit` bytes (1: a byte; 8: a word's hash), in windows of `length`, anchors of `anchor` of them."""
+
+    unit: int
+    length: int
+    anchor: int
+
+    def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all texts of a chunk, and where each text's begin."""
+        if self.unit == 1:
+            return data, offsets
+        starts, ends, first = words(data, offsets, BLANKS)
+        return word_hashes(data, starts, ends, BLANKS), first
+
+
 class Anchors:
-    """The anchors of all texts in a chunk: for each, its text, place, and the first and last window that it stands for."""
+    """The anchors of all texts in a chunk of symbols: for each, its text, place, and the first and last window that it stands for."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
         found = []
@@ -64,7 +88,7 @@ class Anchors:
             return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
         up, down = powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[data] * up[:n], out=sums[1:])
+        np.cumsum((BYTE_VALUE[data] if data.dtype == np.uint8 else data) * up[:n], out=sums[1:])
         kmers = mix((sums[anchor:] - sums[: n - anchor + 1]) * down[: n - anchor + 1])
         key = (kmers & ~_spot) | np.arange(len(kmers), dtype=np.uint64)
         blocks = -(-len(key) // w)
@@ -171,14 +195,14 @@ def deep_shallow(strings: list[bytes], depth: int = 0, shallow: int = SHALLOW) -
     return order, shared
 
 
-def repeated_offsets(contexts: list[bytes], at: list[int], anchor: int, length: int = LENGTH) -> list[list[tuple[int, int]]]:
+def repeated_offsets(contexts: list[bytes], at: list[int], anchor: int, length: int = LENGTH, unit: int = 1) -> list[list[tuple[int, int]]]:
     """For each context the ranges (least, most) of left offsets whose windows stand in another context too.
 
-    Each context has its anchor of `anchor` bytes at place `at`; a window at offset o begins o bytes before the anchor.
+    Each context has its anchor of `anchor` symbols at place `at`; a window at offset o begins o symbols before the anchor.
     """
-    right = [c[a:] for c, a in zip(contexts, at, strict=True)]
-    left = [c[:a][::-1] for c, a in zip(contexts, at, strict=True)]
-    order, _ = deep_shallow(right, anchor)
+    right = [c[a * unit :] for c, a in zip(contexts, at, strict=True)]
+    left = [c[: a * unit][::-1] for c, a in zip(contexts, at, strict=True)]
+    order, _ = deep_shallow(right, anchor * unit)
     rank = [0] * len(order)
     for k, i in enumerate(order):
         rank[i] = k
@@ -194,7 +218,7 @@ def repeated_offsets(contexts: list[bytes], at: list[int], anchor: int, length:
         return i
 
     for k in sorted(range(1, len(by_left)), key=lambda k: -equal[k]):
-        a, b, most = top(by_left[k - 1]), top(by_left[k]), equal[k]
+        a, b, most = top(by_left[k - 1]), top(by_left[k]), equal[k] // unit
         if len(group[a]) < len(group[b]):
             a, b = b, a
         large, small = group[a], group.pop(b)
@@ -204,7 +228,7 @@ def repeated_offsets(contexts: list[bytes], at: list[int], anchor: int, length:
             for q in (p - 1, p):
                 if 0 <= q < len(large):
                     i, j = order[r], order[large[q]]
-                    least = max(0, length - common(right[i], right[j]))
+                    least = max(0, length - common(right[i], right[j]) // unit)
                     if least <= most:
                         found[i].append((least, most))
                         found[j].append((least, most))
@@ -213,88 +237,106 @@ def repeated_offsets(contexts: list[bytes], at: list[int], anchor: int, length:
     return found
 
 
-SCHEMA = "key long, outer long, rid long, lo long, hi long, off long"
+SCHEMA = "key long, outer long, rid long, lo long, hi long, off long, unit long"
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, cap: int = CAP) -> DataFrame:
-    """(rid, a, b): byte ranges, overlapping or not, that cover what is repeated; rid is the hash of (doc_id, text)."""
+def repeated_ranges(docs: DataFrame, readings: list[Reading], cap: int = CAP) -> DataFrame:
+    """(rid, unit, a, b): ranges of symbols, overlapping or not, that cover what is repeated; rid is the hash of (doc_id, text)."""
     keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("rid"))
     context = docs.sparkSession.sparkContext
+    by_unit = {r.unit: r for r in readings}
+
+    def anchors(texts: pa.Array) -> Iterator[tuple[Reading, int, np.ndarray, np.ndarray, Anchors, np.ndarray]]:
+        """For each chunk and reading: its first row, symbols, where texts begin, anchors and their keys (apart for each unit)."""
+        for lo, _, data, at in chunks(texts):
+            for reading in readings:
+                symbols, first = reading.symbols(data, at)
+                x = Anchors(symbols, first, reading.length, reading.anchor)
+                yield reading, lo, symbols, first, x, (x.kmer * np.uint64(2 * reading.unit - 1)).view(np.int64)
 
     def kmers(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [Anchors(data, at, length, anchor).kmer.view(np.int64) for _, _, data, at in chunks(batch.column("text"))]
+        found = [key for *_, key in anchors(batch.column("text"))]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["key"])
 
     # cut, so that texts are read once for it, and so that the join below deals both sides anew and can split a frequent key
     often = cut(map_arrow(keyed.select("text"), kmers, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
     twice = context.broadcast(KeyFilter(often))
 
-    def rows(batch: pa.RecordBatch, wanted=None) -> pa.RecordBatch:
+    def rows(batch: pa.RecordBatch, wanted=None, holders=None) -> pa.RecordBatch:
+        if holders is not None:
+            batch = batch.filter(pa.array(holders.value(batch.column("rid").to_numpy())))
         rid, out, texts = batch.column("rid").to_numpy(), [], []
-        for lo, _, data, at in chunks(batch.column("text")):
-            x = Anchors(data, at, length, anchor)
-            pick = np.flatnonzero(twice.value(x.kmer.view(np.int64)))
+        for reading, lo, symbols, at, x, key in anchors(batch.column("text")):
+            pick = np.flatnonzero(twice.value(key))
             own, base = rid[lo + x.row[pick]], at[:-1][x.row[pick]]
-            table = np.stack([x.kmer[pick].view(np.int64), x.outer[pick].view(np.int64), own, x.lo[pick] - base, x.hi[pick] - base, x.place[pick] - x.lo[pick]])
+            table = np.stack([key[pick], x.outer[pick].view(np.int64), own, x.lo[pick] - base, x.hi[pick] - base, x.place[pick] - x.lo[pick], np.full(len(pick), reading.unit)])
             if wanted is not None:
                 mine = wanted.value(identity(table))
                 table, pick = table[:, mine], pick[mine]
-                texts += [data[a : b + length].tobytes() for a, b in zip(x.lo[pick].tolist(), x.hi[pick].tolist(), strict=True)]
+                texts += [symbols[a : b + reading.length].tobytes() for a, b in zip(x.lo[pick].tolist(), x.hi[pick].tolist(), strict=True)]
             out.append(table)
-        table = np.concatenate(out, 1) if out else np.zeros((6, 0), np.int64)
-        names = ["key", "outer", "rid", "lo", "hi", "off"]
+        table = np.concatenate(out, 1) if out else np.zeros((7, 0), np.int64)
+        names = ["key", "outer", "rid", "lo", "hi", "off", "unit"]
         more = ([pa.array(texts, pa.binary())], ["context"]) if wanted is not None else ([], [])
         return pa.RecordBatch.from_arrays([*(pa.array(c) for c in table), *more[0]], [*names, *more[1]])
 
     placed = cut(map_arrow(keyed, rows, SCHEMA).join(often, "key", "left_semi"))
-    whole, reps = classes(placed, ["lo", "hi", "off"])
+    whole, reps = classes(placed, ["lo", "hi", "off", "unit"])
     results = [whole]
     reps = cut(reps)
-    if reps.isEmpty():
-        return whole.select("rid", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
-    hashed = map_arrow(reps.select("key", "outer", "rid", "lo", "hi", "off"), lambda b: pa.RecordBatch.from_arrays([pa.array(identity(np.stack([c.to_numpy() for c in b.columns])))], ["id"]), "id long")
-    picked = context.broadcast(KeyFilter(hashed))
-    contexts = map_arrow(keyed, lambda b: rows(b, picked), SCHEMA + ", context binary")
-    contexts = cut(contexts.join(reps.select("key", "outer", "rid", "lo", "contexts"), ["key", "outer", "rid", "lo"]).dropDuplicates(["key", "outer"]))
-    span = length - anchor
-    width = 1 << span.bit_length()
+    if not reps.isEmpty():
+        hashed = map_arrow(reps.select("key", "outer", "rid", "lo"), lambda b: pa.RecordBatch.from_arrays([pa.array(identity(np.stack([c.to_numpy() for c in b.columns])))], ["id"]), "id long")
+        picked, holders = context.broadcast(KeyFilter(hashed)), context.broadcast(KeyFilter(reps.select("rid").distinct()))
+        contexts = map_arrow(keyed, lambda b: rows(b, picked, holders), SCHEMA + ", context binary")
+        contexts = cut(contexts.join(reps.select("key", "outer", "rid", "lo", "contexts"), ["key", "outer", "rid", "lo"]).dropDuplicates(["key", "outer"]))
+        results += compared(contexts, by_unit, cap)
+    out = results[0].select("rid", "unit", "lo", "hi")
+    for more in results[1:]:
+        out = out.unionByName(more.select("rid", "unit", "lo", "hi"))
+    length = F.when(F.lit(False), F.lit(0))
+    for r in readings:
+        length = length.when(F.col("unit") == r.unit, F.lit(r.length))
+    return out.select("rid", "unit", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
+
+
+def compared(contexts: DataFrame, by_unit: dict[int, Reading], cap: int) -> list[DataFrame]:
+    """Tables of (rid, unit, lo, hi): the first and last of windows that stand in two contexts of one key; keys of over `cap` contexts
+    are split by offsets until none is left."""
 
     def compare(table: pa.Table) -> pa.RecordBatch | None:
-        lo, off = table.column("lo").to_pylist(), table.column("off").to_pylist()
+        lo, off, reading = table.column("lo").to_pylist(), table.column("off").to_pylist(), by_unit[table.column("unit")[0].as_py()]
         out = []
-        for rid, start, a, ranges in zip(table.column("rid").to_pylist(), lo, off, repeated_offsets(table.column("context").to_pylist(), off, anchor, length), strict=True):
-            out += [(rid, start + a - most, start + a - least) for least, most in set(ranges)]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], ["rid", "lo", "hi"]) if out else None
+        for rid, start, a, ranges in zip(table.column("rid").to_pylist(), lo, off, repeated_offsets(table.column("context").to_pylist(), off, reading.anchor, reading.length, reading.unit), strict=True):
+            out += [(rid, reading.unit, start + a - most, start + a - least) for least, most in set(ranges)]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], ["rid", "unit", "lo", "hi"]) if out else None
 
     def halve(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
-        """Each context's windows in parts of `size` offsets, the part's common bytes in the key."""
+        """Each context's windows in parts of `size` offsets, the part's common symbols in the key."""
         out, texts = [], []
-        for key, rid, lo, hi, off, text in zip(*(batch.column(c).to_pylist() for c in ("key", "rid", "lo", "hi", "off", "context")), strict=True):
+        for key, rid, lo, hi, off, unit, text in zip(*(batch.column(c).to_pylist() for c in ("key", "rid", "lo", "hi", "off", "unit", "context")), strict=True):
+            _, length, anchor = by_unit[unit]
             for part in range((off - (hi - lo)) // size, off // size + 1):
-                near, far = part * size, min(part * size + size - 1, span)
+                near, far = part * size, min(part * size + size - 1, length - anchor)
                 least, most = max(off - (hi - lo), near), min(off, far)
-                # all windows at offsets from `near` to `far` hold the bytes from the start of the nearest to the end of the farthest
-                held, union = text[off - near : off - far + length], text[off - most : off - least + length]
+                # all windows at offsets from `near` to `far` hold the symbols from the start of the nearest to the end of the farthest
+                held, union = text[(off - near) * unit : (off - far + length) * unit], text[(off - most) * unit : (off - least + length) * unit]
                 keys = [hashlib.blake2b(held, digest_size=8, key=f"{part}:{size}:{key}".encode()), hashlib.blake2b(union, digest_size=8, key=f"{most}:{least}".encode())]
-                out.append((*(int.from_bytes(k.digest(), "big", signed=True) for k in keys), rid, lo + off - most, lo + off - least, most))
+                out.append((*(int.from_bytes(k.digest(), "big", signed=True) for k in keys), rid, lo + off - most, lo + off - least, most, unit))
                 texts.append(union)
-        columns = [pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 6
-        return pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], ["key", "outer", "rid", "lo", "hi", "off", "context"])
+        columns = [pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 7
+        return pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], ["key", "outer", "rid", "lo", "hi", "off", "unit", "context"])
 
+    results, width = [], 1 << max((r.length - r.anchor).bit_length() for r in by_unit.values())
     while True:
-        results.append(grouped(contexts.filter(F.col("contexts") <= cap), "key", compare, "rid long, lo long, hi long"))
+        results.append(grouped(contexts.filter(F.col("contexts") <= cap), "key", compare, "rid long, unit long, lo long, hi long"))
         crowded = contexts.filter(F.col("contexts") > cap)
         if width == 1 or crowded.isEmpty():
-            break
+            return results
         width //= 2
         parts = cut(map_arrow(crowded.drop("contexts"), lambda b, size=width: halve(b, size), SCHEMA + ", context binary"))
-        whole, contexts = classes(parts, ["lo", "hi", "off", "context"])
+        whole, contexts = classes(parts, ["lo", "hi", "off", "unit", "context"])
         results.append(whole)
         contexts = cut(contexts)
-    out = results[0].select("rid", "lo", "hi")
-    for more in results[1:]:
-        out = out.unionByName(more.select("rid", "lo", "hi"))
-    return out.select("rid", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
 
 
 def identity(table: np.ndarray) -> np.ndarray:
@@ -313,41 +355,51 @@ def classes(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     return whole, kinds.join(several, "key").select("key", "outer", "one.*", "contexts")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, cap: int = CAP) -> DataFrame:
-    """doc_id, n_bytes, spans array<struct<a,b>> (maximal removed byte runs) and kept (binary, what remains) for each row of (doc_id, text).
+def merged(ranges: list[dict] | None, unit: int) -> list[dict]:
+    """Maximal runs {a, b} of the ranges of one unit."""
+    own: list[dict] = []
+    for r in sorted((r for r in ranges or () if r["unit"] == unit), key=lambda r: r["a"]):
+        if own and r["a"] <= own[-1]["b"]:
+            own[-1]["b"] = max(own[-1]["b"], r["b"])
+        else:
+            own.append({"a": r["a"], "b": r["b"]})
+    return own
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, cap: int = CAP, passage: int = PASSAGE, passage_anchor: int = PASSAGE_ANCHOR) -> DataFrame:
+    """doc_id, n_bytes, spans and passages array<struct<a,b>> and kept (binary, what remains) for each row of (doc_id, text).
 
-    Each byte covered by a `length`-byte string that also starts anywhere else, in any text or the same, is removed; strings are
-    judged on the input. A null text is empty; texts shorter than `length` keep all; repeated rows are copies of each
+    Each byte covered by a `length`-byte string that also starts anywhere else, in any text or the same, is removed; `spans` are the
+    maximal removed runs. `passages` are the maximal runs of words (in word numbers; words are runs without blanks, A-Z as a-z)
+    covered by `passage` words that also stand anywhere else; they are reported, not removed. Strings are judged on the input.
+    A null text is empty; texts shorter than a window keep all; repeated rows are copies of each
     other. An empty table gives no rows. Other columns are ignored.
     """
-    ranges = repeated_ranges(docs, length, anchor, cap).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    ranges = cut(ranges)
+    ranges = repeated_ranges(docs, [Reading(1, length, anchor), Reading(8, passage, passage_anchor)], cap)
+    ranges = cut(ranges.groupBy("rid").agg(F.collect_list(F.struct("unit", "a", "b")).alias("ranges")))
     touched = docs.sparkSession.sparkContext.broadcast(KeyFilter(ranges.select("rid")))
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
-    names = ["doc_id", "n_bytes", "spans", "kept"]
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, spans array<struct<a:long,b:long>>, kept binary"
+    names = ["doc_id", "n_bytes", "spans", "passages", "kept"]
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, spans array<struct<a:long,b:long>>, passages array<struct<a:long,b:long>>, kept binary"
     span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def untouched(batch: pa.RecordBatch) -> pa.RecordBatch:
         batch = batch.filter(pa.array(~touched.value(batch.column("rid").to_numpy())))
         texts = batch.column("text").cast(pa.binary()).fill_null(b"")
         sizes = np.diff(buffers(batch.column("text"))[1]) if batch.num_rows else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([[]] * batch.num_rows, span), texts], names)
+        none = pa.array([[]] * batch.num_rows, span)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), none, none, texts], names)
 
     def shorten(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans, kept, sizes = [], [], []
+        spans, passages, kept, sizes = [], [], [], []
         for text, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-            text, own = text or b"", []
-            for r in sorted(found or (), key=lambda r: r["a"]):
-                if own and r["a"] <= own[-1]["b"]:
-                    own[-1]["b"] = max(own[-1]["b"], r["b"])
-                else:
-                    own.append(dict(r))
+            text, own = text or b"", merged(found, 1)
             edges = [0, *(x for r in own for x in (r["a"], r["b"])), len(text)]
             spans.append(own)
+            passages.append(merged(found, 8))
             sizes.append(len(text))
             kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(passages, span), pa.array(kept, pa.binary())], names)
 
     some = map_arrow(keyed, lambda b: b.filter(pa.array(touched.value(b.column("rid").to_numpy()))), keyed.schema)
     return map_arrow(keyed, untouched, schema).unionByName(map_arrow(some.join(ranges, "rid", "left").select("doc_id", "text", "ranges"), shorten, schema))

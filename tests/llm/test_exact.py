@@ -115,6 +115,22 @@ def test_suffix_dedup(spark, make, cap):
     assert remove_repeats(make([])).count() == 0
 
 
+@pytest.mark.parametrize("cap", [4096, 2])
+def test_repeated_passages(spark, make, cap):
+    """Passages of 51 short words have far fewer bytes than a removed string; equal beginnings of hashes mustn't lengthen them."""
+    rng = random.Random(11)
+    say = lambda n: " ".join(rng.choice("abcdefghijklm") + rng.choice("nopq") for _ in range(n))
+    passages = [say(60), say(51), say(50), "of " * 70]
+    rows = [(k, f"{say(rng.randrange(40))} {rng.choice(passages)} {say(rng.randrange(30))} {rng.choice(passages).upper()}") for k in range(50)]
+    rows += [(r[0], r[1]) for r in AWKWARD if r[0] != 8]
+    split = [BLANKS.findall(lower(t)) for _, t in rows]
+    seen = Counter(tuple(w[i : i + 51]) for w in split for i in range(len(w) - 50))
+    want = Counter((i, len({p for a in range(len(w) - 50) if seen[tuple(w[a : a + 51])] > 1 for p in range(a, a + 51)})) for (i, _), w in zip(rows, split, strict=True))
+    got = remove_repeats(make(rows), cap=cap).collect()
+    assert Counter((r["doc_id"], sum(s["b"] - s["a"] for s in r["passages"])) for r in got) == want
+    assert sum(bool(r["passages"]) and not r["spans"] for r in got) > 20
+
+
 def brute_components(rows, size, percent):
     sets = []
     for _, t in rows:
