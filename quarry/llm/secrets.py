@@ -5,24 +5,28 @@ at least; a network over each candidate's characters and those around it (embedd
 over the candidate and over its surroundings, one dense layer) is trained on labelled candidates, its scores are calibrated on
 held-out ones (Platt), and its threshold is the least one from an even chance up that passes no held-out negative, as long as the
 stated recall is kept on held-out secrets in a form that no base pattern finds.
-Max pooling is associative, so candidates of any length are read whole, in windows.
+Max pooling is associative, so candidates of any length are scored whole: all candidates of a batch stand on end, and the convolution
+runs over them in slices.
 
-Scale: training takes a bounded sample of labelled rows (SAMPLE_DOCS documents, FINDINGS candidates); all texts are scanned
-where they lie, without a shuffle. The weights are a few thousand numbers.
+Scale: training takes a bounded sample of labelled rows (SAMPLE_DOCS documents, FINDINGS candidates, CHARACTERS in all but for the
+last one); all texts are scanned where they lie, without a shuffle. The weights are a few thousand numbers. Work is linear in the
+text: findings and candidates are merged in order.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import below, map_arrow, widened
+from .common import below, cut, map_arrow, widened
 
 #: The base patterns, in the order in which spans of equal start are listed.
 KINDS = ("assign", "access", "hex", "cnn")
@@ -33,9 +37,13 @@ KEYWORDS = ("passw", "secret", "token", "api")
 RUN = re.compile(r"[A-Za-z0-9+/_=.\-]{16,}")
 CANDIDATE = 16
 AROUND = 24
-SAMPLE_DOCS, FINDINGS = 20_000, 4_000
+SAMPLE_DOCS, FINDINGS, CHARACTERS = 20_000, 4_000, 8_000_000
 RECALL = 0.98
-WIDTH, EMBED, FILTERS, HIDDEN, PIECE = 5, 8, 24, 16, 256
+WIDTH, EMBED, FILTERS, HIDDEN = 5, 8, 24, 16
+#: Characters of a training piece, and of a slice of the convolution.
+PIECE, SLICE = 64, 1 << 14
+#: Fewest training steps, of 64 examples each.
+STEPS = 600
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -55,6 +63,10 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in RUN.finditer(text)]
 
 
+#: Characters that labelled secrets are spelled anew in.
+SPELLINGS = ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+
+
 def beyond(own: str) -> str | None:
     """A labelled candidate's secret in a form that no base pattern finds: an assignment's value alone, an access key without its
     prefix, hex digits as capitals. None if too little is left.
@@ -65,13 +77,27 @@ def beyond(own: str) -> str | None:
     return value if len(value) >= CANDIDATE and not base_spans(value) else None
 
 
-def reaches_beyond(a: int, b: int, base: list[tuple[int, int, str]]) -> bool:
-    """Whether the base findings, in order of their starts, leave any character of a to b uncovered."""
-    for x, y, _ in base:
-        if x > a:
-            break
-        a = max(a, y)
-    return a < b
+class Cover:
+    """The union of spans that come in order of their starts, as disjoint ranges: asked for any span in logarithmic time."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts, self.ends = [], []
+        for a, b, _ in spans:
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def holds(self, a: int, b: int) -> bool:
+        """Whether all characters of a to b are covered."""
+        k = bisect_right(self.starts, a) - 1
+        return k >= 0 and self.ends[k] >= b
+
+    def meets(self, a: int, b: int) -> bool:
+        """Whether any character of a to b is covered."""
+        k = bisect_right(self.starts, b - 1) - 1
+        return k >= 0 and self.ends[k] > a
 
 
 _classes = np.zeros(256, np.int64)  # 0 is padding
@@ -85,6 +111,17 @@ def codes(text: str) -> np.ndarray:
     return _classes[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 255)]
 
 
+_spellings = [codes(x) for x in SPELLINGS]
+
+
+def respelled(text: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A secret's codes in other characters: each of its characters becomes one drawn from one of SPELLINGS, the same everywhere."""
+    letters = _spellings[int(rng.integers(len(_spellings)))]
+    to = letters[rng.integers(0, len(letters), CLASSES)]
+    to[0] = 0
+    return to[text]
+
+
 @dataclass
 class SecretNet:
     embed: np.ndarray
@@ -103,38 +140,77 @@ class SecretNet:
         place = reached.argmax(1)
         return np.maximum(0, np.take_along_axis(reached, place[:, None], 1)[:, 0]), place, windows
 
-    def hidden(self, text: np.ndarray) -> np.ndarray:
-        """Pooled features of one sequence of any length, in overlapping pieces."""
-        best = np.zeros(FILTERS)
-        for at in range(0, max(1, len(text) - WIDTH + 1), PIECE):
-            piece = text[at : at + PIECE + WIDTH - 1]
-            row = np.zeros((1, max(WIDTH, len(piece))), np.int64)
-            row[0, : len(piece)] = piece
-            best = np.maximum(best, self.pooled(row)[0][0])
+    def pools(self, sequences: list[np.ndarray]) -> np.ndarray:
+        """Pooled features of each sequence, of any lengths: as `pooled`, over all of them on end, SLICE characters at a time."""
+        sizes = np.array([max(WIDTH, len(x)) for x in sequences])
+        flat = np.zeros(sizes.sum() + WIDTH - 1, np.int64)
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        for at, x in zip(begin.tolist(), sequences):
+            flat[at : at + len(x)] = x
+        # what a window adds for each of its places and the character there
+        tables = [(self.embed @ self.filters[k * EMBED : (k + 1) * EMBED]).astype(np.float32) for k in range(WIDTH)]
+        whole = np.ones(begin[-1], bool)  # windows that don't reach into the next sequence
+        for k in range(1, WIDTH):
+            whole[begin[1:] - k] = False
+        best = np.zeros((len(sequences), FILTERS), np.float32)
+        owner = np.repeat(np.arange(len(sequences)), sizes)
+        for at in range(0, int(begin[-1]), SLICE):
+            to = min(int(begin[-1]), at + SLICE)
+            reached = tables[0][flat[at:to]]
+            for k in range(1, WIDTH):
+                reached += tables[k][flat[at + k : to + k]]
+            reached[~whole[at:to]] = -np.inf
+            own = owner[at:to]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            most = np.maximum.reduceat(reached, first, 0) + self.bias.astype(np.float32)
+            best[own[first]] = np.maximum(best[own[first]], most)
         return best
 
-    def raw(self, text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-        """The uncalibrated score of each candidate of a text."""
-        x = np.array([np.concatenate([self.hidden(codes(text[a:b])), self.hidden(codes(text[max(0, a - AROUND) : a] + "\0" + text[b : b + AROUND]))]) for a, b in spans])
+    def raw(self, texts: list[np.ndarray], spans: list[list[tuple[int, int]]]) -> np.ndarray:
+        """The uncalibrated scores of all candidates of all texts (as character codes), each text with its spans, in order."""
+        own, side, gap = [], [], np.zeros(1, np.int64)
+        for text, found in zip(texts, spans, strict=True):
+            own += [text[a:b] for a, b in found]
+            side += [np.concatenate([text[max(0, a - AROUND) : a], gap, text[b : b + AROUND]]) for a, b in found]
+        if not own:
+            return np.zeros(0)
+        x = np.concatenate([self.pools(own), self.pools(side)], 1)
         return np.maximum(0, x @ self.dense + self.dense_bias) @ self.out[:-1] + self.out[-1]
 
-    def score(self, text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.platt[0] * self.raw(text, spans) + self.platt[1], -35, 35)))
+    def score(self, texts: list[np.ndarray], spans: list[list[tuple[int, int]]]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.platt[0] * self.raw(texts, spans) + self.platt[1], -35, 35)))
 
 
-def _padded(texts: list[str], width: int) -> np.ndarray:
+def _padded(texts: list[np.ndarray], width: int, rng: np.random.Generator | None = None) -> np.ndarray:
+    """A row for each text; of one longer than `width` a piece, from a random place."""
     rows = np.zeros((len(texts), width), np.int64)
-    for r, t in zip(rows, texts, strict=True):
-        c = codes(t[:width])
-        r[: len(c)] = c
+    for r, c in zip(rows, texts, strict=True):
+        at = int(rng.integers(len(c) - width + 1)) if rng is not None and len(c) > width else 0
+        r[: len(c)] = c[at : at + width]
     return rows
 
 
+def platt(raw: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept that turn raw scores into chances: Platt's targets, both labels of equal weight, damped Newton steps."""
+    ones, zeros = truth.sum(), (1 - truth).sum()
+    goal = np.where(truth == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+    even = np.where(truth == 1, 0.5 / max(1, ones), 0.5 / max(1, zeros))
+    found = np.array([1.0, 0.0])
+    x = np.stack([raw, np.ones(len(raw))], 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ found, -35, 35)))
+        step = np.linalg.solve((x * (even * (p * (1 - p) + 1e-6))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (even * (p - goal)))
+        found = found - step * min(1.0, 1.0 / max(1e-9, np.abs(step).max()))
+    return float(found[0]), float(found[1])
+
+
 def train(findings: list[tuple[str, str, int]], epochs: int = 12, seed: int = 5, recall: float = RECALL) -> SecretNet | None:
     """A calibrated network from (candidate, surroundings, label); None unless both labels are there.
 
-    In training, longer candidates are cut into a piece (the scores of whole candidates are what is calibrated). Half of the
-    examples lose their surroundings, and half their end, so that a key is told by its own characters and not by its length.
+    In each epoch, longer candidates give a piece from another random place (the scores of whole candidates are what is calibrated).
+    A third of the examples lose their surroundings, a third get another one's, and half lose their end; half of the secrets are spelled
+    in other characters: a key is to be told by its own disorder, not by its place, length or form. The stated recall is asked of
+    held-out secrets in forms that no base pattern finds, in the surroundings of other candidates.
     """
     y = np.array([label for _, _, label in findings], float)
     if not 0 < y.sum() < len(y):
@@ -145,13 +221,16 @@ def train(findings: list[tuple[str, str, int]], epochs: int = 12, seed: int = 5,
     m, v, t = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], 0
     order = rng.permutation(len(findings))
     held, used = order[: max(1, len(order) // 5)], order[max(1, len(order) // 5) :]
-    own, around = _padded([f[0] for f in findings], 64), _padded([f[1] for f in findings], 2 * AROUND + 1)
-    shorter = _padded([f[0][: int(rng.integers(min(CANDIDATE, len(f[0])), len(f[0]) + 1))] for f in findings], 64)
+    whole, around = [codes(f[0]) for f in findings], _padded([codes(f[1]) for f in findings], 2 * AROUND + 1)
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * 64 // len(used)))):
+        own = _padded([respelled(w, rng) if y[e] == 1 and rng.random() < 0.5 else w for e, w in enumerate(whole)], PIECE, rng)
+        length = np.minimum([len(w) for w in whole], PIECE)
+        shorter = own * (np.arange(PIECE) < rng.integers(np.minimum(CANDIDATE, length), length + 1)[:, None])
         for at in range(0, len(used), 64):
             b = rng.permutation(used)[:64]
-            side = around[b] * (rng.random(len(b)) < 0.5)[:, None]
+            kind = rng.integers(0, 3, len(b))[:, None]
+            side = np.where(kind == 0, 0, np.where(kind == 1, around[b], around[rng.permutation(used)[: len(b)]]))
             body = np.where(rng.random(len(b))[:, None] < 0.5, own[b], shorter[b])
             pools = [net.pooled(body), net.pooled(side)]
             x = np.concatenate([p[0] for p in pools], 1)
@@ -174,30 +253,29 @@ def train(findings: list[tuple[str, str, int]], epochs: int = 12, seed: int = 5,
                 m[k] = 0.9 * m[k] + 0.1 * grad
                 v[k] = 0.999 * v[k] + 0.001 * grad * grad
                 part -= 0.01 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-    def judge(e: int) -> float:
-        text = findings[e][1][:AROUND] + findings[e][0] + findings[e][1][AROUND + 1 :]
-        return float(net.raw(text, [(AROUND, AROUND + len(findings[e][0]))])[0])
-
-    raw, truth = np.array([judge(e) for e in held]), y[held]
-    a, b = 1.0, 0.0
-    for _ in range(300):  # Platt, with his targets
-        p = 1 / (1 + np.exp(-np.clip(a * raw + b, -35, 35)))
-        goal = np.where(truth == 1, (truth.sum() + 1) / (truth.sum() + 2), 1 / ((1 - truth).sum() + 2))
-        a, b = a - 0.05 * ((p - goal) * raw).mean(), b - 0.05 * (p - goal).mean()
-    sure = 1 / (1 + np.exp(-np.clip(a * raw + b, -35, 35)))
-    wrong = sure[truth == 0]
-    # the scan adds to the base patterns: recall counts on held-out secrets outside them, without surroundings
-    unseen = [v for e in held if y[e] == 1 and (v := beyond(findings[e][0])) is not None]
-    alone = np.array([float(net.raw(v, [(0, len(v))])[0]) for v in unseen])
-    right = np.sort(1 / (1 + np.exp(-np.clip(a * alone + b, -35, 35))))
-    net.platt = (a, b)
+
+    texts = [np.concatenate([around[e][:AROUND], whole[e], around[e][AROUND + 1 :]]) for e in held]
+    raw, truth = net.raw(texts, [[(AROUND, AROUND + len(whole[e]))] for e in held]), y[held]
+    # the scan adds to the base patterns: held-out secrets count in forms outside them too, wherever they stand
+    unseen = [codes(v) for e in held if y[e] == 1 and (v := beyond(findings[e][0])) is not None]
+    unseen += [respelled(whole[e], rng) for e in held if y[e] == 1 for _ in range(3) if len(whole[e]) >= CANDIDATE]
+    for e in held[y[held] == 1]:
+        for n in rng.integers(CANDIDATE, 24, 3 * (len(whole[e]) > 24)).tolist():  # pieces too short for the patterns
+            at = int(rng.integers(len(whole[e]) - n + 1))
+            unseen += [whole[e][at : at + n]] * (not base_spans(findings[e][0][at : at + n]))
+    beside = around[rng.choice(held, len(unseen))] if unseen else ()
+    alone = net.raw([np.concatenate([r[:AROUND], v, r[AROUND + 1 :]]) for v, r in zip(unseen, beside, strict=True)], [[(AROUND, AROUND + len(v))] for v in unseen])
+    net.platt = platt(np.concatenate([raw, alone]), np.concatenate([truth, np.ones(len(alone))]))
+    sure = lambda x: 1 / (1 + np.exp(-np.clip(net.platt[0] * x + net.platt[1], -35, 35)))
+    wrong, right = sure(raw[truth == 0]), np.sort(sure(alone))
     most = float(right[int((1 - recall) * len(right))]) if len(right) else 1.0
     net.threshold = min(most, max(0.5, np.nextafter(wrong.max(), 1) if len(wrong) else 0.5))
     return net
 
 
 def findings_of(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, findings: int = FINDINGS) -> list[tuple[str, str, int]]:
-    """Labelled candidates from about `sample_docs` documents: 1 where a base finding overlaps. At most `findings`, by a hash order."""
+    """Labelled candidates from about `sample_docs` documents: 1 where a base finding overlaps. At most `findings`, by a hash order, and
+    of each label no more after the first CHARACTERS / 2 characters."""
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
     n = rows.count()
     if not n:
@@ -206,17 +284,17 @@ def findings_of(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, findings: int =
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for text in batch.column("text").to_pylist():
-            base = base_spans(text)
+            known = Cover(base_spans(text))
             for a, b in candidates(text):
-                label = int(any(x < b and a < y for x, y, _ in base))
+                label = int(known.meets(a, b))
                 left, right = text[max(0, a - AROUND) : a].rjust(AROUND, "\0"), text[b : b + AROUND]
-                out.append((text[a:b][:4096], left + "\0" + right, label))
+                out.append((text[a:b], left + "\0" + right, label))
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int32())], ["own", "around", "label"])
 
-    found = map_arrow(rows.filter(below(sample_docs / n, 21, "doc_id")), each, "own string, around string, label int").distinct()
-    order = found.withColumn("rank", F.xxhash64("own", "around")).orderBy("label", "rank")
-    halves = [order.filter(F.col("label") == k).orderBy("rank", "own").limit(findings // 2) for k in (0, 1)]
-    return [(r["own"], r["around"], r["label"]) for r in halves[0].unionByName(halves[1]).collect()]
+    found = cut(map_arrow(rows.filter(below(sample_docs / n, 21, "doc_id")), each, "own string, around string, label int").distinct().withColumn("rank", F.xxhash64("own", "around")))
+    before = F.sum(F.length("own")).over(W.orderBy("rank", "own").rowsBetween(W.unboundedPreceding, -1))  # over `findings` rows at most
+    halves = [found.filter(F.col("label") == k).orderBy("rank", "own").limit(findings // 2).withColumn("before", before).filter(F.coalesce("before", F.lit(0)) < CHARACTERS // 2) for k in (0, 1)]
+    return [(r["own"], r["around"], r["label"]) for r in halves[0].unionByName(halves[1]).orderBy("label", "rank", "own", "around").collect()]
 
 
 def scan_secrets(docs: DataFrame, net: SecretNet | None) -> DataFrame:
@@ -230,13 +308,15 @@ def scan_secrets(docs: DataFrame, net: SecretNet | None) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("score", pa.float64())]))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        net, out = shared.value, []
-        for text in batch.column("text").to_pylist():
-            text = text or ""
-            base = base_spans(text)
-            more = candidates(text) if net is not None else []
-            scores = net.score(text, more) if more else ()
-            found = [(a, b, k, 1.0) for a, b, k in base] + [(a, b, "cnn", float(s)) for (a, b), s in zip(more, scores, strict=True) if s >= net.threshold and reaches_beyond(a, b, base)]
+        net, texts = shared.value, [t or "" for t in batch.column("text").to_pylist()]
+        base = [base_spans(t) for t in texts]
+        more = [candidates(t) if net is not None else [] for t in texts]
+        some = [k for k, c in enumerate(more) if c]
+        scores = iter(net.score([codes(texts[k]) for k in some], [more[k] for k in some]).tolist() if some else ())
+        out = []
+        for own, cands in zip(base, more, strict=True):
+            known = Cover(own)
+            found = [(a, b, k, 1.0) for a, b, k in own] + [(a, b, "cnn", s) for (a, b), s in zip(cands, scores) if s >= net.threshold and not known.holds(a, b)]
             found.sort(key=lambda s: (s[0], KINDS.index(s[2])))
             out.append([{"start": a, "end": b, "kind": k, "score": s} for a, b, k, s in found])
         return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names_kept), pa.array(out, span)], [*names_kept, "spans"])
