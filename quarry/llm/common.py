@@ -19,13 +19,25 @@ _BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own, or a temporary one where none is set (tests)."""
+    """The shared folder for checkpoints: the cluster's own; where none is set and all runs in one process (tests), a temporary one.
+
+    A cluster without `spark.checkpoint.dir` is refused: its machines share no folder that could be chosen here.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarry-"))
     return context.getCheckpointDir()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """For applications: holds the session's Arrow batches at BATCH_ROWS, unless its owner has chosen a size. No operator does so itself."""
+    if spark.conf.get(_BATCHES) == "10000":
+        spark.conf.set(_BATCHES, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df`, written once to the shared checkpoint folder. Survives lost executors, unlike a local checkpoint.
 
@@ -38,12 +50,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow over slices of at most `rows` rows, so that a worker's scratch memory doesn't follow Spark's batch size.
-
-    A session that leaves Spark's batch size at its default (10,000 rows) gets BATCH_ROWS: batches of texts are large.
-    """
-    if df.sparkSession.conf.get(_BATCHES) == "10000":
-        df.sparkSession.conf.set(_BATCHES, str(BATCH_ROWS))
+    """mapInArrow over slices of at most `rows` rows, so that a worker's scratch memory doesn't follow Spark's batch size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,18 +135,18 @@ def _components_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of the (u, v) edges; component is the smallest node reachable.
 
     Up to SMALL_EDGES edges go to one task. More take alternating large-star and small-star steps, each cut, until nothing changes:
-    logarithmically many rounds, no state on the driver but a count and a checksum. Joins are equi-joins on nodes, whose skew
+    logarithmically many rounds for the usual graph and as many as it takes for any, no state on the driver but a count and a checksum. Joins are equi-joins on nodes, whose skew
     adaptive execution can split.
     """
     edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     if edges.count() <= SMALL_EDGES:
         return edges.repartition(1).mapInArrow(_components_of, "node long, component long")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

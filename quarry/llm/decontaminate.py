@@ -5,21 +5,23 @@ state after each word gives the longest match that ends there. Where the match i
 item, its words are hit. A word or a word pair that no item has would send the automaton back to its root, so only the runs
 between such places are walked.
 
-Scale: documents are read once and never shuffled. The automaton is broadcast; its size is bounded by BLOCK_WORDS item words:
-a larger benchmark is cut into blocks, each one more pass that adds its hits to those before.
+Scale: the automaton is broadcast; its size is bounded by BLOCK_WORDS item words. A benchmark of one block needs one reading of the
+documents and no shuffle. A larger one is cut into blocks of one reading each, which keep the hits alone (runs of a few numbers, under a
+hash of the row); one more reading joins them to the documents that have any.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, widened
+from .common import KeyFilter, cut, map_arrow, widened
 from .textvec import SYMBOLS, chunks, word_hashes, words
 
 WINDOW = 10
@@ -181,64 +183,116 @@ def blocks_of(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str
     yield held
 
 
+ADDED = ("n_words", "n_hit", "longest", "items", "spans")
+RUNS = "items array<string>, runs array<struct<first:bigint,last:bigint,a:bigint,b:bigint,longest:bigint>>"
+_runs = pa.list_(pa.struct([(n, pa.int64()) for n in ("first", "last", "a", "b", "longest")]))
+
+
+def hits(block: Block, texts: pa.Array) -> tuple[list[int], list[list[str]], list[list[dict]]]:
+    """For each text its number of words, the items found, and its maximal runs of hit words: their word numbers, bytes and longest match."""
+    n_words, found, runs = [], [], []
+    for _, _, data, at in chunks(texts):
+        starts, ends, index = words(data, at, SYMBOLS)
+        row = np.repeat(np.arange(len(index) - 1), np.diff(index))
+        number = block.numbers(word_hashes(data, starts, ends, SYMBOLS))
+        seen: dict[int, list[tuple[int, int, int]]] = {}
+        who: dict[int, set[int]] = {}
+        for a, b in block.runs(number, row):
+            r = int(row[a])
+            for x, y, items, length in block.automaton.stream(number[a:b].tolist()):
+                seen.setdefault(r, []).append((a + x, a + y, length))
+                who.setdefault(r, set()).update(items)
+        n_words += np.diff(index).tolist()
+        for r in range(len(index) - 1):
+            found.append(sorted({block.ids[j] for j in who.get(r, ())}))
+            own = union([{"first": x, "last": y, "longest": n} for x, y, n in seen.get(r, ())])
+            runs.append([{"first": int(s["first"] - index[r]), "last": int(s["last"] - index[r]), "a": int(starts[s["first"]] - at[r]), "b": int(ends[s["last"] - 1] - at[r]), "longest": s["longest"]} for s in own])
+    return n_words, found, runs
+
+
+def union(runs: list[dict]) -> list[dict]:
+    """Maximal runs of words of several runs; where two meet the longest match counts, and the bytes of both."""
+    out: list[dict] = []
+    for s in sorted(runs, key=lambda s: s["first"]):
+        if out and s["first"] <= out[-1]["last"]:
+            if s["last"] > out[-1]["last"]:
+                out[-1] |= {"last": s["last"], **({"b": s["b"]} if "b" in s else {})}
+            out[-1]["longest"] = max(out[-1]["longest"], s["longest"])
+        else:
+            out.append(dict(s))
+    return out
+
+
 def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """`docs` with n_words, n_hit, longest (words of the longest match), items array<string> and spans array<struct<a,b>>.
+    """`docs` with n_words, n_hit, longest (words of the longest match), items array<string> and spans array<struct<a,b,longest>>.
 
-    `spans` are maximal runs of hit words as byte ranges of the UTF-8 text. A null text has no words; an item without words
-    has no window; null item ids count as ''. Nulls elsewhere and columns of any other name pass through unseen.
+    `spans` are maximal runs of hit words as byte ranges of the UTF-8 text, each with its longest match in words. A null text has no
+    words; an item without words has no window; null item ids count as ''. Nulls elsewhere and columns of any other name pass unseen.
     """
-    added = ("n_words", "n_hit", "longest", "items", "spans")
-    df = docs.drop(*added)
+    df = docs.drop(*ADDED)
     keep = df.columns
-    schema = widened(df, "n_words bigint, n_hit bigint, longest bigint, items array<string>, spans array<struct<a:bigint,b:bigint>>")
-    span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-    for k, items in enumerate(blocks_of(benchmark, block_words)):
-        shared = docs.sparkSession.sparkContext.broadcast(Block(items, window))
-        df = cut(df) if k else df
-
-        def each(batch: pa.RecordBatch, shared=shared, first=not k) -> pa.RecordBatch:
-            block: Block = shared.value
-            n_words, n_hit, longest, found, spans = [], [], [], [], []
-            for lo, _, data, at in chunks(batch.column("text")):
-                starts, ends, index = words(data, at, SYMBOLS)
-                row = np.repeat(np.arange(len(index) - 1), np.diff(index))
-                number = block.numbers(word_hashes(data, starts, ends, SYMBOLS))
-                hit, who, best = np.zeros(len(starts), bool), {}, {}
-                for a, b in block.runs(number, row):
-                    for x, y, items_, length in block.automaton.stream(number[a:b].tolist()):
-                        hit[a + x : a + y] = True
-                        who.setdefault(int(row[a]), set()).update(items_)
-                        best[int(row[a])] = max(best.get(int(row[a]), 0), length)
-                if not first:
-                    for r in range(len(index) - 1):
-                        for s in batch.column("spans")[lo + r].as_py():
-                            own = slice(index[r], index[r + 1])
-                            hit[own] |= (starts[own] - at[r] >= s["a"]) & (ends[own] - at[r] <= s["b"])
-                for r, (a, b) in enumerate(zip(index[:-1], index[1:], strict=True)):
-                    names = {block.ids[j] for j in who.get(r, ())}
-                    before = {} if first else {n: batch.column(n)[lo + r].as_py() for n in ("items", "longest")}
-                    n_words.append(b - a)
-                    n_hit.append(int(hit[a:b].sum()))
-                    longest.append(max(best.get(r, 0), before.get("longest", 0)))
-                    found.append(sorted(names | set(before.get("items", ()))))
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].view(np.int8), [0]]))) if n_hit[-1] else ()
-                    spans.append([{"a": int(starts[a + x] - at[r]), "b": int(ends[a + y - 1] - at[r])} for x, y in zip(edges[::2], edges[1::2], strict=True)])
-            made = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(longest, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, span)]
-            return pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *made], [*keep, *added])
-
-        df = map_arrow(df, each, schema)
-    return df
+    kinds = "n_words bigint, n_hit bigint, longest bigint, items array<string>, spans array<struct<a:bigint,b:bigint,longest:bigint>>"
+    schema, span = widened(df, kinds), pa.list_(pa.struct([(n, pa.int64()) for n in ("a", "b", "longest")]))
+    share = docs.sparkSession.sparkContext.broadcast
+
+    def result(batch: pa.RecordBatch, n_words: list[int], items: list[list[str]], runs: list[list[dict]]) -> pa.RecordBatch:
+        n_hit = [sum(s["last"] - s["first"] for s in own) for own in runs]
+        longest = [max((s["longest"] for s in own), default=0) for own in runs]
+        spans = [[{n: s[n] for n in ("a", "b", "longest")} for s in own] for own in runs]
+        made = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(longest, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, span)]
+        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *made], [*keep, *ADDED])
+
+    blocks = blocks_of(benchmark, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        shared = share(Block(first, window))
+        return map_arrow(df, lambda batch: result(batch, *hits(shared.value, batch.column("text"))), schema)
+
+    # several blocks: only hits are carried from one reading to the next
+    keyed = df.select("text", F.xxhash64("text").alias("text_key")).filter("text is not null")
+
+    def found_in(block) -> DataFrame:
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            _, items, runs = hits(block.value, batch.column("text"))
+            some = np.flatnonzero([bool(r) for r in runs])
+            return pa.RecordBatch.from_arrays([batch.column("text_key").take(pa.array(some)), pa.array([items[i] for i in some], pa.list_(pa.string())), pa.array([runs[i] for i in some], _runs)], ["text_key", "items", "runs"])
+
+        return cut(map_arrow(keyed, each, "text_key bigint, " + RUNS).dropDuplicates(["text_key"]))
+
+    every = None
+    for items in chain((first, second), blocks):
+        own = found_in(share(Block(items, window)))
+        every = own if every is None else every.unionByName(own)
+    every = cut(every.groupBy("text_key").agg(F.flatten(F.collect_list("items")).alias("items_"), F.flatten(F.collect_list("runs")).alias("runs_")))
+    touched = share(KeyFilter(every.select("text_key")))
+    marked = df.withColumn("text_key_", F.xxhash64("text"))
+
+    def count(texts: pa.Array) -> list[int]:
+        return [n for _, _, data, at in chunks(texts) for n in np.diff(words(data, at, SYMBOLS)[2]).tolist()]
+
+    def clear(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(pa.array(~touched.value(batch.column("text_key_").to_numpy())))
+        none = [[] for _ in range(batch.num_rows)]
+        return result(batch, count(batch.column("text")), none, none)
+
+    def hit(batch: pa.RecordBatch) -> pa.RecordBatch:
+        items = [sorted(set(x or ())) for x in batch.column("items_").to_pylist()]
+        return result(batch, count(batch.column("text")), items, [union(x or []) for x in batch.column("runs_").to_pylist()])
+
+    some = map_arrow(marked, lambda b: b.filter(pa.array(touched.value(b.column("text_key_").to_numpy()))), marked.schema)
+    some = some.join(every, F.col("text_key_") == F.col("text_key"), "left").select(*keep, "items_", "runs_")
+    return map_arrow(marked, clear, schema).unionByName(map_arrow(some, hit, schema))
 
 
 def remove_matches(matched: DataFrame, min_words: int = 1, max_coverage: float = 0.8) -> DataFrame:
     """Documents of `match_benchmark` with the matched spans cut out of `text`; those with more than `max_coverage` of their
-    words hit, or whose text is nothing but matches, go. `min_words`: matches that are shorter stay. Clean texts stay as they are."""
-    left = [n for n in matched.columns if n not in ("n_words", "n_hit", "longest", "items", "spans")]
+    words hit, or whose text is nothing but matches, go. `min_words`: spans whose longest match is shorter stay. Clean texts stay as they are."""
+    left = [n for n in matched.columns if n not in ADDED]
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
-        for i, (spans, best) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("longest").to_pylist(), strict=True)):
-            if spans and best >= min_words:
+        for i, spans in enumerate(batch.column("spans").to_pylist()):
+            if spans := [s for s in spans if s["longest"] >= min_words]:
                 raw, at, parts = texts[i].encode(), 0, []
                 for s in spans:
                     parts.append(raw[at : s["a"]])

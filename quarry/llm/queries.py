@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_digests, format_chats
-from .common import id_crc, map_arrow, widened
+from .common import bound_batches, id_crc, map_arrow, widened
 from .decontaminate import items_digest, match_benchmark
 from .fingerprint import compare_with_next
 from .langid import fit_languages, predict_languages
@@ -23,6 +23,7 @@ from .toxicity import fit_toxicity, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

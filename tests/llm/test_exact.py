@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarry.llm import common as shared_parts
+from quarry.llm.common import checkpoint_dir, connected_components
 from quarry.llm.chat import MARKS, chat_digests, escape, format_chats, unescape
 from quarry.llm.decontaminate import match_benchmark, remove_matches
 from quarry.llm.fingerprint import compare_with_next, edited, fingerprints
@@ -74,6 +75,20 @@ def test_removal_of_matches(spark, make):
     assert kept == {1: "clean start . clean end", 2: rows[1][1], 4: None}
 
 
+@pytest.mark.parametrize("block", [200_000, 30])
+def test_limits_of_removal(spark, make, block):
+    """Spans are judged one by one: a long match goes, a short one in the same document stays; coverage decides on whole documents."""
+    long, short = " ".join(f"long{k}" for k in range(25)), " ".join(f"short{k}" for k in range(10))
+    rows = [(1, f"one {long} two {short} three"), (2, f"four {short} five six seven eight nine ten eleven"), (3, f"{long} end")]
+    bench = spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")
+    matched = match_benchmark(make(rows), bench, block_words=block)
+    assert {r["doc_id"]: [s["longest"] for s in r["spans"]] for r in matched.collect()} == {1: [25, 10], 2: [10], 3: [25]}
+    texts = lambda **limits: {r["doc_id"]: r["text"] for r in remove_matches(matched, **limits).collect()}
+    assert texts(min_words=20, max_coverage=0.95) == {1: f"one  two {short} three", 2: rows[1][1]}
+    assert texts(min_words=26, max_coverage=1.0) == dict(rows)
+    assert set(texts(max_coverage=0.6)) == {2}
+
+
 @given(st.lists(st.binary(max_size=30).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=30), st.sampled_from([8, 16, 64]))
 @settings(max_examples=60, deadline=None)
 def test_deep_shallow_order(strings, shallow):
@@ -276,6 +291,41 @@ def test_token_counts(spark, make):
     assert count_tokens(make([])).count() == 0
 
 
+def test_shared_folder(spark):
+    """Without a stated folder only a session in one process gets one of its own; operators leave the session's settings alone."""
+
+    class Context:
+        master, made = "spark://host:7077", None
+        getCheckpointDir = lambda self: self.made
+        setCheckpointDir = lambda self, d: setattr(self, "made", d)
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(Session)
+    Session.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(Session)
+    Session.conf = {"spark.checkpoint.dir": "/shared"}
+    assert checkpoint_dir(Session) == "/shared"
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    match_benchmark(spark.range(2).selectExpr("id AS doc_id", "'a' AS text"), spark.createDataFrame([(1, "a")], "item_id long, text string")).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_components_of_a_long_path(spark, monkeypatch):
+    """A path takes more rounds than a bushy graph; none is cut short."""
+    import quarry.llm.common as module
+
+    monkeypatch.setattr(module, "SMALL_EDGES", 1)
+    n = 600
+    edges = spark.createDataFrame([((k * 7919) % n, ((k + 1) * 7919) % n) for k in range(n - 1)], "u long, v long")
+    assert {r["component"] for r in connected_components(edges).collect()} == {0}
+
+
 @pytest.mark.parametrize("small", [1 << 20, 0])
 def test_components(spark, small, monkeypatch):
     monkeypatch.setattr(shared_parts, "SMALL_EDGES", small)
