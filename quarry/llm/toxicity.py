@@ -5,14 +5,15 @@ pairs and pairs with one or two words between, in DIMS buckets.
 FTRL-proximal keeps a learning rate for each coordinate and an L1 term that leaves most weights at exactly 0; the surviving
 weights (float32, DIMS of them at most: 4 MB) are broadcast and texts are scored where they lie, without a shuffle.
 
-Fitting takes a bounded sample of labelled rows: about `per_class` of each class, by a seeded hash of the id, each weighted by
-the inverse of its class's sampling rate. All rows are scored, whole texts.
+Fitting takes a bounded sample of labelled rows: about `per_class` of each class and CHARACTERS in all, by a seeded hash of the id,
+each weighted by the inverse of its class's sampling rate. All rows are scored, whole texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ DIMS = 1 << 20
 PREFIXES = (4, 5, 6)
 #: Most documents of each class that a model is fitted on, and passes over them.
 PER_CLASS, EPOCHS = 5000, 3
+#: About the most characters of the sampled texts: some 0.7 features each, of four bytes on the driver.
+CHARACTERS = 36_000_000
 _gaps = [np.uint64(x | 1) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)]
 
 
@@ -64,7 +67,7 @@ def fit_ftrl(examples: list[np.ndarray], labels: np.ndarray, weights: np.ndarray
     return w[:-1].astype(np.float32), float(w[-1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, label: str = "toxic", per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, label: str = "toxic", per_class: int = PER_CLASS, characters: int = CHARACTERS) -> tuple[np.ndarray, float]:
     """A model from (doc_id, text) and (doc_id, label); `allowed` restricts the label rows that may be learnt from.
 
     Labels other than 0 and 1 and null ids or labels are left out. Without an example of both classes the model is the bias
@@ -76,9 +79,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column | None = No
     if not counts.get(0) or not counts.get(1):
         return np.zeros(DIMS, np.float32), -4.0 if counts.get(0) else 4.0 if counts.get(1) else 0.0
     rate = {y: min(1.0, per_class / n) for y, n in counts.items()}
-    chosen = rows.filter(F.when(F.col("y") == 1, below(rate[1], 10, "doc_id")).otherwise(below(rate[0], 11, "doc_id"))).dropDuplicates(["doc_id"])
-    # `chosen` holds about 2 * per_class rows of two numbers: a bounded broadcast; the texts stay where they are.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    # The sample's rows are about 2 * per_class pairs of numbers: a bounded broadcast; the texts stay where they are.
+    pick = lambda: rows.filter(F.when(F.col("y") == 1, below(rate[1], 10, "doc_id")).otherwise(below(rate[0], 11, "doc_id"))).dropDuplicates(["doc_id"])
+    size = docs.select("doc_id", F.length("text").alias("size")).join(F.broadcast(pick()), "doc_id").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    rate = {y: r * min(1.0, characters / max(1, size)) for y, r in rate.items()}
+    sample = docs.select("doc_id", "text").join(F.broadcast(pick()), "doc_id").select("doc_id", "y", "text")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []
@@ -90,14 +95,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column | None = No
             del row_sorted
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "y", "i"])
 
-    got = map_arrow(sample, each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, i array<int>").toArrow().sort_by("doc_id")
+    got = map_arrow(sample, each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, i array<int>").toArrow()
     if got.num_rows == 0:
         return np.zeros(DIMS, np.float32), 0.0
-    y = got.column("y").to_numpy().astype(np.float64)
-    lists = got.column("i").combine_chunks()
-    flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+    examples = []  # views of the arrays that came, in the order of the ids
+    for lists in got.column("i").chunks:
+        flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        examples += [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    order = pc.sort_indices(got.column("doc_id")).to_numpy()
+    y = got.column("y").to_numpy().astype(np.float64)[order]
     weight = np.where(y == 1, 1 / rate[1], 1 / rate[0])
-    return fit_ftrl([flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], y, weight / weight.mean())
+    return fit_ftrl([examples[e] for e in order], y, weight / weight.mean())
 
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
