@@ -5,22 +5,26 @@ lies (two bits), and the text's length on a log scale. Two digests differ by the
 (0, 1, 2 and, for the far ends, 6) plus a bounded length difference; likeness is 1 less that share of what unlike texts differ by.
 
 Scale: a digest needs its own text only (Arrow batches, numpy, no shuffle). `with_next` brings each document together with its
-successor by one range partitioning of the texts; the first row of each range is copied to the range before it.
+successor by one range partitioning of the texts; the first row of each range is copied to the range before it. Ranges are cut by
+bytes, from a sample of keys; a key is the id and the beginning of the text, so that one id on very many rows is cut too.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, map_arrow, widened
+from .common import BATCH_ROWS, below, map_arrow, widened
 from .textvec import chunks
 
 BUCKETS = 256
+#: Bytes of text in a range; sampled keys for each range, and in all (the driver's share); characters of text in a key.
+PART_BYTES, KEYS_A_PART, MOST_KEYS, BEGINNING = 1 << 24, 40, 1_000_000, 64
 #: Sum of quartile distances at which likeness is 0. Digests of unrelated texts differ by about BUCKETS on average.
 UNLIKE = 1.25 * BUCKETS
 #: Most that the lengths may add to the difference, and what each step of the log scale adds.
@@ -72,41 +76,72 @@ def fingerprints(docs: DataFrame, column: str = "text") -> DataFrame:
     return map_arrow(kept, each, widened(kept, "fingerprint string"))
 
 
-def with_next(docs: DataFrame, order: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
-    """(order, text, is_copy, part), dealt and sorted so that each row's successor follows it within its part.
+class Ranges:
+    """Ranges of keys (0, id, beginning of the text), or (1, beginning) for null ids, which come last; ids of any ordered type."""
 
-    Ascending `order`, nulls last; rows of equal ids stand in the order of their texts. Each part ends with a copy
-    (is_copy) of the row that comes after it, that of the last part being the first row of all.
+    def __init__(self, sample: list[tuple[tuple, int]], parts: int):
+        sample = sorted(sample)
+        upto = np.cumsum([size + 1 for _, size in sample])
+        places = np.searchsorted(upto, [upto[-1] * k / parts for k in range(1, parts)]) if len(sample) else []
+        self.bounds = sorted({sample[p][0] for p in places})
+        ids = [b[1] for b in self.bounds if b[0] == 0]
+        self.ids = np.array(ids, np.int64) if all(type(i) is int for i in ids) else None
+
+    def of(self, keys: pa.RecordBatch) -> np.ndarray:
+        """The range of each (id, beginning): the first whose bound isn't below it."""
+        ids = keys.column("id")
+        if self.ids is None or not pa.types.is_integer(ids.type):
+            return np.array([bisect_left(self.bounds, k) for k in key_list(keys)], np.int64)
+        values = ids.cast(pa.int64()).fill_null(0).to_numpy()
+        out, upper = np.searchsorted(self.ids, values), np.searchsorted(self.ids, values, "right")
+        for i in np.flatnonzero((out != upper) | ids.is_null().to_numpy(zero_copy_only=False)).tolist():
+            out[i] = bisect_left(self.bounds, key_list(keys.slice(i, 1))[0])
+        return out
+
+
+def key_list(keys: pa.RecordBatch) -> list[tuple]:
+    return [(1, t) if i is None else (0, i, t) for i, t in zip(keys.column("id").to_pylist(), keys.column("beginning").to_pylist(), strict=True)]
+
+
+def with_next(docs: DataFrame, order: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """(id, text, is_copy, part), dealt and sorted so that each row's successor follows it within its part.
+
+    Ascending `order` of any type that Python and Spark sort alike (numbers, strings, dates), nulls last; rows of equal ids stand in the
+    order of their texts. Each part ends with a copy (is_copy) of the row that comes after it, that of the last part being the first row of all.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(order).alias("id"), F.col(text).alias("text"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    quantiles = rows.filter("id is not null").select(F.percentile_approx("id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else None
-    bounds = np.array(sorted({int(x) for x in quantiles or ()}), np.int64)
-
-    def part_of(ids: pa.Array) -> np.ndarray:
-        """The part of each id: the first whose bound isn't below it; nulls are in the last one."""
-        return np.where(ids.is_null().to_numpy(zero_copy_only=False), len(bounds), np.searchsorted(bounds, ids.fill_null(0).to_numpy()))
+    keyed = rows.withColumn("beginning", F.coalesce(F.substring("text", 1, BEGINNING), F.lit("")))
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, -(-size // part_bytes), min(context.defaultParallelism, size >> 20))
+    chosen = keyed.filter(below(min(MOST_KEYS, KEYS_A_PART * parts) / max(1, n), 41, "id", "beginning")) if parts > 1 else keyed.limit(0)
+    sample = chosen.select("id", "beginning", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).collect()
+    ranges = Ranges([(((1, r["beginning"]) if r["id"] is None else (0, r["id"], r["beginning"])), r["size"]) for r in sample], parts)
 
     def parts_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(part_of(batch.column("id")), pa.int32())], ["id", "part"])
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("beginning"), pa.array(ranges.of(batch), pa.int32())], ["id", "beginning", "part"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    # One (part, first id) for each part: where a part holds null ids alone, its first id is null.
-    firsts = sorted(map_arrow(rows.select("id"), parts_of, f"id {kind}, part int").groupBy("part").agg(F.min("id").alias("id")).collect(), key=lambda r: r["part"])
-    heads = {r["id"]: firsts[i - 1]["part"] for i, r in enumerate(firsts)}
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "beginning")).alias("key")
+    firsts = sorted(map_arrow(keyed.select("id", "beginning"), parts_of, f"id {kind}, beginning string, part int").groupBy("part").agg(least).collect(), key=lambda r: r["part"])
+    # of each part's first key, the part before
+    heads = {((1, r["key"]["beginning"]) if r["key"]["none"] else (0, r["key"]["id"], r["key"]["beginning"])): firsts[i - 1]["part"] for i, r in enumerate(firsts)}
+    starts = sorted(heads)
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, part = batch.column("id"), part_of(batch.column("id"))
-        first = [i for i, v in enumerate(ids.to_pylist()) if v in heads]
-        rows = np.concatenate([np.arange(len(part)), np.array(first, np.int64)])
-        to = np.concatenate([part, np.array([heads[ids[i].as_py()] for i in first], np.int64)])
-        copy = np.concatenate([np.zeros(len(part), np.int32), np.ones(len(first), np.int32)])
-        taken = pa.array(rows)
-        return pa.RecordBatch.from_arrays([ids.take(taken), batch.column("text").take(taken), pa.array(to, pa.int32()), pa.array(copy)], ["id", "text", "part", "is_copy"])
+        part = ranges.of(batch)
+        first, to = [], []
+        for i, k in enumerate(key_list(batch)):
+            p = bisect_right(starts, k) - 1
+            if p >= 0 and starts[p] == k:
+                first.append(i)
+                to.append(heads[k])
+        taken = pa.array(np.concatenate([np.arange(len(part)), np.array(first, np.int64)]))
+        part, copy = np.concatenate([part, np.array(to, np.int64)]), np.repeat([0, 1], [len(part), len(first)])
+        return pa.RecordBatch.from_arrays([batch.column("id").take(taken), batch.column("text").take(taken), pa.array(part, pa.int32()), pa.array(copy, pa.int32())], ["id", "text", "part", "is_copy"])
 
-    dealt = map_arrow(rows, deal, f"id {kind}, text string, part int, is_copy int")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "is_copy", F.col("id").isNull(), "id", "text")
+    dealt = map_arrow(keyed, deal, f"id {kind}, text string, part int, is_copy int")
+    return dealt.repartitionById(len(ranges.bounds) + 1, "part").sortWithinPartitions("part", "is_copy", F.col("id").isNull(), "id", "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -115,10 +150,11 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def compare_with_next(docs: DataFrame) -> DataFrame:
+def compare_with_next(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_chars, edited_text, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of (doc_id, text).
 
-    Nulls are empty texts; a single row is its own successor; null ids come last; an empty table gives no rows.
+    Nulls are empty texts; a single row is its own successor; ids may be of any ordered type, null ids come last; of equal ids the
+    texts decide; an empty table gives no rows. Other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType
 
@@ -152,4 +188,4 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
                     yield made.cast(pa.schema([made.schema.field(0).with_type(batch.schema.field("id").type), *list(made.schema)[1:]]))
 
     schema = f"doc_id {kind.simpleString()}, n_chars long, edited_text string, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs).mapInArrow(run, schema)
+    return with_next(docs, part_bytes=part_bytes).mapInArrow(run, schema)

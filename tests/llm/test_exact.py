@@ -236,6 +236,13 @@ def test_fingerprints(spark, make):
     for r in fingerprints(make(rows)).collect():
         known[r["text"] or ""].add(r["fingerprint"])
     assert all(len(v) == 1 for v in known.values())
+    for kind in ("string", "decimal(20,2)", "date"):  # ids of other types; ranges cut within one id that many rows have
+        more = [(i if k % 2 else 5, f"{k % 7}{t}") for k, (i, t) in enumerate(rows[11:] * 4)]
+        typed = spark.createDataFrame([(f"{2000 + i}-01-01" if kind == "date" else f"{i:05d}", t) for i, t in more], "doc_id string, text string").selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text")
+        ids = [r["doc_id"] for r in typed.collect()]
+        turn = sorted(zip(ids, (t for _, t in more)))
+        found = Counter((r["doc_id"], r["edited_sha256"]) for r in compare_with_next(typed, part_bytes=900).collect())
+        assert found == Counter((i, hashlib.sha256(edited(t, turn[(k + 1) % len(turn)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(turn))
     one = compare_with_next(make([(1, "abcd")])).collect()
     assert [r["edited_text"] for r in one] == ["abca"]
     assert compare_with_next(make([])).count() == 0
