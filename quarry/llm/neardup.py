@@ -6,10 +6,12 @@
    values of both: only this prefix is posted, and values that one node alone has are skipped.
 3. In each posting list collisions are counted over whole signatures; nodes with enough of them are merged into families.
    A list of over BLOCK nodes is merged whole: families may be too large, never too small.
-4. Links are confirmed within families on full sets, by counting common shingles. A family of over BLOCK nodes is cut into
+4. A family of over BLOCK nodes is narrowed first: its nodes are posted under shingles, the family's common ones last, each under so
+   many that linked nodes must share one. What stays together is a smaller family; this goes on as long as families get smaller.
+5. Links are confirmed within families on full sets, by counting common shingles. A family that stays over BLOCK nodes is cut into
    blocks by distance to its most central node, and pairs of blocks are compared; Jaccard distance being a metric, blocks whose
    distances to the centre differ by more than a link can span are passed over, as are two blocks that are linked to the centre.
-5. Components of the confirmed links, by star contraction.
+6. Components of the confirmed links, by star contraction.
 
 Scale: texts are read twice and never shuffled. Exact copies cost a row each. Signatures are shuffled as (value, node) rows; sets
 only of nodes in families. No pairs are emitted: each worker returns a spanning forest of what it confirmed.
@@ -32,6 +34,8 @@ from .textvec import BLANKS, chunks, mix, word_hashes, words
 COORDINATES = 32
 MISS = 1e-6
 BLOCK = 512
+#: A shingle of one node in so many of its family is common there.
+COMMON = 16
 #: Nodes in families up to which their families are broadcast (16 bytes each).
 BROADCAST_NODES = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(99))
@@ -247,18 +251,53 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     if large.isEmpty():
         links = grouped(full, "family", lambda t: confirmed(t, percent), "u long, v long")
     else:
-        full = cut(full)
+        full = narrowed(cut(full), percent)
         links = grouped(full.filter(F.col("members") <= BLOCK), "family", lambda t: confirmed(t, percent), "u long, v long")
-        links = links.unionByName(large_family_links(full.filter(F.col("members") > BLOCK), central, percent))
+        rest = cut(full.filter(F.col("members") > BLOCK))
+        if not rest.isEmpty():
+            links = links.unionByName(large_family_links(rest, central, percent))
     joined = connected_components(links)
     classes = reps.join(joined, "node", "left").select("node", "copies", "least", F.coalesce("component", "node").alias("component"))
+    classes = cut(classes)  # so that the join below deals both of its sides anew, and a large component can be split
     ends = classes.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("copies").alias("size")).filter("size > 1")
+    ends = cut(ends)
     labels = classes.join(ends, "component").select("node", "component_id")
     out = rows.select("doc_id", "rkey", "node", "n").join(labels, "node", "left")
     own = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "rkey", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
+def narrowed(full: DataFrame, percent: int) -> DataFrame:
+    """(node, family, shingles, members) with families of over BLOCK nodes cut down to what shared shingles can link; nodes alone go.
+
+    Of n shingles two linked sets share so many that they meet in the first n - ceil(percent * n / 100) + 1 of each, in any one order.
+    In the order taken a family's common shingles (those of one node in COMMON at least) come last.
+    """
+    done = full.filter(F.col("members") <= BLOCK)
+    left = full.filter(F.col("members") > BLOCK).dropDuplicates(["node"])
+    while True:
+        left = cut(left)
+        before = left.groupBy("family").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if before is None:
+            return done
+        counts = left.select("family", "members", F.explode("shingles").alias("shingle")).groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("often"), F.first("members").alias("members"))
+        common = counts.filter(F.col("often") * COMMON >= F.col("members")).groupBy("family").agg(F.sort_array(F.collect_list(F.struct("often", "shingle")))["shingle"].alias("common"))
+        rare = F.sort_array(F.array_except("shingles", F.coalesce("common", F.array().cast("array<bigint>"))))
+        last = F.array_intersect(F.coalesce("common", F.array().cast("array<bigint>")), "shingles")
+        n = F.size("shingles")
+        first = F.slice(F.concat(rare, last), F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1)
+        posted = cut(left.join(common, "family", "left").select("family", "node", F.explode(first).alias("shingle")))
+        lists = cut(posted.groupBy("family", "shingle").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+        parts = connected_components(posted.join(lists, ["family", "shingle"]).select(F.col("node").alias("u"), F.col("least").alias("v")))
+        parts = cut(parts.withColumnRenamed("component", "part"))
+        sizes = cut(parts.groupBy("part").agg(F.count(F.lit(1)).alias("size")))
+        left = cut(left.join(parts, "node").join(sizes, "part").select("node", F.col("part").alias("family"), "shingles", F.col("size").alias("members")))
+        done = done.select("node", "family", "shingles", "members").unionByName(left.filter(F.col("members") <= BLOCK))
+        left = left.filter(F.col("members") > BLOCK)
+        if (left.agg(F.max("members")).first()[0] or 0) >= before:
+            return done.unionByName(left)
+
+
 def large_family_links(full: DataFrame, central: DataFrame, percent: int) -> DataFrame:
     """Spanning links (u, v) of families of over BLOCK nodes, from (node, family, shingles): step 4 of the module's account."""
     reach = 1 - percent / 100
@@ -289,8 +328,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     shingles all stay."""
     found = cut(near_duplicates(docs, shingle, percent).select("rkey", "kept", (F.col("n_shingles") > 0).alias("full")))
     drop = found.filter(~F.col("kept")).select("rkey").distinct()
-    again = found.filter("kept and full").groupBy("rkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rkey", F.lit(-1).cast("long").alias("one"))
-    touched = cut(drop.withColumn("one", F.lit(None).cast("long")).unionByName(again))
+    again = found.filter("kept and full").groupBy("rkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rkey", F.lit(True).alias("again"))
+    touched = cut(drop.withColumn("again", F.lit(False)).unionByName(again))
     shared = docs.sparkSession.sparkContext.broadcast(KeyFilter(touched.select("rkey")))
     columns = docs.columns
 
@@ -299,7 +338,6 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
 
     keyed = docs.withColumn("rkey", F.xxhash64("doc_id", "text"))
     sure = map_arrow(keyed, lambda b: clear(b, False), docs.schema)
-    rest = map_arrow(keyed, lambda b: clear(b, True), keyed.schema).join(touched.filter("one is null").select("rkey"), "rkey", "left_anti")
-    # a repeated row is kept once; other rows that the filter let through have a number of their own
-    rest = rest.join(touched.filter("one is not null"), "rkey", "left").withColumn("one", F.coalesce("one", F.monotonically_increasing_id()))
-    return sure.unionByName(rest.dropDuplicates(["rkey", "one"]).select(*columns))
+    rest = map_arrow(keyed, lambda b: clear(b, True), keyed.schema).join(touched, "rkey", "left")
+    once = rest.filter("again").dropDuplicates(["rkey"])
+    return sure.unionByName(rest.filter("again is null").select(*columns)).unionByName(once.select(*columns))

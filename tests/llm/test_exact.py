@@ -190,6 +190,15 @@ def test_near_duplicates(spark, make, block, monkeypatch):
     assert set(ids) - {None} == {i for i, _, c in got if i == c and i is not None} and ids.count(6) == 1
 
 
+def test_pages_of_one_template(spark, make):
+    """Pages that share most shingles form one family but no links; a few true copies among them are found."""
+    head = " ".join(f"t{k}" for k in range(12))
+    rows = [(k, f"{head} a{k} b{k} c{k}") for k in range(1500)] + [(2000 + k, f"{head} a{k} b{k} c{k}") for k in (3, 700)]
+    rows += [(3000 + k, " ".join(f"u{j}" for j in range(40)) + f" {k}") for k in range(3)]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(make(rows), 3, 85).collect()}
+    assert got == {i: {2003: 3, 2700: 700, 3001: 3000, 3002: 3000}.get(i, i) for i, _ in rows}
+
+
 def test_matches_asked_for():
     assert least_matches(0.85) == 16 and least_matches(0.8) < 16 and least_matches(1.0) == 32
 
