@@ -1,12 +1,15 @@
 """Operator 4: token counts by trie-shared dynamic programming over distinct pre-tokens.
 
 A pre-token is a run of non-blank characters with a word mark before it. Its tokens are the best segmentation into vocabulary
-pieces by a unigram score; a character that no piece covers falls back to its bytes. The forward score of a prefix is the same in all
-pre-tokens that begin with it: distinct pre-tokens are taken in order, which walks their trie depth first; scores are kept along the
-current path alone and computed once for each shared prefix, and the count at a pre-token's end is stored under its hash.
+pieces by a unigram score; a character that no piece covers falls back to its bytes. Each worker keeps a trie of the distinct pre-tokens
+that it has met. A node has the forward entry of its prefix (best score, tokens) and the pieces under way there; a new pre-token is
+inserted from the root, computes entries for the nodes that it adds alone, and finds its count in the node where it ends.
 
-Scale: texts are read once, without a shuffle. Workers keep the counts that they have stored between batches, up to KNOWN of them
-(16 bytes each), and start anew beyond: memory is bounded, results don't change. The vocabulary (under 1 MB) is broadcast.
+The public vocabularies have merge ranks, no unigram scores, and tokenizers aren't trained here: scores follow the ranks.
+
+Scale: texts are read once, without a shuffle. Terminal counts are also kept under the pre-tokens' hashes, so that whole chunks
+are looked up at once. A trie of over NODES nodes, or over KNOWN counts, is started anew: memory is bounded, results don't change. The
+vocabulary (under 1 MB) is broadcast.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .textvec import chunks, lookup, word_hashes, words
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 KNOWN = 1 << 22
+#: Nodes of a worker's trie, some 400 bytes each.
+NODES = 1 << 18
 #: Words are runs of [^\x20\x09-\x0D], case as it is.
 WORDS = lookup(" \t\n\v\f\r", lower=False)
 
@@ -52,36 +57,44 @@ class Unigram:
         return cls(scores, -math.log(len(pieces) + 2.7), root)
 
     def counts(self, texts: list[str]) -> list[int]:
-        """Tokens of each distinct pre-token, in the order given. Of equal scores the fewest tokens count.
-
-        Sorted, the pre-tokens are their trie's leaves from left to right. `best` has the forward entry (score, -tokens) of each
-        prefix of the current one, `live` the pieces that are under way there: (branches, entry before the piece).
-        """
-        out, path = [0] * len(texts), ""
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        live: list[list[tuple[dict, tuple[float, int]]]] = [[]]
-        root, byte = self.root, self.byte
-        for i in sorted(range(len(texts)), key=texts.__getitem__):
-            text = texts[i]
-            same = 0
-            while same < len(path) and same < len(text) and path[same] == text[same]:
-                same += 1
-            del best[same + 1 :], live[same + 1 :]
-            for at in range(same, len(text)):
-                c, entry = text[at], best[at]
-                n = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
-                top, on = (entry[0] + n * byte, entry[1] - n), []
-                for branches, before in (*live[at], (root, entry)):
-                    node = branches.get(c)
-                    if node is not None:
-                        if node[1] is not None and (found := (before[0] + node[1], before[1] - 1)) > top:
-                            top = found
-                        if node[0]:
-                            on.append((node[0], before))
-                best.append(top)
-                live.append(on)
-            path, out[i] = text, -best[len(text)][1]
-        return out
+        """Tokens of each pre-token, by a trie of their own. Of equal scores the fewest tokens count."""
+        trie = Trie(self)
+        return [trie.insert(t) for t in texts]
+
+
+class Trie:
+    """Distinct pre-tokens with the forward entry of every prefix.
+
+    A node is [children by character, score, -tokens, pieces under way: (branches, score and -tokens before the piece)].
+    """
+
+    def __init__(self, model: Unigram):
+        self.model, self.nodes = model, 1
+        self.root: list = [{}, 0.0, 0, ()]
+
+    def insert(self, text: str) -> int:
+        """The tokens of `text`, which is in the trie from now on."""
+        node = self.root
+        for c in text:
+            node = node[0].get(c) or self._extend(node, c)
+        return -node[2]
+
+    def _extend(self, node: list, c: str) -> list:
+        _, score, tokens, live = node
+        n = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+        top, least, on = score + n * self.model.byte, tokens - n, []
+        for branches, before, count in (*live, (self.model.root, score, tokens)):
+            found = branches.get(c)
+            if found is not None:
+                if found[1] is not None:
+                    reached = before + found[1]
+                    if reached > top or reached == top and count - 1 > least:
+                        top, least = reached, count - 1
+                if found[0]:
+                    on.append((found[0], before, count))
+        made = node[0][c] = [{}, top, least, on]
+        self.nodes += 1
+        return made
 
 
 @cache
@@ -94,11 +107,17 @@ def _model(raw: bytes) -> Unigram:
 
 
 class Stored:
-    """Counts by pre-token hash, in sorted arrays; one for each worker process and vocabulary."""
+    """A worker's trie and its terminal counts by pre-token hash, in sorted arrays; one for each process and vocabulary."""
 
-    def __init__(self) -> None:
+    def __init__(self, model: Unigram) -> None:
+        self.trie = Trie(model)
         self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
+    def count(self, text: str) -> int:
+        if self.trie.nodes > NODES:
+            self.trie = Trie(self.trie.model)
+        return self.trie.insert(text)
+
     def get(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
         known = self.keys[place] == h if len(self.keys) else np.zeros(len(h), bool)
@@ -106,7 +125,7 @@ class Stored:
 
     def put(self, h: np.ndarray, values: np.ndarray) -> None:
         if len(self.keys) + len(h) > KNOWN:
-            self.__init__()
+            self.keys, self.values = self.keys[:0], self.values[:0]
         place = np.searchsorted(self.keys, h)
         self.keys, self.values = np.insert(self.keys, place, h), np.insert(self.values, place, values)
 
@@ -123,7 +142,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = _model(shared.value)
-        stored = _stored.setdefault(hash(shared.value), Stored())
+        stored = _stored.get(hash(shared.value)) or _stored.setdefault(hash(shared.value), Stored(model))
         pre, tokens = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
         for lo, hi, data, at in chunks(batch.column("text")):
             starts, ends, first = words(data, at, WORDS)
@@ -136,7 +155,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 raw = data.tobytes()
                 texts = [MARK + raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[one[fresh]].tolist(), ends[one[fresh]].tolist(), strict=True)]
                 counts = counts.copy()
-                counts[fresh] = model.counts(texts)
+                counts[fresh] = [stored.count(t) for t in texts]
                 stored.put(distinct[fresh], counts[fresh])
             sums = np.concatenate([[0], np.cumsum(counts[which])])
             pre[lo:hi], tokens[lo:hi] = np.diff(first), sums[first[1:]] - sums[first[:-1]]

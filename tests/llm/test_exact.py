@@ -21,7 +21,7 @@ from quarry.llm.oracle import ORACLE
 from quarry.llm.queries import QUERIES
 from quarry.llm.suffixdedup import common, deep_shallow, remove_repeats, repeated_offsets
 
-from quarry.llm.tokencount import MARK, Unigram, count_tokens, _model
+from quarry.llm.tokencount import MARK, Trie, Unigram, count_tokens, _model
 
 from .conftest import AWKWARD
 
@@ -294,6 +294,9 @@ def brute_count(model, text):
 def test_trie_counts(texts):
     model = Unigram.of(["a", "b", "ab", "abc", "bca", "aa", "cab", "abcabc"])
     assert model.counts(texts) == [brute_count(model, t) for t in texts]
+    trie = Trie(model)
+    assert [trie.insert(t) for t in texts * 2] == [brute_count(model, t) for t in texts] * 2
+    assert trie.nodes == len({t[:k] for t in texts for k in range(len(t) + 1)} | {""})  # each shared prefix once
 
 
 def test_token_counts(spark, make):
