@@ -2,12 +2,15 @@
 
 A corpus of T words is mixed into `shards` shards of equal-token blocks. Targets: the words that each source should give, by
 weight, never above `max_epochs` times its own words; what a capped source can't take is shared out again by weight.
-Quotas: each shard's blocks go to the sources with the highest quotients target / (2k + 1). Selection: a source's
-documents stand in a seeded order; its quota takes that order's blocks from the start, going round again where the quota is
-above the source's size.
+Quotas: each shard's blocks go to the sources with the highest quotients target / (2k + 1). Selection: a source's documents stand in a
+seeded order, which is cut into blocks of equal words; as many blocks are selected as all shards' quotas ask for, going round the
+order again where they exceed the source. Every `shards` blocks in turn go to one shard each, by a seeded rotation: each shard gets
+its quota.
 
 Scale: texts are read once, to count words; the (id, source, size, order) rows are cut. Sums go by (source, bucket of
-the seeded order), so that a source with a third of all rows is spread over its buckets, each of which is ordered by itself. Plans over sources hold a row for each source.
+the seeded order), so that a source with a third of all rows is spread over its buckets, each of which is ordered by itself. Plans over
+sources hold a row for each source. `mix_documents` shuffles no text: what it takes of a document follows from the document's own
+place in the order and the row at which its source's selection ends.
 """
 
 from __future__ import annotations
@@ -71,32 +74,95 @@ def source_quotas(targets: DataFrame, shards: int, blocks: int) -> DataFrame:
     return quotas.select("source", "source_size", "weight", "target", "block_tokens", "quota", (F.col("quota") * F.col("block_tokens") * shards).alias("quota_tokens"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, shards: int = 16, blocks: int = 65_536, seed: str = "mix-1") -> DataFrame:
-    """For each row of (doc_id, text, source, ...): doc_id, size, source, source_size, target, quota_tokens, taken, first_token.
+def _size_and_rank(docs: DataFrame, seed: str) -> tuple[Column, Column]:
+    named = F.concat(F.lit(seed + ":"), F.coalesce(docs["doc_id"].cast("string"), F.lit("null")))
+    return word_count(docs["text"]), F.md5(named.cast("binary"))
 
-    `taken` is the number of words that the mix takes, repeats counted; `first_token` the place of the document in its
-    source's seeded order, in words. No block or shard is assigned. Nulls: a null text has size 0 and is never taken; a null source is a source of its own; null ids
-    are ordered last. Rows alike in id and size are interchangeable. An empty table gives no rows. Other columns of `docs` are
-    ignored, whatever their names.
-    """
-    rows = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("rank"))
-    rows = cut(rows)
+
+def _placed(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, shards: int, blocks: int, seed: str) -> tuple[DataFrame, DataFrame, bool]:
+    """A row for each of docs with its place (`start`) in its source's seeded order, cut; the plan of sources, cut; whether it is small."""
+    size, rank = _size_and_rank(docs, seed)
+    rows = cut(docs.select("doc_id", "source", size.alias("size"), rank.alias("rank")))
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     largest, n_sources = per_source.agg(F.max("n_rows"), F.count(F.lit(1))).first()
     # about as many buckets as rows in each, for the largest source: neither grows faster than the root of the rows
     digits = max(1, round(math.log((largest or 1) ** 0.5, 16)))
     plan = source_quotas(source_targets(per_source.select("source", "source_size"), weights, max_epochs), shards, blocks)
     take = F.least(F.col("quota_tokens"), F.col("source_size") * max_epochs)
-    plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(take / F.col("source_size"))).otherwise(0).cast("long")).withColumn("rest", (take - F.col("epochs") * F.col("source_size")).cast("long"))
+    plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(take / F.col("source_size"))).otherwise(0).cast("long"))
+    plan = cut(plan.withColumn("rest", (take - F.col("epochs") * F.col("source_size")).cast("long")))
     rows = rows.withColumn("bucket", F.substring("rank", 1, digits))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "bucket_size", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("before"))
-    small = F.broadcast if n_sources <= BROADCAST_ROWS else (lambda df: df)
-    placed = sums.join(small(plan), F.col("b_source").eqNullSafe(F.col("source")))
-    buckets = placed.drop("source")
-    each = rows.join(small(buckets) if n_sources * 16**digits <= BROADCAST_ROWS else buckets, rows.source.eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
+    sums = sums.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("before"))
+    small = n_sources <= BROADCAST_ROWS
+    buckets = sums.join(F.broadcast(plan) if small else plan, F.col("b_source").eqNullSafe(F.col("source"))).drop("source")
+    each = rows.join(F.broadcast(buckets) if n_sources * 16**digits <= BROADCAST_ROWS else buckets, rows.source.eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
     within = W.partitionBy("source", "bucket").orderBy("rank", F.col("doc_id").isNull(), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    mixed = each.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start")))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "quota_tokens", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), F.col("start").alias("first_token"))
+    return each.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))), plan, small
+
+
+def _part() -> Column:
+    """Words taken of a placed row in the round of the order that isn't whole."""
+    return F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start"))).cast("long")
+
+
+def _shard(block: Column, shards: int, seed: str) -> Column:
+    """The shard of a source's block: among `shards` blocks in turn each shard has one, by a seeded rotation."""
+    turn = F.md5(F.concat(F.lit(seed + "/"), F.coalesce("source", F.lit("null")), F.lit("/"), F.floor(block / shards).cast("string")).cast("binary"))
+    return F.pmod(block + F.conv(F.substring(turn, 1, 8), 16, 10).cast("long"), F.lit(shards)).cast("int")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, shards: int = 16, blocks: int = 65_536, seed: str = "mix-1") -> DataFrame:
+    """For each row of (doc_id, text, source, ...): doc_id, size, source, source_size, target, quota_tokens, taken, first_token, block_tokens, first_block, first_shard.
+
+    `taken` is the number of words that the mix takes, repeats counted; `first_token` the place of the document in its
+    source's seeded order, in words; `first_block` and `first_shard` where its first taken word goes, null if none is taken (all pieces:
+    `shard_blocks`). Nulls: a null text has size 0 and is never taken; a null source is a source of its own; null ids
+    are ordered last. Rows alike in id and size are interchangeable. An empty table gives no rows. Other columns of `docs` are
+    ignored, whatever their names.
+    """
+    placed = _placed(docs, weights, max_epochs, shards, blocks, seed)[0]
+    taken = (F.col("epochs") * F.col("size") + _part()).cast("long")
+    mixed = placed.withColumn("taken", taken).withColumn("first_block", F.when(F.col("taken") > 0, F.floor(F.col("start") / F.col("block_tokens")).cast("long")))
+    mixed = mixed.withColumn("first_shard", F.when(F.col("taken") > 0, _shard(F.col("first_block"), shards, seed)))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "quota_tokens", "taken", F.col("start").alias("first_token"), "block_tokens", "first_block", "first_shard")
+
+
+def shard_blocks(mixed: DataFrame, shards: int = 16, seed: str = "mix-1") -> DataFrame:
+    """The mix itself, from `mix_sources` with the same `shards` and `seed`: (shard, source, block, doc_id, round, first, words), a row for
+    each piece of a document in a block: `words` words from its `first` (from 0) on, in the `round`-th going through the source.
+
+    Blocks are numbered from 0 within their source, over all rounds. A row that isn't taken gives none.
+    """
+    rounds = F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")).cast("long"))
+    each = mixed.filter("taken > 0").withColumn("round", F.explode(rounds))
+    each = each.withColumn("from", F.col("round") * F.col("source_size") + F.col("first_token"))
+    each = each.withColumn("to", F.col("from") + F.least(F.col("size"), F.col("taken") - F.col("round") * F.col("size")))
+    number = F.sequence(F.floor(F.col("from") / F.col("block_tokens")).cast("long"), F.floor((F.col("to") - 1) / F.col("block_tokens")).cast("long"))
+    pieces = each.withColumn("block", F.explode(number))
+    start = F.greatest(F.col("from"), F.col("block") * F.col("block_tokens"))
+    end = F.least(F.col("to"), (F.col("block") + 1) * F.col("block_tokens"))
+    return pieces.select(_shard(F.col("block"), shards, seed).alias("shard"), "source", "block", "doc_id", "round", (start - F.col("from")).alias("first"), (end - start).alias("words"))
+
+
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, shards: int = 16, blocks: int = 65_536, seed: str = "mix-1") -> DataFrame:
+    """`docs`, all columns and rows, with `taken` and `n_words` (its size) in place of any of these names; as `mix_sources` takes them.
+
+    Rows alike in id, source and size where a source's selection ends share what is taken of them evenly, rounded down.
+    """
+    placed, plan, small = _placed(docs, weights, max_epochs, shards, blocks, seed)
+    key = lambda rank, size: F.struct(rank.alias("rank"), docs["doc_id"].isNull().alias("none"), docs["doc_id"].alias("id"), size.alias("size"))
+    own = placed.select("source", F.struct("rank", F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "size").alias("key"), "size", "start", "rest").filter("size > 0")
+    own = cut(own.withColumn("part", _part()))
+    edges = own.filter("part < size").groupBy("source").agg(F.min("key").alias("edge")).withColumnRenamed("source", "e_source")
+    at = own.join(F.broadcast(edges) if small else edges, F.col("source").eqNullSafe(F.col("e_source")) & F.col("key").eqNullSafe(F.col("edge")))
+    at = at.groupBy("e_source", "edge").agg(F.floor(F.sum("part") / F.count(F.lit(1))).cast("long").alias("at_edge"))
+    plan = plan.select(F.col("source").alias("p_source"), F.col("epochs").alias("p_epochs")).join(at, F.col("p_source").eqNullSafe(F.col("e_source")), "left")
+    plan = plan.select("p_source", "p_epochs", F.col("edge").alias("p_edge"), F.col("at_edge").alias("p_at_edge"))
+    size, rank = _size_and_rank(docs, seed)
+    keep = [n for n in docs.columns if n not in ("taken", "n_words")]
+    mark = docs.select(*(docs[n] for n in keep), size.alias("p_size"), key(rank, size).alias("p_key"))
+    mark = mark.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("p_source")), "left")
+    last = F.when(F.col("p_edge").isNull() | (F.col("p_key") < F.col("p_edge")), F.col("p_size")).when(F.col("p_key").eqNullSafe(F.col("p_edge")), F.col("p_at_edge")).otherwise(0)
+    return mark.select(*keep, (F.col("p_epochs") * F.col("p_size") + last).cast("long").alias("taken"), F.col("p_size").alias("n_words"))

@@ -47,10 +47,11 @@ v AS (SELECT source, target, n, sum(least) OVER () AS given, unnest(generate_ser
 o AS (SELECT n - sum(least) AS seats FROM x GROUP BY n),
 u AS (SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST, k) AS seat FROM v),
 q AS (SELECT source, count(*) AS won FROM u, o WHERE seat <= seats GROUP BY 1),
-f AS (SELECT x.source, source_size, target, least((least + coalesce(won, 0)) * block * 16, source_size * 3)::BIGINT AS take FROM x LEFT JOIN q ON x.source IS NOT DISTINCT FROM q.source),
+f AS (SELECT x.source, source_size, target, block, least((least + coalesce(won, 0)) * block * 16, source_size * 3)::BIGINT AS take FROM x LEFT JOIN q ON x.source IS NOT DISTINCT FROM q.source),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN take // source_size ELSE 0 END AS epochs FROM f),
-r AS (SELECT d.*, source_size, target, epochs, take - epochs * source_size AS rest, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY rank, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - start)))::BIGINT AS taken FROM r"""
+r AS (SELECT d.*, source_size, target, block, epochs, take - epochs * source_size AS rest, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY rank, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+g AS (SELECT doc_id, source, size, source_size, target, (epochs * size + greatest(0, least(size, rest - start)))::BIGINT AS taken, start::BIGINT AS first_token, (start // block)::BIGINT AS block FROM r)
+SELECT doc_id, size, source_size, target, taken, first_token, CASE WHEN taken > 0 THEN block END AS first_block, CASE WHEN taken > 0 THEN ((block + ('0x' || substr(md5('mix-1/' || coalesce(source, 'null') || '/' || (block // 16)::VARCHAR), 1, 8))::BIGINT) % 16)::INT END AS first_shard FROM g"""
 
 MARKS = r"\[/ROLE\]|<</SYS>>|<<SYS>>|\[/INST\]|\[INST\]|\[ROLE\]|</s>|<s>"
 OP8 = rf"""

@@ -15,7 +15,7 @@ from quarry.llm.common import checkpoint_dir, connected_components
 from quarry.llm.chat import MARKS, chat_digests, escape, format_chats, unescape
 from quarry.llm.decontaminate import match_benchmark, remove_matches
 from quarry.llm.fingerprint import compare_with_next, edited, fingerprints
-from quarry.llm.mixing import mix_sources
+from quarry.llm.mixing import mix_documents, mix_sources, shard_blocks
 from quarry.llm.neardup import keep_one, least_matches, near_duplicates
 from quarry.llm.oracle import ORACLE
 from quarry.llm.queries import QUERIES
@@ -231,6 +231,46 @@ def test_places_in_mix(spark, make):
             at += r["size"]
 
 
+def test_shards_and_blocks(spark, make):
+    """Every shard gets its quota of whole blocks of each source, and the pieces are just the words taken."""
+    rng = random.Random(9)
+    rows = [(k, "w " * rng.randrange(1, 90), None, rng.choice(["a", "a", "b", None])) for k in range(400)]
+    mixed = mix_sources(make(rows), shards=4, blocks=40).collect()
+    pieces = shard_blocks(mix_sources(make(rows), shards=4, blocks=40), shards=4).collect()
+    by_doc, by_block, by_shard = Counter(), Counter(), defaultdict(set)
+    for p in pieces:
+        by_doc[p["doc_id"]] += p["words"]
+        by_block[p["source"], p["block"]] += p["words"]
+        by_shard[p["source"], p["shard"]].add(p["block"])
+    assert by_doc == Counter({r["doc_id"]: r["taken"] for r in mixed if r["taken"]})
+    size = mixed[0]["block_tokens"]
+    for r in mixed:
+        quota = r["quota_tokens"] // size // 4
+        if r["quota_tokens"] <= 3 * r["source_size"]:
+            assert {len(by_shard[r["source"], s]) for s in range(4)} == {quota}
+        own = [(p["shard"], p["block"]) for p in pieces if p["doc_id"] == r["doc_id"] and p["round"] == 0]
+        assert not own or min(own, key=lambda x: x[1]) == (r["first_shard"], r["first_block"])
+    assert max(by_block.values()) == size and sum(n != size for n in by_block.values()) <= 3
+
+
+def test_mixing_in_place(spark, make):
+    """Documents with what is taken of them: as the plan says, with all columns; repeated rows share the end of a selection."""
+    rng = random.Random(10)
+    rows = [(k, "w " * rng.randrange(60), None, rng.choice(["a", "b", "c", None])) for k in range(300)] + [(None, "no id", None, "b"), (7, None, None, "a")]
+    want = Counter((r["doc_id"], r["source"], r["size"], r["taken"]) for r in mix_sources(make(rows)).collect())
+    got = mix_documents(make(rows))
+    assert got.columns == [*[c for c in make(rows).columns if c != "n_words"], "taken", "n_words"]
+    assert Counter((r["doc_id"], r["source"], r["n_words"], r["taken"]) for r in got.collect()) == want
+    same = [(1, "w " * 10, None, "a")] * 30 + [(2, "w " * 10, None, "b")] * 50
+    planned, taken = Counter(), Counter()
+    for r in mix_sources(make(same)).collect():
+        planned[r["source"]] += r["taken"]
+    for r in mix_documents(make(same)).collect():
+        taken[r["source"]] += r["taken"]
+    assert all(0 <= planned[s] - taken[s] < 50 for s in "ab")
+    assert mix_documents(make([])).count() == 0
+
+
 def test_fingerprints(spark, make):
     rows = [(r[0], r[1]) for r in AWKWARD] + [(20 + k, " ".join(f"t{k * j % 37}{j}" for j in range(60 + k))) for k in range(30)]
     got = compare_with_next(make(rows)).collect()
