@@ -7,16 +7,20 @@ source or n_chars passes through. Empty input gives empty output.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut
+from quarry.llm.common import bound_batches, cut
 from quarry.llm.decontaminate import match_benchmark, remove_matches
 from quarry.llm.langid import UNDETERMINED, calibrate, fit_languages, held_out, predict_languages
-from quarry.llm.mixing import mix_sources, word_count
+from quarry.llm.mixing import mix_documents
 from quarry.llm.neardup import keep_one
 from quarry.llm.secrets import findings_of, redact, scan_secrets, train
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -57,11 +61,7 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: the columns of documents, and how many words of each (`taken`, repeats counted) the mix takes; rows of none go."""
-    own = docs.select(*COLUMNS)
-    key = F.xxhash64("doc_id", "source", "size").alias("key")
-    taken = mix_sources(own).select(F.col("doc_id").alias("id"), "source", "size", "taken").filter("taken > 0")
-    taken = taken.groupBy(F.xxhash64("id", "source", "size").alias("key")).agg(F.max("taken").alias("taken"), F.first("size").alias("n_words"))
-    return own.withColumn("size", word_count(F.col("text"))).select(*COLUMNS, key).join(taken, "key").drop("key")
+    return mix_documents(docs.select(*COLUMNS)).filter("taken > 0")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -74,7 +74,18 @@ def _resized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.when(now != F.col("chars_before"), now.cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
-STAGES = [("language ID", identify_language), ("near-dedup", drop_near_duplicates), ("decontamination", decontaminate), ("secret scan", remove_secrets), ("mixing", mix)]
+def _bounded(stage: Stage) -> Stage:
+    """The stage, in a session whose Arrow batches of texts are bounded (unless its owner has chosen their size)."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, _bounded(stage)) for name, stage in (("language ID", identify_language), ("near-dedup", drop_near_duplicates), ("decontamination", decontaminate), ("secret scan", remove_secrets), ("mixing", mix))]
 #: Models and minima of hashes aren't expressible in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
