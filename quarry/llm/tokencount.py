@@ -2,8 +2,9 @@
 
 A pre-token is a run of non-blank characters with a word mark before it. Its tokens are the best segmentation into vocabulary
 pieces by a unigram score; a character that no piece covers falls back to its bytes. Each worker keeps a trie of the distinct pre-tokens
-that it has met. A node has the forward entry of its prefix (best score, tokens) and the pieces under way there; a new pre-token is
-inserted from the root, computes entries for the nodes that it adds alone, and finds its count in the node where it ends.
+that it has met. A node has the forward entry of its prefix (best score, tokens) and the pieces under way there. A new pre-token
+goes down as far as others share its beginning, computes the entries beyond, and hangs its rest with its count as one leaf; a leaf gets
+nodes when another pre-token goes that way, so a prefix's entry is computed once more at most, and kept once it is shared.
 
 The public vocabularies have merge ranks, no unigram scores, and tokenizers aren't trained here: scores follow the ranks.
 
@@ -14,6 +15,7 @@ vocabulary (under 1 MB) is broadcast.
 
 from __future__ import annotations
 
+import gc
 import math
 from dataclasses import dataclass
 from functools import cache
@@ -28,7 +30,7 @@ from .textvec import chunks, lookup, word_hashes, words
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 KNOWN = 1 << 22
-#: Nodes of a worker's trie, some 400 bytes each.
+#: Nodes and leaves of a worker's trie, some 300 bytes each.
 NODES = 1 << 18
 #: Words are runs of [^\x20\x09-\x0D], case as it is.
 WORDS = lookup(" \t\n\v\f\r", lower=False)
@@ -65,7 +67,8 @@ class Unigram:
 class Trie:
     """Distinct pre-tokens with the forward entry of every prefix.
 
-    A node is [children by character, score, -tokens, pieces under way: (branches, score and -tokens before the piece)].
+    A node is [children by character, score, -tokens, pieces under way: (branches, score and -tokens before the piece)]; a leaf is
+    (what follows its character, tokens of the pre-token).
     """
 
     def __init__(self, model: Unigram):
@@ -75,15 +78,37 @@ class Trie:
     def insert(self, text: str) -> int:
         """The tokens of `text`, which is in the trie from now on."""
         node = self.root
-        for c in text:
-            node = node[0].get(c) or self._extend(node, c)
+        for i, c in enumerate(text):
+            child = node[0].get(c)
+            if child is None:
+                _, score, tokens, live = node
+                for x in text[i:]:
+                    score, tokens, live = self._step(x, score, tokens, live)
+                node[0][c] = (text[i + 1 :], -tokens)
+                self.nodes += 1
+                return -tokens
+            if type(child) is tuple:
+                rest, count = child
+                if len(rest) == len(text) - i - 1 and text.endswith(rest):
+                    return count
+                child = node[0][c] = [{}, *self._step(c, *node[1:])]
+                if rest:
+                    child[0][rest[0]] = (rest[1:], count)
+                    self.nodes += 1
+            node = child
         return -node[2]
 
-    def _extend(self, node: list, c: str) -> list:
-        _, score, tokens, live = node
+    def _step(self, c: str, score: float, tokens: int, live: list) -> tuple[float, int, list]:
+        """The entry after one more character: of equal scores the fewest tokens count."""
         n = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
         top, least, on = score + n * self.model.byte, tokens - n, []
-        for branches, before, count in (*live, (self.model.root, score, tokens)):
+        found = self.model.root.get(c)
+        if found is not None:
+            if found[1] is not None and (score + found[1], tokens - 1) > (top, least):
+                top, least = score + found[1], tokens - 1
+            if found[0]:
+                on.append((found[0], score, tokens))
+        for branches, before, count in live:
             found = branches.get(c)
             if found is not None:
                 if found[1] is not None:
@@ -92,9 +117,7 @@ class Trie:
                         top, least = reached, count - 1
                 if found[0]:
                     on.append((found[0], before, count))
-        made = node[0][c] = [{}, top, least, on]
-        self.nodes += 1
-        return made
+        return top, least, on
 
 
 @cache
@@ -155,7 +178,10 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 raw = data.tobytes()
                 texts = [MARK + raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[one[fresh]].tolist(), ends[one[fresh]].tolist(), strict=True)]
                 counts = counts.copy()
+                gc.disable()  # the trie has no cycles: the collector would only walk it again and again
                 counts[fresh] = [stored.count(t) for t in texts]
+                gc.freeze()
+                gc.enable()
                 stored.put(distinct[fresh], counts[fresh])
             sums = np.concatenate([[0], np.cumsum(counts[which])])
             pre[lo:hi], tokens[lo:hi] = np.diff(first), sums[first[1:]] - sums[first[:-1]]
