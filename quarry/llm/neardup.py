@@ -282,11 +282,13 @@ def narrowed(full: DataFrame, percent: int) -> DataFrame:
             return done
         counts = left.select("family", "members", F.explode("shingles").alias("shingle")).groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("often"), F.first("members").alias("members"))
         common = counts.filter(F.col("often") * COMMON >= F.col("members")).groupBy("family").agg(F.sort_array(F.collect_list(F.struct("often", "shingle")))["shingle"].alias("common"))
+        common = cut(common)  # at most COMMON times as many as a set of the family has on average
+        few = (common.agg(F.sum(F.size("common"))).first()[0] or 0) <= BROADCAST_NODES
         rare = F.sort_array(F.array_except("shingles", F.coalesce("common", F.array().cast("array<bigint>"))))
         last = F.array_intersect(F.coalesce("common", F.array().cast("array<bigint>")), "shingles")
         n = F.size("shingles")
         first = F.slice(F.concat(rare, last), F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1)
-        posted = cut(left.join(common, "family", "left").select("family", "node", F.explode(first).alias("shingle")))
+        posted = cut(left.join(F.broadcast(common) if few else common, "family", "left").select("family", "node", F.explode(first).alias("shingle")))
         lists = cut(posted.groupBy("family", "shingle").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
         parts = connected_components(posted.join(lists, ["family", "shingle"]).select(F.col("node").alias("u"), F.col("least").alias("v")))
         parts = cut(parts.withColumnRenamed("component", "part"))
