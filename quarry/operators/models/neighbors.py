@@ -131,4 +131,5 @@ def kmeans(df: DataFrame, k: int, max_iter: int = 100, tolerance: float = 1e-10,
         assigned = assign(base, centroids)
         if still:
             break
+    base.unpersist()
     return assigned, centroids

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 
 from pyspark.sql import functions as F
 
@@ -13,20 +14,12 @@ from .registry import embeddings, lines, parts, pulls, query, r, table
 
 #: Common table expressions of the SQL forms.
 E = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)"
-A = E + ", c AS (SELECT vec_id AS i, unnest(generate_series(0, 63)) AS j, unnest(x) AS v FROM e WHERE vec_id < 20)"
+A = E + ", c AS (SELECT vec_id AS i, unnest(generate_series(0, 63)) AS j, unnest(x) AS v FROM e)"
 L = "WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, [l_quantity::DOUBLE, l_extendedprice::DOUBLE, l_discount::DOUBLE, l_tax::DOUBLE] AS x, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y FROM lineitem)"
 
 
 def _cells(spark, sf_dir):
-    return to_long(embeddings(spark, sf_dir).filter("row_id < 20").select("row_id", "x"))
-
-
-def _square(spark, sf_dir):
-    """A 16 x 16 corner of the embeddings, long."""
-    return _cells(spark, sf_dir).filter("i < 16 and j < 16")
-
-
-S = A + ", s AS (SELECT * FROM c WHERE i < 16 AND j < 16)"
+    return to_long(embeddings(spark, sf_dir).select("row_id", "x"))
 
 
 @query(A + " SELECT a.i, a.j::INT AS j, round(a.v + b.v, 6) + 0.0 AS v FROM c a JOIN c b ON a.i = b.i AND a.j = b.j")
@@ -35,10 +28,10 @@ def mat_add(spark, sf_dir):
     return linalg.add(c, c).select("i", "j", r(F.col("v")).alias("v"))
 
 
-@query(S + " SELECT a.i, a.j::INT AS j, round(a.v - b.v, 6) + 0.0 AS v FROM s a JOIN s b ON a.i = b.j AND a.j = b.i")
+@query(A + " SELECT a.i, a.j::INT AS j, round(a.v - b.v * 0.25, 6) + 0.0 AS v FROM c a JOIN c b ON a.i = b.i AND a.j = b.j")
 def mat_sub(spark, sf_dir):
-    s = _square(spark, sf_dir)
-    return linalg.subtract(s, linalg.transpose(s)).select("i", "j", r(F.col("v")).alias("v"))
+    c = _cells(spark, sf_dir)
+    return linalg.subtract(c, linalg.scale(c, 0.25)).select("i", "j", r(F.col("v")).alias("v"))
 
 
 @query(A + " SELECT i, j::INT AS j, round(v * -1.5, 6) + 0.0 AS v FROM c")
@@ -46,21 +39,21 @@ def mat_scale(spark, sf_dir):
     return linalg.scale(_cells(spark, sf_dir), -1.5).select("i", "j", r(F.col("v")).alias("v"))
 
 
-@query(S + " SELECT a.i, a.j::INT AS j, round(a.v * b.v, 6) + 0.0 AS v FROM s a JOIN s b ON a.i = b.j AND a.j = b.i")
+@query(A + " SELECT a.i, a.j::INT AS j, round(a.v * b.v, 6) + 0.0 AS v FROM c a JOIN c b ON a.i = b.i AND a.j = b.j")
 def hadamard(spark, sf_dir):
-    s = _square(spark, sf_dir)
-    return linalg.hadamard(s, linalg.transpose(s)).select("i", "j", r(F.col("v")).alias("v"))
+    c = _cells(spark, sf_dir)
+    return linalg.hadamard(c, c).select("i", "j", r(F.col("v")).alias("v"))
 
 
-@query(S + " SELECT j AS i, i::INT AS j, round(v, 6) + 0.0 AS v FROM s")
+@query(A + " SELECT j AS i, i::INT AS j, round(v, 6) + 0.0 AS v FROM c")
 def transpose_long(spark, sf_dir):
-    return linalg.transpose(_square(spark, sf_dir)).select("i", "j", r(F.col("v")).alias("v"))
+    return linalg.transpose(_cells(spark, sf_dir)).select("i", "j", r(F.col("v")).alias("v"))
 
 
-@query(A + " SELECT a.i, b.i::INT AS j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM c a JOIN c b ON a.j = b.j GROUP BY 1, 2")
+@query(A + " SELECT a.i, k::INT AS j, round(sum(a.v * ((a.j * 3 + k) % 7 - 3)), 6) + 0.0 AS v FROM c a, (SELECT unnest(generate_series(0, 2)) AS k) GROUP BY 1, 2")
 def matmul_long(spark, sf_dir):
-    c = _cells(spark, sf_dir)
-    return linalg.matmul(c, linalg.transpose(c)).select("i", "j", r(F.col("v")).alias("v"))
+    right = spark.range(192).select(F.floor(F.col("id") / 3).alias("i"), (F.col("id") % 3).cast("int").alias("j"), (F.col("id") % 7 - 3).cast("double").alias("v"))
+    return linalg.matmul(_cells(spark, sf_dir), right).select("i", "j", r(F.col("v")).alias("v"))
 
 
 @query(E + ", w AS (SELECT vec_id, unnest(generate_series(0, 2)) AS k, x FROM e) SELECT vec_id AS row_id, k::INT AS k, round(list_sum(list_transform(x, lambda v, j: v * (((j - 1) * 3 + k) % 7 - 3))), 6) + 0.0 AS v FROM w")
@@ -145,19 +138,19 @@ def masked_logits(spark, sf_dir):
     return embeddings(spark, sf_dir).select("row_id", F.posexplode(arrays.mask_actions(F.slice("x", 1, 9), allowed)).alias("j", "v")).select("row_id", "j", r(F.col("v")).alias("v"))
 
 
-@query("SELECT event_id, unnest(list_filter(generate_series(0, 8), lambda c: (event_id // (c + 1)) % 3 = 0))::INT AS action FROM events WHERE event_id < 500")
+@query("SELECT event_id, unnest(list_filter(generate_series(0, 8), lambda c: (event_id // (c + 1)) % 3 = 0))::INT AS action FROM events")
 def valid_actions(spark, sf_dir):
     board = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda c: F.floor(F.col("event_id") / (c + 1)) % 3)
-    return table(spark, sf_dir, "events").filter("event_id < 500").select("event_id", F.explode(arrays.empty_cells(board)).alias("action"))
+    return table(spark, sf_dir, "events").select("event_id", F.explode(arrays.empty_cells(board)).alias("action"))
 
 
-PAIRS = E + ", p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_inner_product(a.x, b.x) AS d, list_distance(a.x, b.x) AS f FROM e a, e b WHERE a.vec_id < 30 AND b.vec_id < 30 AND a.vec_id <= b.vec_id)"
+#: Queries: rows whose id is divisible by 20, each against all rows.
+PAIRS = E + ", p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_inner_product(a.x, b.x) AS d, list_distance(a.x, b.x) AS f FROM e a, e b WHERE a.vec_id % 20 = 0)"
 
 
 def _pairs(spark, sf_dir):
-    e = embeddings(spark, sf_dir).filter("row_id < 30")
-    a, b = e.alias("a"), F.broadcast(e).alias("b")  # 30 rows
-    return a.join(b, F.col("a.row_id") <= F.col("b.row_id"))
+    e = embeddings(spark, sf_dir).select("row_id", "x")
+    return linalg.against_all(e.filter("row_id % 20 = 0"), e)
 
 
 def _kernel(name, sql):
@@ -172,10 +165,9 @@ for _name, _sql in (("linear", "d"), ("poly2", "(1 + d) * (1 + d)"), ("poly3", "
     _kernel(_name, _sql)
 
 
-@query(PAIRS + " SELECT i, j, round(d, 6) + 0.0 AS v FROM p UNION ALL SELECT j, i, round(d, 6) + 0.0 FROM p WHERE i < j")
+@query(PAIRS + " SELECT i, j, round(d, 6) + 0.0 AS v FROM p")
 def gram_matrix(spark, sf_dir):
-    half = _pairs(spark, sf_dir).select(F.col("a.row_id").alias("i"), F.col("b.row_id").alias("j"), r(arrays.dot(F.col("a.x"), F.col("b.x"), 64)).alias("v"))
-    return half.unionByName(half.filter("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    return _pairs(spark, sf_dir).select(F.col("a.row_id").alias("i"), F.col("b.row_id").alias("j"), r(arrays.dot(F.col("a.x"), F.col("b.x"), 64)).alias("v"))
 
 
 @query(E + ", t AS (SELECT x[1:7] AS t FROM e WHERE vec_id = 0), z AS (SELECT vec_id, list_cosine_similarity(x[1:7], t) AS c FROM e, t) SELECT vec_id AS row_id, round(1 + 9 / (1 + exp(-20 * (c - 0.55))), 6) AS reward FROM z")
@@ -262,9 +254,13 @@ def sample_without_replacement(spark, sf_dir):
     return split.sample_exact(table(spark, sf_dir, "part"), 100, "p_partkey", 9).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_partkey").alias("different"))
 
 
-@query("SELECT vec_id AS row_id FROM embeddings WHERE vec_id >= 100 AND vec_id < 200")
+@query("WITH n AS (SELECT count(*) AS n, gcd(count(*), 4) AS world FROM embeddings) SELECT vec_id AS row_id FROM embeddings, n WHERE vec_id // (n // world) = world - 1")
 def shard_equal(spark, sf_dir):
-    return split.equal_shard(embeddings(spark, sf_dir).filter("row_id < 400"), 400, 1, 4).select("row_id")
+    """The last of four equal shards; of two or one where the rows can't be cut into four."""
+    e = embeddings(spark, sf_dir)
+    n = e.count()
+    world = math.gcd(n, 4)
+    return split.equal_shard(e, n, world - 1, world).select("row_id")
 
 
 @query("SELECT vec_id AS row_id FROM embeddings WHERE vec_id % 4 = 3")
@@ -288,10 +284,10 @@ def json_and_url(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.json_field(F.col("props"), "k").alias("k"), F.lower("event_type").alias("kind"), F.replace(F.url_encode("props"), F.lit("+"), F.lit("%20")).alias("encoded"))
 
 
-@query("SELECT p_partkey, unnest(regexp_extract_all('exp(x) + max(1.25, _y2) - sigmoid(z) / min(abs(.5), log2)' || p_partkey::VARCHAR, '(?:[0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[A-Za-z_][A-Za-z0-9_]*|[-+*/^(),]')) AS token FROM part WHERE p_partkey <= 50")
+@query("SELECT p_partkey, unnest(regexp_extract_all('exp(x) + max(1.25, _y2) - sigmoid(z) / min(abs(.5), log2)' || p_partkey::VARCHAR, '(?:[0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[A-Za-z_][A-Za-z0-9_]*|[-+*/^(),]')) AS token FROM part")
 def tokens(spark, sf_dir):
     source = F.concat(F.lit("exp(x) + max(1.25, _y2) - sigmoid(z) / min(abs(.5), log2)"), F.col("p_partkey").cast("string"))
-    return table(spark, sf_dir, "part").filter("p_partkey <= 50").select("p_partkey", F.explode(text.lexemes(source)).alias("token"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(text.lexemes(source)).alias("token"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -2 WHEN o_orderkey % 3 = 1 THEN -1 ELSE o_orderkey::INT END AS episode FROM orders")
