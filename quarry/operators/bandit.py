@@ -99,36 +99,57 @@ class Session:
     arms: list[int]
 
 
-def recommend(members: dict[int, np.ndarray], target: np.ndarray, turns: int = 1000, agent: Arms | None = None, schedule: tuple[float, float, float] = (1.0, 0.05, 0.01), window: int = 10, every: int = 5, memory: int = 200, seed: int = 0) -> Session:
+class Shelf:
+    """An arm's items: some in random order (all, or as many as a session can draw) of `size` in all.
+
+    A draw is uniform among the items that aren't among the last `memory` drawn. Items never drawn are alike, so a new one is the
+    next in the order, and only how many others there are has to be known.
+    """
+
+    def __init__(self, items: np.ndarray, size: int, memory: int):
+        self.items, self.size, self.memory, self.drawn, self.fresh = items, size, memory, [], 0
+
+    def draw(self, rng: np.random.Generator) -> np.ndarray | None:
+        recent = set(self.drawn[-self.memory :]) if self.memory else set()
+        old = sorted(set(self.drawn) - recent)
+        free = self.size - self.fresh + len(old)
+        if not free:
+            return None
+        at = int(rng.integers(free))
+        if at < len(old):
+            self.drawn.append(old[at])
+        else:
+            self.drawn.append(self.fresh)
+            self.fresh += 1
+        return self.items[self.drawn[-1]]
+
+
+def recommend(members: dict[int, np.ndarray], target: np.ndarray, turns: int = 1000, agent: Arms | None = None, schedule: tuple[float, float, float] = (1.0, 0.05, 0.01), window: int = 10, every: int = 5, memory: int = 200, seed: int = 0, sizes: dict[int, int] | None = None) -> Session:
     """The recommender's loop over clusters (arms): pick an arm, then an item of it that isn't among its last `memory` picks.
 
     The reward is 1 + 9 * sigmoid(20 * (cosine - 0.55)). Every `every` turns the mean of the last `window` rewards before the pull
-    is noted. An arm without unused items is passed over; when none has any, the session ends.
+    is noted. An arm without unused items is passed over; when none has any, the session ends. `sizes`: how many items each arm has, if
+    `members` holds only some of them, in random order: min(size, turns) at least.
     """
     rng = np.random.Generator(np.random.PCG64(seed))
     arms = sorted(members)
     agent = agent or EpsilonGreedy(len(arms), epsilon=schedule[0], seed=seed)
-    used: dict[int, list[int]] = {a: [] for a in arms}
+    shelves = [Shelf(members[a] if sizes else rng.permutation(members[a]), sizes[a] if sizes else len(members[a]), memory) for a in arms]
     rewards, running, sliding, chosen = [], [], [], []
     for turn in range(1, turns + 1):
         if isinstance(agent, EpsilonGreedy):
             agent.set_epsilon(max(schedule[1], schedule[0] * math.exp(-schedule[2] * turn)))
         if turn % every == 0 and rewards:
             sliding.append((turn, float(np.mean(rewards[-window:]))))
-        order = [agent.select(), *(i for i in range(len(arms)))]
-        free: np.ndarray = np.zeros(0, int)
-        for pick in order:
-            free = np.setdiff1d(np.arange(len(members[arms[pick]])), used[arms[pick]][-memory:])
-            if len(free):
+        x = None
+        for pick in (agent.select(), *range(len(arms))):
+            if (x := shelves[pick].draw(rng)) is not None:
                 break
-        if not len(free):
+        if x is None:
             break
-        item = int(rng.choice(free))
-        x = members[arms[pick]][item]
         size = np.linalg.norm(x) * np.linalg.norm(target)
         reward = 1 + 9 / (1 + math.exp(-20 * (float(x @ target) / size - 0.55))) if size else 1.0
         agent.update(pick, reward)
-        used[arms[pick]].append(item)
         rewards.append(reward)
         running.append(float(np.mean(rewards)))
         chosen.append(arms[pick])

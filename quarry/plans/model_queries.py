@@ -292,7 +292,7 @@ def recent_200(spark, sf_dir):
 @query()
 def recommender_session(spark, sf_dir):
     items = embeddings(spark, sf_dir).select("row_id", F.slice("x", 1, 7).alias("x"))
-    s = recommender(spark, items, np.array(items.filter("row_id = 0").first()["x"]), clusters=8, turns=200, iterations=10)
+    s = recommender(spark, items, np.array(items.filter("row_id = 0").first()["x"]))
     return spark.createDataFrame([(i + 1, a, float(w), float(m)) for i, (a, w, m) in enumerate(zip(s.arms, s.rewards, s.running, strict=True))], "turn int, arm int, reward double, running double")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators.bandit import Session, recommend
 from ..operators.frame import dimension
@@ -37,17 +38,20 @@ def classification_scores(data: DataFrame, k: int = 3, seed: int = 0) -> DataFra
     return spark.createDataFrame(found, "model string, accuracy double")
 
 
-def recommender(spark: SparkSession, items: DataFrame, target: np.ndarray, clusters: int = 20, components: int = 6, turns: int = 1000, iterations: int = 50, most: int = 200_000, seed: int = 0) -> Session:
+def recommender(spark: SparkSession, items: DataFrame, target: np.ndarray, clusters: int = 20, components: int = 6, turns: int = 1000, iterations: int = 50, seed: int = 0) -> Session:
     """Normalise, project, cluster, then the bandit's session over the clusters' members.
 
-    The session is sequential and works on at most `most` items, which go to the driver; clustering works on all.
+    All items can be drawn, each as likely as any other of its cluster. The sequential session needs the first `turns` of each
+    cluster in a seeded order at most, which go to the driver with the clusters' sizes.
     """
     d = dimension(items)
     ready = center(l2_normalize(items, d), d)
     basis, _ = fit_pca(ready, min(components, d))
     assigned, _ = kmeans(project(ready, basis).select("row_id", "x"), clusters, iterations, seed=seed)
-    picked = assigned.select("row_id", "cluster").orderBy(F.xxhash64("row_id", F.lit(seed))).limit(most).join(items.select("row_id", "x"), "row_id")
+    place = F.row_number().over(W.partitionBy("cluster").orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id"))
+    first = assigned.select("row_id", "cluster").withColumn("place", place).filter(F.col("place") <= turns)
     members: dict[int, list] = {}
-    for r in picked.orderBy("row_id").toLocalIterator():
+    for r in first.join(items.select("row_id", "x"), "row_id").orderBy("cluster", "place").collect():
         members.setdefault(r["cluster"], []).append(r["x"])
-    return recommend({k: np.array(v) for k, v in members.items()}, target, turns, seed=seed)
+    sizes = {r["cluster"]: r["count"] for r in assigned.groupBy("cluster").count().collect()}
+    return recommend({k: np.array(v) for k, v in members.items()}, target, turns, seed=seed, sizes=sizes)

@@ -263,6 +263,11 @@ def test_bandits():
             bad()
     session = bandit.recommend({0: np.eye(3), 1: -np.eye(3)}, np.ones(3), turns=50)
     assert len(session.rewards) == 6 and all(1 <= r <= 10 for r in session.rewards)
+    rng, shelf, seen = np.random.Generator(np.random.PCG64(2)), bandit.Shelf(np.arange(12)[:, None], 12, 4), []
+    for _ in range(4000):
+        seen.append(int(shelf.draw(rng)[0]))
+        assert len(set(seen[-5:])) == min(5, len(seen))  # none of the last four
+    assert min(np.bincount(seen, minlength=12)) > 250  # and otherwise any item alike
 
 
 def test_games(spark):
@@ -295,6 +300,13 @@ def test_splits(spark):
     assert sorted((r["row_id"], r["y"]) for r in shard.collect()) == [(2, 102), (3, 103)]
     with pytest.raises(ValueError):
         split.equal_shard(df, 1003, 0, 2)
+    drawn = split.minibatch(df, 300, "row_id", 1, replacement=True)
+    assert drawn.count() == 300 and 200 < drawn.distinct().count() < 300
+    assert split.minibatch(df.limit(0), 5, "row_id", 1, replacement=True).count() == 0
+    for order in (F.col("row_id") % 10, F.concat(F.lit("k"), F.lpad((F.col("row_id") * 37 % 500).cast("string"), 4, "0")), F.when(F.col("row_id") > 20, F.col("row_id") / -3), F.lit(7).cast("int"), F.date_add(F.lit("2020-01-01"), (F.col("row_id") % 90).cast("int"))):
+        got = split.exact_split(df.withColumn("o", order), 0.7, "row_id", order=F.col("o")).collect()
+        first = sorted(got, key=lambda r: (r["o"] is not None, r["o"] if r["o"] is not None else 0, r["row_id"]))
+        assert [r["is_train"] for r in first] == [True] * 702 + [False] * 301
 
 
 def test_csv(spark, tmp_path):
