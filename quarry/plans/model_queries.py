@@ -183,7 +183,14 @@ def _agreement(df, predicted):
     return df.agg(F.count(F.lit(1)).alias("n"), r(accuracy(predicted.cast("double"), F.col("y"))).alias("accuracy"))
 
 
-@query()
+@query(
+    E.replace("WITH ", "WITH RECURSIVE ")
+    + """, d AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, x, CASE WHEN label = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y FROM e WHERE label < 2), n AS (SELECT count(*) AS n FROM d),
+s AS (SELECT 0::BIGINT AS k, list_transform(generate_series(1, 64), lambda j: 0.0::DOUBLE) AS w, 0.0::DOUBLE AS b UNION ALL
+SELECT k + 1, CASE WHEN (CASE WHEN list_inner_product(w, x) + b > 0 THEN 1 ELSE -1 END) <> y THEN list_transform(w, lambda v, j: v + y * x[j]) ELSE w END, CASE WHEN (CASE WHEN list_inner_product(w, x) + b > 0 THEN 1 ELSE -1 END) <> y THEN b + y ELSE b END
+FROM s, n JOIN d ON i = s.k % n.n WHERE k < 20 * n.n), f AS (SELECT w, b FROM s, n WHERE k = 20 * n.n)
+SELECT count(*) AS n, round(avg(CASE WHEN (CASE WHEN list_inner_product(w, x) + b > 0 THEN 1 ELSE -1 END) = y THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM d, f"""
+)
 def perceptron(spark, sf_dir):
     df = _two_classes(spark, sf_dir)
     return _agreement(df, linear.fit_perceptron(df, 20).predict(F.col("x")))

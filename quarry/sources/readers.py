@@ -49,11 +49,15 @@ def number(text: Column, kind: str, overflow: str = "throw", decimal_comma: bool
     return text.try_cast(kind)
 
 
-def read_lines(spark: SparkSession, path: str, single_comment: str | None = None, skip_empty: bool = False) -> DataFrame:
-    """(value): lines without carriage returns; optionally without comment lines and empty ones."""
+def read_lines(spark: SparkSession, path: str, single_comment: str | None = None, skip_empty: bool = False, longest: int | None = None) -> DataFrame:
+    """(value): lines without carriage returns; optionally without comment lines and empty ones. A line of more than `longest`
+    characters is an error."""
     lines = spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("value"))
     lines = lines.filter(~F.ltrim("value").startswith(single_comment)) if single_comment else lines
-    return lines.filter(F.trim("value") != "") if skip_empty else lines
+    lines = lines.filter(F.trim("value") != "") if skip_empty else lines
+    if longest is None:
+        return lines
+    return lines.select(F.when(F.length("value") > longest, F.raise_error(F.lit(f"a line of more than {longest} characters")).cast("string")).otherwise(F.col("value")).alias("value"))
 
 
 def literal(spark: SparkSession, rows: list[list[float]]) -> DataFrame:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quarry.plans import feature_queries, model_queries, relational_queries  # noqa: F401
+from quarry.plans import feature_queries, model_queries, operator_queries, relational_queries  # noqa: F401
 from quarry.plans.registry import ORACLE, QUERIES
 
 from .conftest import SF
