@@ -305,15 +305,18 @@ def large_family_links(full: DataFrame, central: DataFrame, percent: int) -> Dat
     reach = 1 - percent / 100
     full = full.dropDuplicates(["node"])
     hubs = full.join(central, "node").groupBy("family").agg(F.max_by(F.struct("node", "shingles"), F.struct("central", "node")).alias("hub"))
-    # one set for each family of over BLOCK nodes: at most a share 1/BLOCK of the nodes' sets
+    # one set for each family of over BLOCK nodes: at most a share 1/BLOCK of the nodes' sets; cut, so that a join can split a family
+    hubs = cut(hubs)
+    few = (hubs.agg(F.sum(F.size("hub.shingles"))).first()[0] or 0) <= BROADCAST_NODES
     both = F.size(F.array_intersect("shingles", "hub.shingles"))
     away = 1 - both / (F.size("shingles") + F.size("hub.shingles") - both)
-    placed = full.join(hubs, "family").select("family", "node", "shingles", F.col("hub.node").alias("hub"), away.alias("away"), (100 * both >= percent * (F.size("shingles") + F.size("hub.shingles") - both)).alias("near"))
+    placed = full.join(F.broadcast(hubs) if few else hubs, "family").select("family", "node", "shingles", F.col("hub.node").alias("hub"), away.alias("away"), (100 * both >= percent * (F.size("shingles") + F.size("hub.shingles") - both)).alias("near"))
     placed = cut(placed.withColumn("ring", F.floor(F.col("away") * 200).cast("int")))
     rings = placed.groupBy("family", "ring").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(W.partitionBy("family").orderBy("ring").rowsBetween(W.unboundedPreceding, W.currentRow))
     rings = rings.withColumn("shell", F.floor((upto - 1) / BLOCK)).withColumn("cuts", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
-    dealt = placed.join(rings, ["family", "ring"]).withColumn("block", F.xxhash64("family", "shell", F.when(F.col("cuts") > 1, F.col("ring")), F.pmod(F.xxhash64("node"), F.col("cuts"))))
+    rings = cut(rings)  # some 200 rows a family at most
+    dealt = placed.join(F.broadcast(rings) if rings.count() <= BROADCAST_NODES else rings, ["family", "ring"]).withColumn("block", F.xxhash64("family", "shell", F.when(F.col("cuts") > 1, F.col("ring")), F.pmod(F.xxhash64("node"), F.col("cuts"))))
     dealt = cut(dealt.select("family", "node", "shingles", "hub", "away", "near", "block"))
     blocks = dealt.groupBy("family", "block").agg(F.min("away").alias("from"), F.max("away").alias("to"), F.min("near").alias("near"))
     a, b = blocks.alias("a"), blocks.alias("b")
