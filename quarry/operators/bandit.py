@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .frame import positive
+from .stats import running
 
 
 @dataclass
@@ -82,8 +83,9 @@ def greedy_arm(values: DataFrame, arm: str = "arm", value: str = "value") -> Dat
 
 
 def incremental_means(log: DataFrame, arm: str = "arm", reward: str = "reward", order: str = "t") -> DataFrame:
-    frame = W.partitionBy(arm).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return log.withColumn("value", F.avg(reward).over(frame)).withColumn("pulls", F.count(F.lit(1)).over(frame))
+    """`log` with each arm's mean and number of rewards up to each pull; two-level sums, so that a busy arm isn't one task."""
+    sums = running(log, arm, order, reward)
+    return sums.withColumn("value", F.col("running_sum") / F.col("running_count")).withColumn("pulls", F.col("running_count")).drop("running_sum", "running_count", "running_max")
 
 
 def recent(log: DataFrame, keep: int = 200, arm: str = "arm", order: str = "t") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.ieee import log_loss as log_loss_of
 from .linalg import gramian
@@ -73,3 +74,24 @@ def outcome_counts(df: DataFrame, outcome: str = "outcome") -> DataFrame:
     n = F.count(F.lit(1))
     kinds = {"win": "wins", "loss": "losses", "draw": "draws"}
     return df.agg(n.alias("games"), *[F.count_if(F.col(outcome) == k).alias(v) for k, v in kinds.items()], *[(F.count_if(F.col(outcome) == k) / n).alias(f"{k}_rate") for k in kinds])
+
+
+def running(log: DataFrame, key: str, order: str, value: str, most: int = 100_000) -> DataFrame:
+    """`log` with running_sum, running_count and running_max of `value` up to each row, by the number `order` within `key`.
+
+    In two levels, so that one key with most of the rows is spread: rows fall into ranges of `order`, about as many as rows in each;
+    totals of the ranges before a row's own are added to what its range has up to it. Rows of equal order count in any turn; a null
+    order comes first, null values count for nothing.
+    """
+    low, high, n = log.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
+    width = (float(high) - float(low)) / max(1.0, float(n) ** 0.5) if low is not None and high > low else 1.0
+    ranged = log.withColumn("_range", F.coalesce(F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long"))
+    totals = ranged.groupBy(key, "_range").agg(F.sum(value).alias("_sum"), F.count(value).alias("_count"), F.max(value).alias("_max"))
+    ahead = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select(F.col(key).alias("_key"), F.col("_range").alias("_at"), F.sum("_sum").over(ahead).alias("_sum"), F.sum("_count").over(ahead).alias("_count"), F.max("_max").over(ahead).alias("_max"))
+    within = W.partitionBy(key, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    small = F.broadcast if totals.count() <= most else (lambda df: df)
+    each = ranged.join(small(before), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at")))
+    total = F.when(F.col("_sum").isNull(), F.sum(value).over(within)).otherwise(F.col("_sum") + F.coalesce(F.sum(value).over(within), F.lit(0)))
+    each = each.withColumns({"running_sum": total, "running_count": F.coalesce("_count", F.lit(0)) + F.count(value).over(within), "running_max": F.greatest("_max", F.max(value).over(within))})
+    return each.drop("_range", "_key", "_at", "_sum", "_count", "_max")

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from ..operators.nn import Sequential
 from ..operators.optim import Optimizer
+from ..operators.stats import running
 from ..sources import readers, sinks
 from ..streaming import streams
 from .registry import parts, pulls, query, r, table
@@ -22,8 +23,8 @@ def _ordered(spark, sf_dir, frame):
 
 @query("SELECT event_type AS arm, event_id AS t, round(sum(value) OVER w, 4) AS total, round(avg(value) OVER w + 1e-9, 5) AS mean FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def running_reward(spark, sf_dir):
-    df, w = _ordered(spark, sf_dir, (W.unboundedPreceding, 0))
-    return df.select("arm", "t", r(F.sum("reward").over(w), 4).alias("total"), r(F.avg("reward").over(w) + 1e-9, 5).alias("mean"))
+    sums = running(pulls(spark, sf_dir), "arm", "t", "reward")
+    return sums.select("arm", "t", r(F.col("running_sum"), 4).alias("total"), r(F.col("running_sum") / F.col("running_count") + 1e-9, 5).alias("mean"))
 
 
 @query("SELECT arm, t, mean FROM (SELECT event_type AS arm, event_id AS t, round(avg(value) OVER w + 1e-9, 5) AS mean, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) WHERE k % 5 = 0")
@@ -41,8 +42,7 @@ def tumbling_500(spark, sf_dir):
 
 @query("SELECT event_type AS arm, event_id AS t, round(max(value) OVER w, 6) AS best FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def running_best(spark, sf_dir):
-    df, w = _ordered(spark, sf_dir, (W.unboundedPreceding, 0))
-    return df.select("arm", "t", r(F.max("reward").over(w)).alias("best"))
+    return running(pulls(spark, sf_dir), "arm", "t", "reward").select("arm", "t", r(F.col("running_max")).alias("best"))
 
 
 @query("SELECT event_id, lag(value, 2) OVER w AS before, lead(value) OVER w AS after, ntile(4) OVER w AS quarter, rank() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS place FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)")

@@ -291,6 +291,18 @@ def test_games(spark):
     assert stats.outcome_counts(again.repartition(3)).first() == played
 
 
+def test_running_in_two_levels(spark):
+    """As one window over the whole key gives it; a key with nearly all rows, nulls, ties in no order."""
+    data = [("hot" if k % 9 else "cold", float((k * 37) % 101), None if k % 13 == 0 else float(k % 17 - 8)) for k in range(400)] + [(None, 5.0, 2.0), ("nulls", 1.0, None), ("hot", None, 100.0)]
+    data = [(a, None if t is None else t + k / 1000, v) for k, (a, t, v) in enumerate(data)]
+    got = stats.running(spark.createDataFrame(data, "arm string, t double, reward double"), "arm", "t", "reward").collect()
+    assert len(got) == len(data) and set(got[0].asDict()) == {"arm", "t", "reward", "running_sum", "running_count", "running_max"}
+    for row in got:
+        seen = [v for a, t, v in data if a == row["arm"] and v is not None and (t is None or row["t"] is not None and t <= row["t"])]
+        assert row["running_count"] == len(seen) and row["running_max"] == max(seen, default=None)
+        assert (row["running_sum"] is None and not seen) or row["running_sum"] == pytest.approx(sum(seen))
+
+
 def test_splits(spark):
     df = spark.range(1003).select(F.col("id").alias("row_id"))
     parts = split.exact_split(df, 0.8, "row_id", seed=3)
