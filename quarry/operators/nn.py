@@ -5,6 +5,7 @@ Each task works on its rows as one matrix; a step moves the parameters to the ta
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -58,7 +59,11 @@ def bce_gradient(out: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Sequential:
-    """Dense layers with activations between them, a dense layer last."""
+    """Dense layers with activations between them, a dense layer last.
+
+    A layer of one's own between dense ones needs a call on a matrix, `slope` (the derivative, element by element, from its own
+    output) and a text form for the signature; like all that goes to tasks it must be importable there, or defined in the program.
+    """
 
     layers: list[Dense | Activation] = field(default_factory=list)
 
@@ -125,12 +130,16 @@ class Sequential:
         return f"layers={len(self.layers)};params={2 * len(self.layers[::2])};" + "|".join(map(str, self.layers))
 
 
-GRADIENTS = {"mse": mse_gradient, "softmax": softmax_gradient, "bce": bce_gradient}
+Loss = Callable[[np.ndarray, np.ndarray], np.ndarray]
+GRADIENTS: dict[str, Loss] = {"mse": mse_gradient, "softmax": softmax_gradient, "bce": bce_gradient}
+
 
+def network_gradient(df: DataFrame, model: Sequential, loss: str | Loss = "mse") -> tuple[np.ndarray, int]:
+    """Gradient summed over the rows of (x, y), and their number; the same however the rows are partitioned (up to rounding).
 
-def network_gradient(df: DataFrame, model: Sequential, loss: str = "mse") -> tuple[np.ndarray, int]:
-    """Gradient summed over the rows of (x, y), and their number; the same however the rows are partitioned (up to rounding)."""
-    upstream = GRADIENTS[loss]
+    `loss`: a name of GRADIENTS, or a function of (outputs, labels) of a matrix of rows that returns each row's slope by its outputs.
+    """
+    upstream = loss if callable(loss) else GRADIENTS[loss]
 
     def each(rows: np.ndarray, y: np.ndarray) -> np.ndarray:
         seen = model.forward(rows)
@@ -140,7 +149,7 @@ def network_gradient(df: DataFrame, model: Sequential, loss: str = "mse") -> tup
     return s[:-1], int(s[-1])
 
 
-def train_network(df: DataFrame, model: Sequential, optimizer: Optimizer, epochs: int, loss: str = "mse", batches: int = 1, key: str = "row_id") -> Sequential:
+def train_network(df: DataFrame, model: Sequential, optimizer: Optimizer, epochs: int, loss: str | Loss = "mse", batches: int = 1, key: str = "row_id") -> Sequential:
     """Full batches, or `batches` fixed parts of the rows by `key` in turn. Gradients are means over a batch's rows."""
     from .split import strided_shard
 

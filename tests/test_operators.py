@@ -248,6 +248,30 @@ def test_network(spark, tmp_path):
         Sequential([Activation("relu")])
 
 
+def test_own_layer_and_loss(spark):
+    """A layer and a loss that the engine doesn't know, against finite differences."""
+    from quarry.operators.nn import Dense, Sequential, network_gradient, train_network
+    from quarry.operators.optim import Optimizer
+
+    class Softplus:
+        __call__ = lambda self, x: np.log1p(np.exp(x))
+        slope = lambda self, out: 1 - np.exp(-out)
+        __str__ = lambda self: "Softplus"
+
+    rng = np.random.Generator(np.random.PCG64(3))
+    model = Sequential([Dense.xavier(2, 3, rng), Softplus(), Dense.xavier(3, 1, rng)])
+    data, target = rng.normal(size=(40, 2)), rng.normal(size=40)
+    df = spark.createDataFrame([(k, x.tolist(), float(t)) for k, (x, t) in enumerate(zip(data, target, strict=True))], "row_id long, x array<double>, y double")
+    cost = lambda theta: float(np.logaddexp(0, np.abs(model.with_parameters(theta)(data)[:, 0] - target)).sum())
+    slopes = lambda out, y: (np.sign(out[:, 0] - y) / (1 + np.exp(-np.abs(out[:, 0] - y))))[:, None]
+    g, n = network_gradient(df, model, slopes)
+    theta = model.parameters()
+    steps = np.eye(len(theta)) * 1e-6
+    assert n == 40 and model.signature.endswith("Linear(2,3)|Softplus|Linear(3,1)")
+    assert g == pytest.approx([(cost(theta + s) - cost(theta - s)) / 2e-6 for s in steps], abs=1e-4)
+    assert cost(train_network(df, model, Optimizer("adam", 0.05), 15, slopes).parameters()) < cost(theta)
+
+
 def test_bandits():
     greedy = bandit.EpsilonGreedy(2, epsilon=0.0)
     greedy.update(0, 10), greedy.update(1, 20)
