@@ -95,3 +95,41 @@ def running(log: DataFrame, key: str, order: str, value: str, most: int = 100_00
     total = F.when(F.col("_sum").isNull(), F.sum(value).over(within)).otherwise(F.col("_sum") + F.coalesce(F.sum(value).over(within), F.lit(0)))
     each = each.withColumns({"running_sum": total, "running_count": F.coalesce("_count", F.lit(0)) + F.count(value).over(within), "running_max": F.greatest("_max", F.max(value).over(within))})
     return each.drop("_range", "_key", "_at", "_sum", "_count", "_max")
+
+
+def numbered(log: DataFrame, key: str, order: str) -> DataFrame:
+    """`log` with `number`: 1, 2, ... within `key` by the number `order`, a key's rows spread over tasks; equal orders in any turn."""
+    one = log.withColumn("_one", F.lit(1))
+    return running(one, key, order, "_one").withColumnRenamed("running_count", "number").drop("_one", "running_sum", "running_max")
+
+
+def ranked(log: DataFrame, key: str, value: str, order: str, most: int = 100_000) -> DataFrame:
+    """`log` with `place`: 1, 2, ... within `key` by falling `value` (nulls last), then by the number `order`.
+
+    The rows of greater values are counted over distinct values, those of the same value by `order` among themselves; so neither a key
+    nor a value that most rows have needs one task.
+    """
+    pair = F.struct(F.col(key).alias("k"), F.col(value).alias("v"))
+    sizes = log.groupBy(F.col(key).alias("_of"), F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_size")).withColumn("_falling", -F.col("_value").cast("double"))
+    known = running(sizes.filter(F.col("_value").isNotNull()), "_of", "_falling", "_size").select("_of", "_value", (F.col("running_sum") - F.col("_size")).alias("_greater"))
+    rest = sizes.groupBy("_of").agg(F.coalesce(F.sum(F.when(F.col("_value").isNotNull(), F.col("_size"))), F.lit(0)).alias("_greater"))
+    ahead = known.unionByName(rest.select("_of", F.lit(None).cast(log.schema[value].dataType).alias("_value"), "_greater"))
+    small = F.broadcast if ahead.count() <= most else (lambda df: df)
+    each = numbered(log.withColumn("_pair", pair), "_pair", order)
+    each = each.join(small(ahead), F.col("_pair.k").eqNullSafe(F.col("_of")) & F.col("_pair.v").eqNullSafe(F.col("_value")))
+    return each.withColumn("place", (F.col("_greater") + F.col("number")).cast("long")).drop("_pair", "_of", "_value", "_greater", "number")
+
+
+def blocked(log: DataFrame, key: str, order: str, before: int, after: int, block: int = 10_000) -> tuple[DataFrame, W]:
+    """(rows, window) for frames of at most `before` rows back and `after` rows on within `key`, in blocks of `block` rows.
+
+    The rows have `number`, their place by `order`, and are dealt to blocks of successive numbers; each block has copies of the rows
+    next to it, for which `own` is false: filter on it once the window functions are there.
+    """
+    if not 0 <= before + after <= block:
+        raise ValueError("a block must be longer than its frame")
+    at = numbered(log, key, order).withColumn("_at", F.floor((F.col("number") - 1) / block))
+    inside = F.pmod(F.col("number") - 1, F.lit(block))
+    blocks = F.array_compact(F.array(F.col("_at"), F.when(inside >= block - before, F.col("_at") + 1), F.when(inside < after, F.col("_at") - 1)))
+    rows = at.withColumn("_block", F.explode(blocks)).withColumn("own", F.col("_block") == F.col("_at")).drop("_at")
+    return rows, W.partitionBy(key, "_block").orderBy("number")

@@ -11,16 +11,12 @@ from pyspark.sql import Window as W
 
 from ..operators.nn import Sequential
 from ..operators.optim import Optimizer
-from ..operators.stats import running
+from ..operators.stats import blocked, ranked, running
 from ..sources import readers, sinks
 from ..streaming import streams
 from .registry import parts, pulls, query, r, table
 
 
-def _ordered(spark, sf_dir, frame):
-    return pulls(spark, sf_dir), W.partitionBy("arm").orderBy("t").rowsBetween(*frame)
-
-
 @query("SELECT event_type AS arm, event_id AS t, round(sum(value) OVER w, 4) AS total, round(avg(value) OVER w + 1e-9, 5) AS mean FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def running_reward(spark, sf_dir):
     sums = running(pulls(spark, sf_dir), "arm", "t", "reward")
@@ -29,9 +25,9 @@ def running_reward(spark, sf_dir):
 
 @query("SELECT arm, t, mean FROM (SELECT event_type AS arm, event_id AS t, round(avg(value) OVER w + 1e-9, 5) AS mean, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) WHERE k % 5 = 0")
 def sliding_mean_10(spark, sf_dir):
-    df, w = _ordered(spark, sf_dir, (-10, -1))
-    turn = F.row_number().over(W.partitionBy("arm").orderBy("t"))
-    return df.withColumn("mean", r(F.avg("reward").over(w) + 1e-9, 5)).withColumn("k", turn).filter("k % 5 = 0").select("arm", "t", "mean")
+    rows, w = blocked(pulls(spark, sf_dir), "arm", "t", 10, 0)
+    means = rows.withColumn("mean", r(F.avg("reward").over(w.rowsBetween(-10, -1)) + 1e-9, 5))
+    return means.filter("own AND number % 5 = 0").select("arm", "t", "mean")
 
 
 @query("SELECT event_id // 500 AS window_id, count(*) AS games, count_if(value >= 60)::BIGINT AS wins, count_if(value < 40)::BIGINT AS losses, round(count_if(value >= 60)::DOUBLE / count(*), 6) AS win_rate FROM events GROUP BY 1")
@@ -47,9 +43,14 @@ def running_best(spark, sf_dir):
 
 @query("SELECT event_id, lag(value, 2) OVER w AS before, lead(value) OVER w AS after, ntile(4) OVER w AS quarter, rank() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS place FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)")
 def lag_lead_ntile(spark, sf_dir):
-    w = W.partitionBy("event_type").orderBy("event_id")
-    place = F.rank().over(W.partitionBy("event_type").orderBy(F.desc("value"), "event_id"))
-    return table(spark, sf_dir, "events").select("event_id", F.lag("value", 2).over(w).alias("before"), F.lead("value").over(w).alias("after"), F.ntile(4).over(w).cast("long").alias("quarter"), place.cast("long").alias("place"))
+    """Neighbours in blocks of a key's rows, the quarter from a row's number, the place counted over values."""
+    rows, w = blocked(ranked(table(spark, sf_dir, "events"), "event_type", "value", "event_id"), "event_type", "event_id", 2, 1)
+    n, number = F.col("_n"), F.col("number")
+    longer, size = n % 4, F.floor(n / 4)  # the first n mod 4 quarters have one row more
+    quarter = F.when(number <= longer * (size + 1), F.ceil(number / (size + 1))).otherwise(longer + F.ceil((number - longer * (size + 1)) / F.greatest(size, F.lit(1))))
+    sizes = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("_type")).agg(F.count(F.lit(1)).alias("_n"))
+    seen = rows.withColumns({"before": F.lag("value", 2).over(w), "after": F.lead("value").over(w)}).filter("own")
+    return seen.join(sizes, F.col("event_type").eqNullSafe(F.col("_type"))).select("event_id", "before", "after", quarter.cast("long").alias("quarter"), "place")
 
 
 @query("SELECT event_type, user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS k FROM events) WHERE k <= 3")

@@ -327,6 +327,26 @@ def test_running_in_two_levels(spark):
         assert (row["running_sum"] is None and not seen) or row["running_sum"] == pytest.approx(sum(seen))
 
 
+def test_ranks_and_blocks(spark):
+    """As windows over whole keys give them; a hot key, a value that most rows have, null keys, values and no rows."""
+    data = [("hot" if k % 9 else None if k % 2 else "cold", (k * 37) % 1009, None if k % 13 == 0 else 7.0 if k % 3 else float(k % 5)) for k in range(500)] + [("nulls", 1, None), ("one", 2, 1.0)]
+    df = spark.createDataFrame(data, "arm string, t long, reward double")
+    got = {(x["arm"], x["t"]): x["place"] for x in stats.ranked(df, "arm", "reward", "t").collect()}
+    blocks, w = stats.blocked(df, "arm", "t", 3, 1, block=8)
+    near = blocks.withColumn("seen", F.collect_list(F.coalesce("reward", F.lit(-1.0))).over(w.rowsBetween(-3, 1))).filter("own").collect()
+    assert len(got) == len(data) == len(near) and blocks.groupBy("arm", "_block").count().agg(F.max("count")).first()[0] <= 12
+    for arm in {a for a, _, _ in data}:
+        own = sorted((t, v) for a, t, v in data if a == arm)
+        falling = sorted(own, key=lambda e: (e[1] is None, -(e[1] or 0), e[0]))
+        assert [got[arm, t] for t, _ in falling] == list(range(1, len(own) + 1))
+        seen = {x["t"]: (x["number"], x["seen"]) for x in near if x["arm"] == arm}
+        for i, (t, _) in enumerate(own):
+            assert seen[t] == (i + 1, [-1.0 if v is None else v for _, v in own[max(0, i - 3) : i + 2]])
+    assert stats.ranked(df.limit(0), "arm", "reward", "t").count() == stats.blocked(df.limit(0), "arm", "t", 1, 1)[0].count() == 0
+    with pytest.raises(ValueError):
+        stats.blocked(df, "arm", "t", 9, 1, block=8)
+
+
 def test_splits(spark):
     df = spark.range(1003).select(F.col("id").alias("row_id"))
     parts = split.exact_split(df, 0.8, "row_id", seed=3)
