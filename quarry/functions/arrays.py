@@ -100,6 +100,14 @@ def pick(a: Column, indices: list[int]) -> Column:
     return F.array(*[a[j] for j in indices])
 
 
+def put(a: Column, index: Column | int, value: Column | float) -> Column:
+    """The array with `value` at `index`, counted from 0; an index outside the array raises an error."""
+    at = index if isinstance(index, Column) else F.lit(index)
+    new = value if isinstance(value, Column) else F.lit(value)
+    outside = F.raise_error(F.concat(F.lit("no element "), at.cast("string"))).cast("array<double>")
+    return F.when((at < 0) | (at >= F.size(a)), outside).otherwise(F.transform(a, lambda v, i: F.when(i == at, new).otherwise(v)))
+
+
 def powers(a: Column, degree: int) -> Column:
     """[a, a**2, ..., a**degree] in blocks by power, without cross terms."""
     blocks = [a]

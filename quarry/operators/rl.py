@@ -6,11 +6,14 @@ An agent trains where it is; games for evaluation and configurations of a sweep
 from __future__ import annotations
 
 from collections import deque
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
+from operator import add, and_, or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -174,15 +177,28 @@ def normalized(returns: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Reinforce:
-    """Policy gradients with returns normalised in each episode, over valid actions only."""
+    """Policy gradients over valid actions only; with a critic, a value network that learns beside the policy.
+
+    The target of a step is its discounted return (`reward_to_go`) or its episode's first one, by default normalised in each episode.
+    `subtract_baseline` takes the critic's value off the target; the critic descends on (value - target) squared.
+    """
 
     policy: Sequential
     optimizer: Optimizer
     gamma: float = 0.9
     seed: int = 0
+    critic: Sequential | None = None
+    critic_optimizer: Optimizer | None = None
+    normalize: bool = True
+    subtract_baseline: bool = False
+    reward_to_go: bool = True
     episodes: list[list[tuple[np.ndarray, int, float, np.ndarray]]] = field(default_factory=list)
 
     def __post_init__(self):
+        if self.subtract_baseline and self.critic is None:
+            raise ValueError("a baseline needs a critic")
+        if self.critic is not None and self.critic_optimizer is None:
+            raise ValueError("a critic needs an optimizer of its own")
         self.random = np.random.Generator(np.random.PCG64(self.seed))
 
     def probabilities(self, states: np.ndarray, masks: np.ndarray) -> np.ndarray:
@@ -196,16 +212,60 @@ class Reinforce:
         p = self.probabilities(state[None].astype(float), mask)[0]
         return int(self.random.choice(len(p), p=p / p.sum())) if explore else int(np.argmax(p))
 
-    def update(self) -> None:
-        steps = [(s, a, g, m) for e in self.episodes for (s, a, _, m), g in zip(e, normalized(discounted(np.array([x[2] for x in e]), self.gamma)), strict=True)]
-        if steps:
-            states, masks = np.array([x[0] for x in steps], float), np.array([x[3] for x in steps])
-            upstream = self.probabilities(states, masks)
-            upstream[np.arange(len(steps)), [x[1] for x in steps]] -= 1
-            upstream *= np.array([x[2] for x in steps])[:, None]
-            seen = self.policy.forward(states)
-            self.policy = self.policy.with_parameters(self.optimizer.step(self.policy.parameters(), self.policy.backward(seen, upstream * masks) / len(self.episodes)))
-        self.episodes = []
+    def targets(self, episode: list) -> np.ndarray:
+        returns = discounted(np.array([reward for _, _, reward, _ in episode]), self.gamma)
+        returns = normalized(returns) if self.normalize and len(returns) > 1 else returns
+        return returns if self.reward_to_go else np.full(len(returns), returns[0])
+
+    def update(self) -> dict[str, float]:
+        """One step of both networks on the episodes held, which are then let go; the step count and means over steps of the policy's
+        loss, the critic's (0 without one) and the entropy."""
+        held, self.episodes = [e for e in self.episodes if e], []
+        if not held:
+            return {"policy_loss": 0.0, "critic_loss": 0.0, "entropy": 0.0, "steps": 0}
+        steps = [step for e in held for step in e]
+        states, masks = np.array([x[0] for x in steps], float), np.array([x[3] for x in steps])
+        at, target = (np.arange(len(steps)), [x[1] for x in steps]), np.concatenate([self.targets(e) for e in held])
+        advantage, critic_loss = target, 0.0
+        if self.critic is not None:
+            values = self.critic.forward(states)
+            error = values[-1][:, 0] - target
+            advantage, critic_loss = (-error if self.subtract_baseline else target), float((error * error).mean())
+            slope = self.critic.backward(values, 2 * error[:, None]) / len(held)
+            self.critic = self.critic.with_parameters(self.critic_optimizer.step(self.critic.parameters(), slope))
+        p = self.probabilities(states, masks)
+        upstream = p.copy()
+        upstream[at] -= 1
+        upstream *= advantage[:, None]
+        slope = self.policy.backward(self.policy.forward(states), upstream * masks) / len(held)
+        self.policy = self.policy.with_parameters(self.optimizer.step(self.policy.parameters(), slope))
+        entropy = -(p * np.log(np.maximum(p, 1e-8))).sum(1)
+        return {"policy_loss": float((-advantage * np.log(np.maximum(p[at], 1e-8))).mean()), "critic_loss": critic_loss, "entropy": float(entropy.mean()), "steps": len(steps)}
+
+
+def policy_losses(steps: DataFrame | GroupedData, probabilities: str = "p", action: str = "action", value: str = "value", target: str = "target", baseline: bool = True) -> DataFrame:
+    """(policy_loss, critic_loss, entropy, steps): means over a log of steps (or its groups), one row for each. `action` counts from 0; probabilities
+    below 1e-8 count as that in logarithms and not at all in the entropy; with `baseline` the advantage is target - value."""
+    advantage = F.col(target) - F.col(value) if baseline else F.col(target)
+    chosen = F.ln(F.greatest(F.get(probabilities, F.col(action)), F.lit(1e-8)))
+    entropy = F.aggregate(probabilities, F.lit(0.0), lambda total, p: total + F.when(p > 1e-8, -p * F.ln(p)).otherwise(0.0))
+    return steps.agg(F.avg(-advantage * chosen).alias("policy_loss"), F.avg((F.col(value) - F.col(target)) ** 2).alias("critic_loss"), F.avg(entropy).alias("entropy"), F.count(F.lit(1)).alias("steps"))
+
+
+def move_quality(board: Column, cell: Column, player: int, n: int) -> Column:
+    """As TicTacToe.move_quality, of a board of n * n cells (0: empty) in an array column and a cell counted from 0."""
+    env = TicTacToe(n)
+    set_to = lambda who: [F.when(cell == i, F.lit(who)).otherwise(board[i]) for i in range(n * n)]
+    theirs, ours = set_to(3 - player), set_to(player)
+    lines = env.lines.tolist()
+    blocks = reduce(or_, [reduce(and_, [theirs[i] == 3 - player for i in line]) for line in lines])
+    corner, centre = [0, n - 1, n * n - n, n * n - 1], [n * n // 2] if n % 2 else []
+    quality = F.when(blocks, 3.0).otherwise(0.0) + F.when(cell.isin(centre), 0.2).otherwise(0.0) + F.when(cell.isin(corner), 0.15).otherwise(0.0)
+    for line in lines:
+        held = reduce(add, [(ours[i] == player).cast("int") for i in line])
+        is_open = reduce(and_, [ours[i] != 3 - player for i in line])
+        quality = quality + F.when(cell.isin(line) & is_open, 0.05 / n * held).otherwise(0.0)
+    return quality
 
 
 def play(act, env: TicTacToe, random: np.random.Generator, seen=None) -> int:
@@ -240,11 +300,21 @@ class Config:
     update_frequency: int = 100
     episodes: int = 500
     seed: int = 0
+    #: (inputs, outputs, seed) -> network, in place of the layers of `hidden`.
+    network: Callable[[int, int, int], Sequential] | None = None
+    critic: bool = False
+    critic_rate: float = 0.005
+    normalize: bool = True
+    subtract_baseline: bool = False
+    reward_to_go: bool = True
+
+    def build(self, outputs: int, seed: int) -> Sequential:
+        inputs = 2 * self.board * self.board
+        return self.network(inputs, outputs, seed) if self.network else Sequential.build([inputs, *self.hidden, outputs], "relu", seed)
 
 
 def train_agent(c: Config) -> DQN | Reinforce:
-    cells = c.board * c.board
-    net = Sequential.build([2 * cells, *c.hidden, cells], "relu", c.seed)
+    net = c.build(c.board * c.board, c.seed)
     rng, env = np.random.Generator(np.random.PCG64(c.seed + 1)), TicTacToe(c.board)
     if c.algorithm == "dqn":
         agent = DQN(net, Optimizer(c.optimizer, c.learning_rate), c.epsilon_start, c.epsilon_end, c.epsilon_decay, c.gamma, c.batch_size, c.update_frequency, seed=c.seed)
@@ -258,7 +328,8 @@ def train_agent(c: Config) -> DQN | Reinforce:
             agent.decay()
         return agent
     if c.algorithm == "reinforce":
-        agent = Reinforce(net, Optimizer(c.optimizer, c.learning_rate), c.gamma, c.seed)
+        critic = {"critic": c.build(1, c.seed + 2), "critic_optimizer": Optimizer(c.optimizer, c.critic_rate)} if c.critic else {}
+        agent = Reinforce(net, Optimizer(c.optimizer, c.learning_rate), c.gamma, c.seed, normalize=c.normalize, subtract_baseline=c.subtract_baseline, reward_to_go=c.reward_to_go, **critic)
         for episode in range(c.episodes):
             steps: list = []
             play(agent.act, env, rng, lambda s, a, r, n, o, m, steps=steps: steps.append((s, a, r, m)))
@@ -292,12 +363,12 @@ def evaluate_agent(spark: SparkSession, policy: Sequential | None, games: int =
 def sweep(spark: SparkSession, configs: list[Config], games: int = 1000) -> DataFrame:
     """(name, episodes, wins, losses, draws) of each configuration, trained and evaluated in a task of its own."""
     rows = spark.createDataFrame([(i, c.name) for i, c in enumerate(configs)], "number int, name string").repartition(len(configs), "number")
-    shared = spark.sparkContext.broadcast([asdict(c) for c in configs])
+    shared = spark.sparkContext.broadcast(configs)
 
     def run(frames):
         for frame in frames:
             for number in frame["number"]:
-                c = Config(**shared.value[number])
+                c = shared.value[number]
                 agent, env = train_agent(c), TicTacToe(c.board)
                 rng = np.random.Generator(np.random.PCG64([c.seed, 77]))
                 won = [play(lambda s, v, a=agent: a.act(s, v, False), env, rng) for _ in range(games)]

@@ -334,6 +334,7 @@ def random_games(spark, sf_dir):
 @query()
 def dqn_sweep(spark, sf_dir):
     configs = [rl.Config(name=f"gamma={g}", gamma=g, episodes=60, batch_size=16) for g in (0.2, 0.9)] + [rl.Config(name="reinforce", algorithm="reinforce", episodes=40, batch_size=8)]
+    configs += [rl.Config(name="critic", algorithm="reinforce", episodes=40, batch_size=8, critic=True, subtract_baseline=True)]
     return rl.sweep(spark, configs, 100)
 
 

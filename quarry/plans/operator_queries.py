@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import linalg, split, symbolic
+from ..functions import arrays, text
+from ..operators import linalg, rl, split, symbolic
 from ..operators.augment import augment
 from ..operators.frame import dimension
 from ..operators.models import components
@@ -262,3 +262,25 @@ def best_pulls(spark, sf_dir):
 
     place = F.row_number().over(W.partitionBy("arm").orderBy(F.desc("reward"), "t"))
     return pulls(spark, sf_dir).withColumn("place", place.cast("long")).filter("place <= 5").select("arm", "t", "place")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN -1.5::DOUBLE ELSE p_size::DOUBLE END AS a, CASE WHEN p_partkey % 2 = 1 THEN -1.5::DOUBLE ELSE p_retailprice::DOUBLE END AS b FROM part")
+def element_update(spark, sf_dir):
+    """One element of each row is set, its place from the row."""
+    x = arrays.put(F.col("x"), (F.col("row_id") % 2).cast("int"), -1.5)
+    return parts(spark, sf_dir).select(F.col("row_id").alias("p_partkey"), x[0].alias("a"), x[1].alias("b"))
+
+
+@query("WITH e AS (SELECT label, embedding::DOUBLE[] AS x, list_transform(embedding::DOUBLE[], lambda v: exp(v - list_max(embedding)::DOUBLE)) AS e FROM embeddings), p AS (SELECT label, x, list_transform(e, lambda v: v / (list_sum(e) + 1e-10)) AS p FROM e) SELECT label, round(avg((x[1] - x[2]) * ln(greatest(p[label + 1], 1e-8))), 6) + 0.0 AS policy_loss, round(avg(pow(x[1] - x[2], 2)), 6) AS critic_loss, round(avg(-list_sum(list_transform(p, lambda v: v * ln(v)))), 6) AS entropy, count(*) AS steps FROM p GROUP BY label")
+def policy_losses(spark, sf_dir):
+    """Softmax policies over 64 actions; the value is a row's first feature, the target its second, the action its label."""
+    steps = embeddings(spark, sf_dir).select(F.col("y").cast("int").alias("action"), arrays.softmax(F.col("x")).alias("p"), F.col("x")[0].alias("value"), F.col("x")[1].alias("target"))
+    losses = rl.policy_losses(steps.withColumn("label", F.col("action").cast("long")).groupBy("label"))
+    return losses.select("label", *[r(F.col(c)).alias(c) for c in ("policy_loss", "critic_loss", "entropy")], "steps")
+
+
+@query("WITH l AS (SELECT unnest([[0,1,2],[3,4,5],[6,7,8],[0,3,6],[1,4,7],[2,5,8],[0,4,8],[2,4,6]]) AS line), b AS (SELECT p_partkey, p_size % 9 AS cell, [p_partkey // (3 ** i)::BIGINT % 3 for i in range(9)] AS board FROM part), q AS (SELECT p_partkey, cell, list_transform(line, lambda i: CASE WHEN i = cell THEN 2 ELSE board[i + 1] END) AS theirs, list_transform(line, lambda i: CASE WHEN i = cell THEN 1 ELSE board[i + 1] END) AS ours, list_contains(line, cell) AS through FROM b, l) SELECT p_partkey, round(CASE WHEN bool_or(theirs = [2, 2, 2]) THEN 3 ELSE 0 END + CASE WHEN cell = 4 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN cell IN (0, 2, 6, 8) THEN 0.15::DOUBLE ELSE 0 END + sum(CASE WHEN through AND NOT list_contains(ours, 2) THEN 0.05::DOUBLE / 3 * len(list_filter(ours, lambda v: v = 1)) ELSE 0 END), 6) AS quality FROM q GROUP BY p_partkey, cell")
+def move_quality(spark, sf_dir):
+    """The first player's move on a board whose cells are the key's digits to base 3."""
+    key, board = F.col("p_partkey"), F.array(*[(F.floor(F.col("p_partkey") / 3**i) % 3).cast("int") for i in range(9)])
+    return table(spark, sf_dir, "part").withColumn("board", board).select(key, r(rl.move_quality(F.col("board"), F.col("p_size") % 9, 1, 3)).alias("quality"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,9 +86,10 @@ def tracks(spark: SparkSession, path: str, limit: int = 170_000) -> DataFrame:
 
 
 def checkpoints(spark: SparkSession, path: str, suffix: str = ".model") -> DataFrame:
-    """(path, episode) of the model files under a folder: -2 for the best, -1 for the final one."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).load(path).select("path")
-    return files.select("path", episode_number(F.col("path")).alias("episode"))
+    """(path, episode) of the models under a folder, files or folders of files: -2 for the best, -1 for the final one."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    models = files.select(F.regexp_extract("path", f"^(.*?[^/]{re.escape(suffix)})(/|$)", 1).alias("path")).filter("path != ''").distinct()
+    return models.select("path", episode_number(F.col("path")).alias("episode"))
 
 
 def grid(spark: SparkSession, side: int, low: float, high: float) -> DataFrame:

@@ -68,7 +68,22 @@ def load_checkpoint(spark: SparkSession, prefix: str, like: Sequential | None =
 
 def prune_checkpoints(listing: DataFrame) -> DataFrame:
     """The paths that may go: all checkpoints but the best and the final one."""
-    return listing.filter(F.col("episode") >= 0).select("path")
+    return listing.filter(F.coalesce("episode", F.lit(0)) >= 0).select("path")
+
+
+def delete_checkpoints(spark: SparkSession, path: str) -> list[str]:
+    """Deletes the models right under a folder that `prune_checkpoints` names, on whatever file system it is; their names in order."""
+    from .readers import checkpoints
+
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    named = [hadoop.Path(row["path"]) for row in prune_checkpoints(checkpoints(spark, path)).toLocalIterator()]
+    gone = sorted((at for at in named if at.getParent().equals(files.makeQualified(folder))), key=str)
+    for at in gone:
+        if not files.delete(at, True):
+            raise OSError(f"{at} can't be deleted")
+    return [at.getName() for at in gone]
 
 
 def decision_grid(spark: SparkSession, low: float, high: float, side: int) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import estimators
 from quarry.functions import arrays, ieee, text
 from quarry.operators import bandit, frame, linalg, rl, split, stats, symbolic
 from quarry.operators.augment import FourierFeatures, augment
@@ -315,6 +316,75 @@ def test_games(spark):
     assert stats.outcome_counts(again.repartition(3)).first() == played
 
 
+def test_critic(spark):
+    """Losses by hand, a critic that learns its targets, and a network of one's own."""
+    net = Sequential([Dense(np.zeros((2, 4)), np.zeros(2))])
+    agent = rl.Reinforce(net, Optimizer("sgd", 1e-12), 0.5, critic=Sequential([Dense(np.zeros((1, 4)), np.zeros(1))]), critic_optimizer=Optimizer("sgd", 0.5), normalize=False, subtract_baseline=True)
+    both, one = np.array([True, True]), np.array([False, True])
+    episode = [(np.array([1.0, 0, 0, 0]), 0, 1.0, both), (np.array([0, 1.0, 0, 0]), 1, 4.0, one)]
+    agent.episodes = [list(episode), []]
+    got = agent.update()
+    assert got["steps"] == 2 and got["policy_loss"] == pytest.approx(3 * math.log(2) / 2) and got["critic_loss"] == (9 + 16) / 2 and got["entropy"] == pytest.approx(math.log(2) / 2)
+    for _ in range(300):
+        agent.critic_optimizer = Optimizer("sgd", 0.1)
+        agent.episodes = [list(episode)]
+        last = agent.update()
+    assert last["critic_loss"] < 1e-6 and agent.update()["steps"] == 0
+    steps = spark.createDataFrame([([0.5, 0.5], 0, 0.0, 3.0), ([0.0, 1.0], 1, 0.0, 4.0)], "p array<double>, action int, value double, target double")
+    row = rl.policy_losses(steps).first()
+    assert all(row[k] == pytest.approx(got[k]) for k in got)
+    whole = rl.Reinforce(net, Optimizer("sgd", 0.1), 0.5, normalize=False, reward_to_go=False)
+    assert whole.targets(episode).tolist() == [3.0, 3.0]
+    with pytest.raises(ValueError):
+        rl.Reinforce(net, Optimizer("sgd", 0.1), subtract_baseline=True)
+    own = rl.train_agent(rl.Config(algorithm="reinforce", episodes=16, batch_size=8, critic=True, network=lambda i, o, seed: Sequential.build([i, 5, o], "tanh", seed)))
+    assert own.policy.layers[0].w.shape == (5, 18) and own.critic.layers[-1].w.shape == (1, 5)
+
+
+def test_move_quality_columns(spark):
+    random = np.random.Generator(np.random.PCG64(5))
+    boards = [(random.integers(0, 3, n * n).tolist(), int(random.integers(n * n)), n) for n in (3, 4) for _ in range(40)]
+    for n in (3, 4):
+        df = spark.createDataFrame([b[:2] for b in boards if b[2] == n], "board array<int>, cell int")
+        for player in (1, 2):
+            for row in df.withColumn("q", rl.move_quality(F.col("board"), F.col("cell"), player, n)).collect():
+                env = rl.TicTacToe(n)
+                env.board = np.array(row["board"])
+                theirs, ours = env.board.copy(), env.board.copy()
+                theirs[row["cell"]], ours[row["cell"]] = 3 - player, player
+                env.board = ours
+                assert row["q"] == pytest.approx(env.move_quality(row["cell"], player))
+
+
+def test_kernel_loss():
+    x, y = np.array([[0.0, 0], [1, 1], [1.3, 0.8]]), np.array([-1.0, 1, 1])
+    loss, k = kernels.kernel_loss(x, y, "rbf", 0.7, 2.0), kernels.kernel_matrix("rbf", x, x, 0.7)
+    a, b = np.array([0.3, -0.2, 0.5]), 0.1
+    assert loss.variables() == ["a0", "a1", "a2", "b"]
+    assert loss.evaluate(**{f"a{i}": v for i, v in enumerate(a)}, b=b) == pytest.approx(a @ k @ a / 2 + 2 * np.maximum(0, 1 - y * (k @ a + b)).sum())
+
+
+def test_element_update(spark):
+    df = rows(spark, [(1, 2, 3)])
+    assert df.select(arrays.put(F.col("x"), 1, 9.0)).first()[0] == [1.0, 9.0, 3.0]
+    for outside in (-1, 3):
+        with pytest.raises(Exception, match="no element"):
+            df.select(arrays.put(F.col("x"), outside, 9.0)).collect()
+
+
+def test_estimators(spark):
+    xs = [(0, 0), (1, 1), (1.3, 0.8), (-0.8, -0.7)]
+    signed, binary = rows(spark, xs, [-1, 1, 1, -1]), rows(spark, xs, [0, 1, 1, 0])
+    for model, df in [(estimators.KNN(1), binary), (estimators.LogisticRegression(iterations=200), binary), (estimators.GaussianNB(), binary), (estimators.Perceptron(20), signed), (estimators.SVM(iterations=500), signed),
+                      (estimators.SVM(dual=True), signed), (estimators.KernelSVM(), signed), (estimators.FourierSVM(iterations=300), signed)]:
+        with pytest.raises(ValueError):
+            model.predict(df)
+        assert model.fit(df).predict(df).count() == 4 and 0.5 <= model.score(df) <= 1
+    assert 0 <= estimators.LinearRegression().fit(binary).score(binary) <= 1
+    assert {c["predicted"] for c in estimators.KMeans(2).fit(binary).predict(binary).collect()} <= {0, 1}
+    assert len(estimators.PCA(1).fit(binary).transform(binary).first()["x"]) == 1
+
+
 def test_running_in_two_levels(spark):
     """As one window over the whole key gives it; a key with nearly all rows, nulls, ties in no order."""
     data = [("hot" if k % 9 else "cold", float((k * 37) % 101), None if k % 13 == 0 else float(k % 17 - 8)) for k in range(400)] + [(None, 5.0, 2.0), ("nulls", 1.0, None), ("hot", None, 100.0)]
@@ -378,3 +448,7 @@ def test_csv(spark, tmp_path):
     assert readers.read_csv(spark, str(p), {"z": "int", "a": "string"}, comment="#", ignore_missing=True).first()["z"] is None
     (tmp_path / "best.model").write_text("m"), (tmp_path / "episode_40.model").write_text("m")
     assert sorted(r["episode"] for r in readers.checkpoints(spark, str(tmp_path)).collect()) == [-2, 40]
+    sinks.save_network(spark, Sequential([Dense(np.eye(2), np.zeros(2))]), str(tmp_path / "episode_7.model"))
+    (tmp_path / "deeper").mkdir(), (tmp_path / "deeper" / "episode_1.model").write_text("m")
+    assert sinks.delete_checkpoints(spark, str(tmp_path)) == ["episode_40.model", "episode_7.model"]
+    assert (tmp_path / "best.model").exists() and (tmp_path / "deeper" / "episode_1.model").exists() and not (tmp_path / "episode_7.model").exists()
