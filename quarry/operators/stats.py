@@ -76,31 +76,34 @@ def outcome_counts(df: DataFrame, outcome: str = "outcome") -> DataFrame:
     return df.agg(n.alias("games"), *[F.count_if(F.col(outcome) == k).alias(v) for k, v in kinds.items()], *[(F.count_if(F.col(outcome) == k) / n).alias(f"{k}_rate") for k in kinds])
 
 
-def running(log: DataFrame, key: str, order: str, value: str, most: int = 100_000) -> DataFrame:
+def running(log: DataFrame, key: str, order: str, value: str, most: int = 100_000, like: DataFrame | None = None) -> DataFrame:
     """`log` with running_sum, running_count and running_max of `value` up to each row, by the number `order` within `key`.
 
     In two levels, so that one key with most of the rows is spread: rows fall into ranges of `order`, about as many as rows in each;
     totals of the ranges before a row's own are added to what its range has up to it. Rows of equal order count in any turn; a null
-    order comes first, null values count for nothing.
+    order comes first, null values count for nothing. `like` has the same keys, orders and values and is cheaper to make: the ranges
+    and totals are then taken from it, so that `log` is made once.
     """
-    low, high, n = log.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
+    base = log if like is None else like
+    low, high, n, keys = base.agg(F.min(order), F.max(order), F.count(F.lit(1)), F.count_distinct(key)).first()
     width = (float(high) - float(low)) / max(1.0, float(n) ** 0.5) if low is not None and high > low else 1.0
-    ranged = log.withColumn("_range", F.coalesce(F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long"))
-    totals = ranged.groupBy(key, "_range").agg(F.sum(value).alias("_sum"), F.count(value).alias("_count"), F.max(value).alias("_max"))
+    at = F.coalesce(F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long")
+    ranged = log.withColumn("_range", at)
+    totals = base.groupBy(key, at.alias("_range")).agg(F.sum(value).alias("_sum"), F.count(value).alias("_count"), F.max(value).alias("_max"))
     ahead = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     before = totals.select(F.col(key).alias("_key"), F.col("_range").alias("_at"), F.sum("_sum").over(ahead).alias("_sum"), F.sum("_count").over(ahead).alias("_count"), F.max("_max").over(ahead).alias("_max"))
     within = W.partitionBy(key, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    small = F.broadcast if totals.count() <= most else (lambda df: df)
+    small = F.broadcast if (keys + 1) * (n**0.5 + 2) <= most else (lambda df: df)  # at least as many as there are totals
     each = ranged.join(small(before), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at")))
     total = F.when(F.col("_sum").isNull(), F.sum(value).over(within)).otherwise(F.col("_sum") + F.coalesce(F.sum(value).over(within), F.lit(0)))
     each = each.withColumns({"running_sum": total, "running_count": F.coalesce("_count", F.lit(0)) + F.count(value).over(within), "running_max": F.greatest("_max", F.max(value).over(within))})
     return each.drop("_range", "_key", "_at", "_sum", "_count", "_max")
 
 
-def numbered(log: DataFrame, key: str, order: str) -> DataFrame:
+def numbered(log: DataFrame, key: str, order: str, like: DataFrame | None = None) -> DataFrame:
     """`log` with `number`: 1, 2, ... within `key` by the number `order`, a key's rows spread over tasks; equal orders in any turn."""
-    one = log.withColumn("_one", F.lit(1))
-    return running(one, key, order, "_one").withColumnRenamed("running_count", "number").drop("_one", "running_sum", "running_max")
+    one, other = (None if df is None else df.withColumn("_one", F.lit(1)) for df in (log, like))
+    return running(one, key, order, "_one", like=other).withColumnRenamed("running_count", "number").drop("_one", "running_sum", "running_max")
 
 
 def ranked(log: DataFrame, key: str, value: str, order: str, most: int = 100_000) -> DataFrame:
@@ -120,15 +123,15 @@ def ranked(log: DataFrame, key: str, value: str, order: str, most: int = 100_000
     return each.withColumn("place", (F.col("_greater") + F.col("number")).cast("long")).drop("_pair", "_of", "_value", "_greater", "number")
 
 
-def blocked(log: DataFrame, key: str, order: str, before: int, after: int, block: int = 10_000) -> tuple[DataFrame, W]:
+def blocked(log: DataFrame, key: str, order: str, before: int, after: int, block: int = 10_000, like: DataFrame | None = None) -> tuple[DataFrame, W]:
     """(rows, window) for frames of at most `before` rows back and `after` rows on within `key`, in blocks of `block` rows.
 
     The rows have `number`, their place by `order`, and are dealt to blocks of successive numbers; each block has copies of the rows
-    next to it, for which `own` is false: filter on it once the window functions are there.
+    next to it, for which `own` is false: filter on it once the window functions are there. `like`: see `running`.
     """
     if not 0 <= before + after <= block:
         raise ValueError("a block must be longer than its frame")
-    at = numbered(log, key, order).withColumn("_at", F.floor((F.col("number") - 1) / block))
+    at = numbered(log, key, order, like).withColumn("_at", F.floor((F.col("number") - 1) / block))
     inside = F.pmod(F.col("number") - 1, F.lit(block))
     blocks = F.array_compact(F.array(F.col("_at"), F.when(inside >= block - before, F.col("_at") + 1), F.when(inside < after, F.col("_at") - 1)))
     rows = at.withColumn("_block", F.explode(blocks)).withColumn("own", F.col("_block") == F.col("_at")).drop("_at")

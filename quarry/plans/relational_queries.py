@@ -44,11 +44,12 @@ def running_best(spark, sf_dir):
 @query("SELECT event_id, lag(value, 2) OVER w AS before, lead(value) OVER w AS after, ntile(4) OVER w AS quarter, rank() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS place FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)")
 def lag_lead_ntile(spark, sf_dir):
     """Neighbours in blocks of a key's rows, the quarter from a row's number, the place counted over values."""
-    rows, w = blocked(ranked(table(spark, sf_dir, "events"), "event_type", "value", "event_id"), "event_type", "event_id", 2, 1)
+    events = table(spark, sf_dir, "events")
+    rows, w = blocked(ranked(events, "event_type", "value", "event_id"), "event_type", "event_id", 2, 1, like=events)
     n, number = F.col("_n"), F.col("number")
     longer, size = n % 4, F.floor(n / 4)  # the first n mod 4 quarters have one row more
     quarter = F.when(number <= longer * (size + 1), F.ceil(number / (size + 1))).otherwise(longer + F.ceil((number - longer * (size + 1)) / F.greatest(size, F.lit(1))))
-    sizes = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("_type")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = events.groupBy(F.col("event_type").alias("_type")).agg(F.count(F.lit(1)).alias("_n"))
     seen = rows.withColumns({"before": F.lag("value", 2).over(w), "after": F.lead("value").over(w)}).filter("own")
     return seen.join(sizes, F.col("event_type").eqNullSafe(F.col("_type"))).select("event_id", "before", "after", quarter.cast("long").alias("quarter"), "place")
 
