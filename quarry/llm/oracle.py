@@ -71,4 +71,24 @@ r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 k AS (SELECT a, min(b) AS least FROM r GROUP BY 1)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(least, doc_id)) AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k ON doc_id = a"""
 
-ORACLE: dict[str, str] = {"op1_decontamination": OP1, "op2_suffix_dedup": OP2, "op5_mixing": OP5, "op8_chat": OP8, "op9_near_dedup": OP9}
+_FIELDS = " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+_TEXT = "coalesce(octet_length(encode({0}))::VARCHAR || ':' || {0}, '-')"
+OP12 = rf"""
+WITH RECURSIVE k AS (SELECT i, 0 AS step, i AS c FROM range(256) x(i) UNION ALL SELECT i, step + 1, xor(c >> 1, (c & 1) * 3988292384) FROM k WHERE step < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM k WHERE step = 8),
+c AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) AS crc FROM documents, tab),
+d AS (SELECT doc_id, coalesce('=' || lang, '-') AS g, {_FIELDS} AS head, text, CASE WHEN crc % 3 = 0 THEN {LOWER} ELSE text END AS told FROM c),
+e AS MATERIALIZED (SELECT g, doc_id, sha256(head || {_TEXT.format("text")}) AS leaf, sha256(head || {_TEXT.format("told")}) AS claimed FROM d),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY g) AS total FROM e),
+n AS (SELECT g, 0 AS level, place, leaf AS h, total FROM p UNION ALL SELECT g, level + 1, place // 8, sha256(string_agg(h, '' ORDER BY place)), (total + 7) // 8 FROM n WHERE total > 1 GROUP BY g, level, place // 8, total),
+s AS MATERIALIZED (SELECT g, level, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS total FROM n WHERE total = 1),
+u AS (SELECT 0 AS level, place, subroot AS h, total FROM s UNION ALL SELECT level + 1, place // 8, sha256(string_agg(h, '' ORDER BY place)), (total + 7) // 8 FROM u WHERE total > 1 GROUP BY level, place // 8, total),
+a AS MATERIALIZED (SELECT g, level, place, h, total FROM n WHERE total > 1 UNION ALL SELECT s.g, s.level + u.level, u.place, u.h, u.total FROM s, u WHERE u.total > 1),
+w AS MATERIALIZED (SELECT g, level, place // 8 AS run, list(h ORDER BY place) AS hs FROM a GROUP BY ALL),
+f AS (SELECT p.g, p.place AS leaf_place, p.place, s.place AS top_place, s.level AS turn, 0 AS level, claimed AS h, '' AS proof FROM p JOIN s USING (g)
+ UNION ALL SELECT f.g, leaf_place, f.at // 8, top_place, turn, f.level + 1, sha256(array_to_string(hs[1 : f.at % 8], '') || f.h || array_to_string(hs[f.at % 8 + 2 :], '')), proof || array_to_string(hs[1 : f.at % 8], '') || array_to_string(hs[f.at % 8 + 2 :], '')
+ FROM (SELECT *, CASE WHEN level = turn THEN top_place ELSE place END AS at FROM f) f JOIN w ON w.g = f.g AND w.level = f.level AND w.run = f.at // 8),
+t AS (SELECT g, leaf_place, arg_max(h, level) AS folded_root, sha256(arg_max(proof, level)) AS proof_sha256 FROM f GROUP BY 1, 2)
+SELECT doc_id, leaf, subroot, (SELECT h FROM u WHERE total = 1) AS root, proof_sha256, folded_root, folded_root = (SELECT h FROM u WHERE total = 1) AS verified FROM p JOIN t ON p.g = t.g AND p.place = t.leaf_place JOIN s ON p.g = s.g"""
+
+ORACLE: dict[str, str] = {"op1_decontamination": OP1, "op2_suffix_dedup": OP2, "op5_mixing": OP5, "op8_chat": OP8, "op9_near_dedup": OP9, "op12_merkle": OP12}
