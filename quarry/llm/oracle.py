@@ -71,6 +71,22 @@ r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 k AS (SELECT a, min(b) AS least FROM r GROUP BY 1)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(least, doc_id)) AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k ON doc_id = a"""
 
+TERMS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_P = "(1 + 1000000000::HUGEINT * (coalesce({n}, 0) + 2) // ({all} + 2 * v))"
+OP11 = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWER}, '{TERMS}') AS ws FROM documents),
+o AS MATERIALIZED (SELECT id, lang, source, unnest(ws) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term, count(*) AS q FROM o GROUP BY 1, 2 HAVING count(DISTINCT id) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(q) AS whole FROM k GROUP BY 1),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS MATERIALIZED (SELECT lang, source, coalesce(any_value(total), 0) AS total, coalesce(any_value(v), 0) AS v, coalesce(any_value(whole), 0) AS whole FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY 1, 2) USING (lang, source) LEFT JOIN l USING (lang) GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT lang, source, term, n, {_P.format(n="n", all="total")} AS p, {_P.format(n="q", all="whole")} AS q FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+t AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM t UNION ALL SELECT * FROM u))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 10"""
+
 _FIELDS = " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
 _TEXT = "coalesce(octet_length(encode({0}))::VARCHAR || ':' || {0}, '-')"
 OP12 = rf"""
@@ -91,4 +107,4 @@ f AS (SELECT p.g, p.place AS leaf_place, p.place, s.place AS top_place, s.level
 t AS (SELECT g, leaf_place, arg_max(h, level) AS folded_root, sha256(arg_max(proof, level)) AS proof_sha256 FROM f GROUP BY 1, 2)
 SELECT doc_id, leaf, subroot, (SELECT h FROM u WHERE total = 1) AS root, proof_sha256, folded_root, folded_root = (SELECT h FROM u WHERE total = 1) AS verified FROM p JOIN t ON p.g = t.g AND p.place = t.leaf_place JOIN s ON p.g = s.g"""
 
-ORACLE: dict[str, str] = {"op1_decontamination": OP1, "op2_suffix_dedup": OP2, "op5_mixing": OP5, "op8_chat": OP8, "op9_near_dedup": OP9, "op12_merkle": OP12}
+ORACLE: dict[str, str] = {"op1_decontamination": OP1, "op2_suffix_dedup": OP2, "op5_mixing": OP5, "op8_chat": OP8, "op9_near_dedup": OP9, "op11_divergence": OP11, "op12_merkle": OP12}

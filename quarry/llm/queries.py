@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chat import chat_digests, format_chats
 from .common import bound_batches, id_crc, map_arrow, widened
 from .decontaminate import items_digest, match_benchmark
+from .divergence import divergence_audit
 from .fingerprint import compare_with_next
 from .langid import fit_languages, predict_languages
 from .merkle import document_leaves, merkle_manifest
@@ -95,9 +96,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     return merkle_manifest(document_leaves(docs, F.coalesce(id_crc() % 3 == 0, F.lit(False))), proofs=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_language_id, op4_token_counts, op5_mixing, op6_secrets, op7_fingerprints, op8_chat, op9_near_dedup, op10_toxicity, op12_merkle)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_language_id, op4_token_counts, op5_mixing, op6_secrets, op7_fingerprints, op8_chat, op9_near_dedup, op10_toxicity, op11_divergence, op12_merkle)}
