@@ -5,7 +5,7 @@ lang gives each kept term p = 1 + floor(SCALE * (count + 2) / (N + 2 V)) and two
 in whole numbers throughout.
 
 * Upper-bound term search (the terms that tell a group from its lang): a group's terms are put into buckets by count, LOG buckets an octave,
-  at most 64 * LOG a group. Of a bucket are known its greatest p and the least q of its terms; f falls as q rises to p, so f of these
+  at most 64 * LOG a group. Of a bucket are known its greatest p and the least q of its terms with p > q; f falls as q rises to p, so f of these
   two bounds every term of the bucket. Buckets are evaluated best first, in rounds for all groups at once, each round a batch of
   the next buckets four times as large as the last; a group stops once the bounds of all unseen buckets are strictly below its k-th value.
 * Pairs by postings: a term's posting lists the sources of the lang that have it. For sources a, b of a lang the sum over all kept terms is
@@ -24,7 +24,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,9 +65,9 @@ def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs) for all groups; nulls are ''. Read twice, so written once."""
+    """(lang, source, term, n, docs) for all groups; nulls are ''."""
     texts = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")))
-    return cut(texts.mapInArrow(_tallied, "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    return texts.mapInArrow(_tallied, "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def scaled(count: Column, total: Column) -> Column:
@@ -100,10 +99,11 @@ class Counts:
     """What both parts need: groups (lang, source, total, v), postings of kept terms (lang, source, term, n, q, total)."""
 
     def __init__(self, docs: DataFrame, least_docs: int = LEAST_DOCS):
-        counts = term_counts(docs)
-        terms = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).drop("docs")
-        langs = terms.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count(F.lit(1)).alias("v"))
-        postings = cut(counts.drop("docs").join(terms, ["lang", "term"]))
+        term = Window.partitionBy("lang", "term")  # a term's posting: at most a row a source
+        first = F.row_number().over(term.orderBy("source")) == 1
+        counted = term_counts(docs).select("lang", "source", "term", "n", F.sum("n").over(term).alias("lang_n"), F.sum("docs").over(term).alias("docs"), first.alias("first"))
+        postings = cut(counted.filter(F.col("docs") >= least_docs).drop("docs"))
+        langs = postings.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.sum(F.col("first").cast("long")).alias("v"))
         totals = postings.groupBy("lang", "source").agg(F.sum("n").alias("n"))
         seen = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
         groups = seen.join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
@@ -120,9 +120,9 @@ def leading_terms(counts: Counts, top: int = TOP, first: int = FIRST) -> DataFra
     own = counts.postings.join(info, ["lang", "source"])
     q = scaled(F.col("lang_n"), F.col("lang_total"))
     bucket = F.floor(F.log2(F.col("n").cast("double")) * LOG).cast("int")
-    terms = cut(own.select("lang", "source", "term", scaled(F.col("n"), F.col("total")).alias("p"), q.alias("q"), bucket.alias("bucket")))
+    terms = own.select("lang", "source", "term", scaled(F.col("n"), F.col("total")).alias("p"), q.alias("q"), bucket.alias("bucket")).filter("p > q")
     best = terms.groupBy("lang", "source", "bucket").agg(F.count(F.lit(1)).alias("terms"), F.max("p").alias("p"), F.min("q").alias("q"))
-    best = best.filter("p > q").select("lang", "source", "bucket", "terms", differs(F.col("p"), F.col("q")).alias("bound"))
+    best = best.select("lang", "source", "bucket", "terms", differs(F.col("p"), F.col("q")).alias("bound"))
     group = ["lang", "source"]
     order = Window.partitionBy(*group).orderBy(F.col("bound").desc(), "bucket")
     #: before: terms in buckets of higher bounds, at most 64 * LOG rows a group.
@@ -132,7 +132,7 @@ def leading_terms(counts: Counts, top: int = TOP, first: int = FIRST) -> DataFra
     unseen = best.withColumn("kth", F.lit(-1).cast("long"))
     while True:
         batch = unseen.filter((F.col("before") < size) & (F.col("before") >= done) & (F.col("bound") >= F.col("kth")))
-        evaluated = terms.join(batch.select(*group, "bucket"), [*group, "bucket"]).filter("p > q").select(*group, "term", "q", differs(F.col("p"), F.col("q")).alias("value"))
+        evaluated = terms.join(batch.select(*group, "bucket"), [*group, "bucket"]).select(*group, "term", "q", differs(F.col("p"), F.col("q")).alias("value"))
         ranked = evaluated if found is None else evaluated.unionByName(found.select(*evaluated.columns))
         found = cut(ranked.withColumn("rank", F.row_number().over(by_value)).filter(F.col("rank") <= top))
         kth = found.filter(F.col("rank") == top).select(*group, F.col("value").alias("kth"))
@@ -157,7 +157,7 @@ def source_pairs(counts: Counts, tile: int = TILE, block: int = BLOCK) -> DataFr
     # a row meets all tiles of its lang: in the task of its tile and another one, whichever ascends
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     rows = rows.select("*", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
-    sums = rows.groupBy("lang", "ti", "tj", "block").applyInPandas(_tile_sums, "lang string, a long, b long, value long")
+    sums = rows.select("lang", "ti", "tj", "block", "number", "tile", "total", "v", "n", "terms", "term").groupBy("lang", "ti", "tj", "block").applyInArrow(_tile_sums, "lang string, a long, b long, value long")
     both = sums.unionByName(sums.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value")).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     name = groups.select("lang", "number", "source")
     named = both.join(name.withColumnRenamed("number", "a"), ["lang", "a"]).join(name.select("lang", F.col("number").alias("b"), F.col("source").alias("item")), ["lang", "b"])
@@ -165,25 +165,26 @@ def source_pairs(counts: Counts, tile: int = TILE, block: int = BLOCK) -> DataFr
     return named.select("lang", "source", "item", "value", rank.alias("rank"))
 
 
-def _tile_sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _tile_sums(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     """(lang, a, b, value) for a < b of two tiles: of negative blocks what follows from the groups' histograms, of others the corrections."""
-    lang, ti, tj, block = key
-    number, which = np.unique(rows["number"].to_numpy(), return_inverse=True)
+    lang, ti, tj, block = (k.as_py() for k in key)
+    column = lambda name: rows.column(name).to_numpy()
+    number, which = np.unique(column("number"), return_inverse=True)
     total, tile = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-    total[which], tile[which] = rows["total"].to_numpy(), rows["tile"].to_numpy()
-    v, n, terms = int(rows["v"].iloc[0]), rows["n"].to_numpy(), rows["terms"].to_numpy()
+    total[which], tile[which] = column("total"), column("tile")
+    v, n, terms = int(column("v")[0]), column("n"), column("terms")
     size, safe = len(number), np.maximum(total, 1)
     value = np.zeros((size, size), np.int64)
     absent = scaled_np(np.zeros(size, np.int64), safe)
     none = differs_np(absent[:, None], absent[None, :])
     p = scaled_np(n, safe[which])
     if v and block < 0:
-        for at in range(0, len(rows), 4096):  # a group's terms as if the other had none of them
+        for at in range(0, len(n), 4096):  # a group's terms as if the other had none of them
             part = slice(at, at + 4096)
             np.add.at(value, which[part], terms[part, None] * (differs_np(p[part, None], absent[None, :]) - none[which[part]]))
         value = value + value.T + (v * none if block == -1 else 0)
     elif v:
-        term = pd.factorize(rows["term"])[0]
+        term = rows.column("term").combine_chunks().dictionary_encode().indices.to_numpy()
         order = np.argsort(term, kind="stable")
         starts = np.flatnonzero(np.diff(term[order], prepend=-1))
         for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
@@ -195,7 +196,7 @@ def _tile_sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     a, b = np.triu_indices(size, 1)
     kept = (tile[a] == ti) & (tile[b] == tj) & ((block < 0) | (value[a, b] != 0))
     a, b = a[kept], b[kept]
-    return pd.DataFrame({"lang": lang, "a": number[a], "b": number[b], "value": value[a, b]})
+    return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "a": number[a], "b": number[b], "value": value[a, b]})
 
 
 def divergence_audit(docs: DataFrame, top: int = TOP, least_docs: int = LEAST_DOCS) -> DataFrame:
