@@ -7,7 +7,7 @@ in whole numbers throughout.
 * Upper-bound term search (the terms that tell a group from its lang): a group's terms are put into buckets by count, LOG buckets an octave,
   at most 64 * LOG a group. Of a bucket are known its greatest p and the least q of its terms with p > q; f falls as q rises to p, so f of these
   two bounds every term of the bucket. Buckets are evaluated best first, in rounds for all groups at once, each round a batch of
-  the next buckets four times as large as the last; a group stops once the bounds of all unseen buckets are strictly below its k-th value.
+  the next buckets FURTHER times as large as the last; a group stops once the bounds of all unseen buckets are strictly below its k-th value.
 * Pairs by postings: a term's posting lists the sources of the lang that have it. For sources a, b of a lang the sum over all kept terms is
   sum over terms of a of f(p, b's p of an absent term), likewise of b, f of two absent ones for all others, and a correction at the terms
   that both have, from their postings. The first three need only how many terms of a group have each count. Sources are
@@ -34,18 +34,20 @@ TERMS = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LEAST_DOCS, SCALE, TOP = 10, 1_000_000_000, 10
 #: Buckets of counts in an octave; entries tallied in a task before they are passed on; sources in a tile, kept terms in a block.
 LOG, TALLY, TILE, BLOCK = 4, 1 << 18, 256, 4096
-#: Terms that a group's first round of the search evaluates.
-FIRST = 4 * TOP
+#: Terms that a group's first round of the search evaluates, and how many times as many each further one.
+FIRST, FURTHER = 64 * TOP, 16
 
 
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n, docs): occurrences and documents of each term, in parts."""
 
-    def flush() -> pa.RecordBatch:
-        rows = [(lang, source, term, n, docs[lang, source][term]) for (lang, source), terms in count.items() for term, n in terms.items()]
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (lang, source), terms in count.items():
+            seen, names = docs[lang, source], list(terms)
+            columns = [pa.array([value] * len(names), pa.string()) for value in (lang, source)]
+            columns += [pa.array(names, pa.binary()).cast(pa.string()), pa.array(terms.values(), pa.int64()), pa.array(map(seen.__getitem__, names), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
         count.clear(), docs.clear()
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.binary()).cast(pa.string()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], ["lang", "source", "term", "n", "docs"])
 
     count: dict[tuple[str, str], Counter] = {}
     docs: dict[tuple[str, str], Counter] = {}
@@ -58,9 +60,9 @@ def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs.setdefault((lang, source), Counter()).update(distinct)
             since += len(distinct)
             if since >= TALLY and sum(map(len, count.values())) >= TALLY:
-                yield flush()
+                yield from flush()
                 since = 0
-    yield flush()
+    yield from flush()
     give_back()
 
 
@@ -137,7 +139,7 @@ def leading_terms(counts: Counts, top: int = TOP, first: int = FIRST) -> DataFra
         found = cut(ranked.withColumn("rank", F.row_number().over(by_value)).filter(F.col("rank") <= top))
         kth = found.filter(F.col("rank") == top).select(*group, F.col("value").alias("kth"))
         unseen = best.filter(F.col("before") >= size).join(kth, group, "left").withColumn("kth", F.coalesce("kth", F.lit(-1)))
-        done, size = size, 4 * size
+        done, size = size, FURTHER * size
         if unseen.filter(F.col("bound") >= F.col("kth")).isEmpty():
             return found.select(*group, F.col("term").alias("item"), "q", "value", "rank")
 
@@ -145,19 +147,18 @@ def leading_terms(counts: Counts, top: int = TOP, first: int = FIRST) -> DataFra
 def source_pairs(counts: Counts, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """(lang, source, item, value, rank): each group against each other source of its lang, f summed over all kept terms; all ranks."""
     groups = counts.groups.withColumn("tile", F.floor(F.col("number") / tile).cast("long"))
-    shape = ["lang", "number", "tile", "total", "v"]
     histogram = groups.join(counts.postings.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("terms")), ["lang", "source"])
     parts = groups.groupBy("lang").agg((F.max("tile") + 1).alias("tiles"), F.max("v").alias("most")).join(histogram.groupBy("lang").agg(F.count(F.lit(1)).alias("h")), "lang", "left")
     parts = cut(parts.select("lang", "tiles", F.ceil(F.col("most") / block).cast("int").alias("blocks"), F.greatest(F.ceil(F.coalesce("h", F.lit(0)) / (tile * block)), F.lit(1)).cast("int").alias("shares")))
-    # every group stands in each share of the histograms, so that others meet it there
-    present = groups.join(parts, "lang").select(*shape, F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("terms"), F.explode(F.sequence(-F.col("shares"), F.lit(-1))).alias("block"), F.lit("").alias("term"), "tiles")
-    shared = histogram.join(parts, "lang").select(*shape, "n", "terms", (F.lit(-1) - F.pmod("n", "shares")).cast("int").alias("block"), F.lit("").alias("term"), "tiles")
-    entries = counts.postings.join(groups.select("source", *shape), ["lang", "source"]).join(parts, "lang").select(*shape, "n", F.lit(1).cast("long").alias("terms"), F.pmod(F.xxhash64("term"), "blocks").cast("int").alias("block"), "term", "tiles")
-    rows = present.unionByName(shared).unionByName(entries)
     # a row meets all tiles of its lang: in the task of its tile and another one, whichever ascends
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    rows = rows.select("*", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
-    sums = rows.select("lang", "ti", "tj", "block", "number", "tile", "total", "v", "n", "terms", "term").groupBy("lang", "ti", "tj", "block").applyInArrow(_tile_sums, "lang string, a long, b long, value long")
+    tasks = lambda rows, *columns: rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select("lang", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), *columns)
+    present = groups.select(*(F.col(c).alias(c) for c in groups.columns))  # columns of its own, as it meets rows made of `groups`
+    present = present.join(parts, "lang").withColumn("block", F.explode(F.sequence(-F.col("shares"), F.col("blocks") - 1)))
+    present = tasks(present, "block", "number", "tile", "total", "v")
+    shared = tasks(histogram.join(parts, "lang"), (F.lit(-1) - F.pmod("n", "shares")).cast("int").alias("block"), "number", "n", "terms", F.lit("").alias("term"))
+    entries = tasks(counts.postings.join(groups.select("lang", "source", "number", "tile"), ["lang", "source"]).join(parts, "lang"), F.pmod(F.xxhash64("term"), "blocks").cast("int").alias("block"), "number", "n", F.lit(1).cast("long").alias("terms"), "term")
+    task = ["lang", "ti", "tj", "block"]
+    sums = shared.unionByName(entries).groupBy(*task).cogroup(present.groupBy(*task)).applyInArrow(_tile_sums, "lang string, a long, b long, value long")
     both = sums.unionByName(sums.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value")).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     name = groups.select("lang", "number", "source")
     named = both.join(name.withColumnRenamed("number", "a"), ["lang", "a"]).join(name.select("lang", F.col("number").alias("b"), F.col("source").alias("item")), ["lang", "b"])
@@ -165,14 +166,13 @@ def source_pairs(counts: Counts, tile: int = TILE, block: int = BLOCK) -> DataFr
     return named.select("lang", "source", "item", "value", rank.alias("rank"))
 
 
-def _tile_sums(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+def _tile_sums(key: tuple[pa.Scalar, ...], rows: pa.Table, groups: pa.Table) -> pa.Table:
     """(lang, a, b, value) for a < b of two tiles: of negative blocks what follows from the groups' histograms, of others the corrections."""
     lang, ti, tj, block = (k.as_py() for k in key)
-    column = lambda name: rows.column(name).to_numpy()
-    number, which = np.unique(column("number"), return_inverse=True)
-    total, tile = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-    total[which], tile[which] = column("total"), column("tile")
-    v, n, terms = int(column("v")[0]), column("n"), column("terms")
+    order = np.argsort(groups.column("number").to_numpy())
+    number, tile, total = (groups.column(name).to_numpy()[order] for name in ("number", "tile", "total"))
+    v, n, terms = int(groups.column("v")[0].as_py()), rows.column("n").to_numpy(), rows.column("terms").to_numpy()
+    which = np.searchsorted(number, rows.column("number").to_numpy())
     size, safe = len(number), np.maximum(total, 1)
     value = np.zeros((size, size), np.int64)
     absent = scaled_np(np.zeros(size, np.int64), safe)
