@@ -183,7 +183,7 @@ def _tile_sums(key: tuple[pa.Scalar, ...], rows: pa.Table, groups: pa.Table) ->
             part = slice(at, at + 4096)
             np.add.at(value, which[part], terms[part, None] * (differs_np(p[part, None], absent[None, :]) - none[which[part]]))
         value = value + value.T + (v * none if block == -1 else 0)
-    elif v:
+    elif v and len(n):
         term = rows.column("term").combine_chunks().dictionary_encode().indices.to_numpy()
         order = np.argsort(term, kind="stable")
         starts = np.flatnonzero(np.diff(term[order], prepend=-1))
