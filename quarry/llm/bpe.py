@@ -13,7 +13,8 @@
 
 Texts themselves are never shuffled, but one copy of each shared chunk; every pass over them reads whole texts. A place where the pre-tokenizer always cuts: behind an ASCII
 letter, digit or mark (not an apostrophe), before ASCII of another kind; runs of letters, of digits and of marks never go on there.
-Special tokens are cut out first, as the library does.
+The letters from U+00C0 to U+027F count as ASCII ones. Special tokens are cut out first, as the library does.
+Within a window the same places part units, whose ids a worker remembers.
 """
 
 from __future__ import annotations
@@ -22,17 +23,17 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, BinaryType, LongType
+from pyspark.sql.types import StructType
 
-from .common import KeyFilter, cut, give_back
+from .common import KeyFilter, cut, give_back, widened
 from .textvec import BYTE_VALUE, chunks, mix, powers
 
 #: Bytes that a cut depends on; chunks are 2**AVERAGE bytes long in the mean, LEAST at least (but at ends of texts), MOST at most.
@@ -44,36 +45,24 @@ for _c in range(128):
     _KIND[_c] = 1 if chr(_c).isalpha() else 2 if chr(_c).isdigit() else 4 if chr(_c) in "\t\n\v\f\r " else 3 if 33 <= _c < 127 else 0
 
 
-class Tokenizer:
-    """A byte-level BPE tokenizer: the library's encoder, and each id's bytes."""
+#: Units whose ids a worker remembers.
+REMEMBERED = 1 << 19
 
-    def __init__(self, raw: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tokenizers
 
+class Spelling:
+    """Each id's bytes: all that decoding needs."""
+
+    def __init__(self, raw: bytes):
         spec = json.loads(raw)
-        spec.update(truncation=None, padding=None)
-        pre, plain = spec["pre_tokenizer"], all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec["added_tokens"])
-        if not (spec["normalizer"] is None and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and plain and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"]):
-            raise ValueError("only a byte-level BPE tokenizer without normalizer and prefix space, and with plain added tokens, cuts where this operator relies on it")
-        self.library = tokenizers.Tokenizer.from_str(json.dumps(spec))
         # byte-level vocabularies write printable bytes as themselves and the others, in order, as the characters from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
         byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
-        spell = lambda token: b"".join(bytes([byte_of[c]]) if c in byte_of else c.encode() for c in token)
         vocabulary = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.spelled: list[bytes | None] = [None] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
-            self.spelled[i] = spell(token)
+            self.spelled[i] = b"".join(bytes([byte_of[c]]) if c in byte_of else c.encode() for c in token)
         self.lengths = np.array([len(b or b"") for b in self.spelled], np.int64)
-        self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
-        self.specials = re.compile(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-
-    def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece; a piece holds no special token's string."""
-        found = self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return [np.array(e.ids, "<u4") for e in found]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text that the ids spell; ids beyond the vocabulary are passed over, bytes that aren't UTF-8 become U+FFFD."""
@@ -86,11 +75,50 @@ class Tokenizer:
         return out
 
 
+class Tokenizer:
+    """A byte-level BPE tokenizer: the library's encoder, called once for each unit (what stands between two firm places) that isn't remembered."""
+
+    def __init__(self, raw: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tokenizers
+
+        spec = json.loads(raw)
+        spec.update(truncation=None, padding=None)
+        pre, plain = spec["pre_tokenizer"], all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec["added_tokens"])
+        if not (spec["normalizer"] is None and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and plain and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"]):
+            raise ValueError("only a byte-level BPE tokenizer without normalizer and prefix space, and with plain added tokens, cuts where this operator relies on it")
+        self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
+        self.specials = re.compile(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.library = tokenizers.Tokenizer.from_str(json.dumps(spec))
+        self.known: dict[bytes, bytes] = {}
+
+    def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of each piece, encoded alone; a piece holds no special token's string."""
+        raw = b"".join(pieces)
+        offsets = np.cumsum([0, *map(len, pieces)])
+        at = firm(np.frombuffer(raw, np.uint8), offsets)
+        ends = at.tolist()
+        units = [raw[a:b] for a, b in zip(ends, ends[1:])]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known = self.known
+        new = list(set(units).difference(known))
+        for u, e in zip(new, self.library.encode_batch_fast([u.decode() for u in new], add_special_tokens=False), strict=True):
+            known[u] = array("I", e.ids).tobytes()
+        first = np.searchsorted(at, offsets).tolist()
+        return [np.frombuffer(b"".join(map(known.__getitem__, units[a:b])), "<u4") for a, b in zip(first, first[1:])]
+
+
 @cache
 def _tokenizer(raw: bytes) -> Tokenizer:
     return Tokenizer(raw)
 
 
+@cache
+def _spelling(raw: bytes) -> Spelling:
+    return Spelling(raw)
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where chunks of the texts begin, and the end of all: ascending places in `data`, every text's begin and end among them."""
     n = len(data)
@@ -124,11 +152,17 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def firm(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Places where the pre-tokenizer always cuts, every text's begin and end among them."""
-    kind = _KIND[data]
-    before, behind = kind[:-1], kind[1:]
-    always = (before > 0) & (before < 4) & (behind > 0) & (before != behind) & (data[:-1] != 39)
-    return np.union1d(np.flatnonzero(always) + 1, offsets)
+    """Places where the pre-tokenizer always cuts, every text's begin and end among them, ascending."""
+    places = np.zeros(len(data) + 1, bool)
+    if len(data) > 1:
+        before, behind = _KIND[data[:-1]], _KIND[data[1:]]
+        lead = (data >= 0xC3) & (data <= 0xC9)  # of the letters from U+00C0 to U+027F, but for two signs
+        lead[:-1] &= ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+        behind = np.where(lead[1:], 1, behind)
+        before[1:] = np.where(lead[:-2], 1, before[1:])
+        places[1:-1] = (before > 0) & (before < 4) & (behind > 0) & (before != behind) & (data[:-1] != 39)
+    places[offsets] = True
+    return np.flatnonzero(places)
 
 
 class Pieces:
@@ -151,7 +185,7 @@ class Pieces:
 
     def low(self) -> np.ndarray:
         """The first eight bytes of each digest as an integer."""
-        return np.frombuffer(b"".join(d[:8] or bytes(8) for d in self.digests), "<i8")
+        return np.frombuffer(b"".join(self.digests), "<i8")[::2] if not self.specials else np.frombuffer(b"".join(d or bytes(16) for d in self.digests), "<i8")[::2]
 
     def usable(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each chunk the first and last place in it where the pre-tokenizer always cuts."""
@@ -181,16 +215,19 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 def marked(pieces: Pieces, shared: KeyFilter) -> np.ndarray:
     """Which chunks are encoded in the table of shared ones."""
-    return shared(pieces.low()) & np.array([len(d) > 0 for d in pieces.digests], bool)
+    found = shared(pieces.low())
+    return found & np.array([len(d) > 0 for d in pieces.digests], bool) if pieces.specials else found
 
 
 def named(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
 
-def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids) for every row of `docs` (doc_id, text); ids are little-endian unsigned 32-bit integers on end.
 
+    With `digests`, in place of ids the SHA-256 of them and of the text that they are decoded to (ids_sha256, decoded_sha256).
+
     The same as the library's encoding of the whole text without adding special tokens, truncation or padding; special tokens' strings in a text
     are these tokens. A null or empty text has no tokens. Equal rows are each returned; doc_id may repeat or be null. Other columns are ignored.
     """
@@ -200,7 +237,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
         vocabulary = spark.sparkContext.broadcast(f.read())
     _tokenizer(vocabulary.value)  # refuses here what it can't encode
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count: dict[bytes, int] = {}
             for _, _, _, pieces in _pieces(batch, _tokenizer(vocabulary.value)):
@@ -211,7 +248,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(low), pa.array(count.values(), pa.int64())], ["digest", "low", "n"])
         give_back()
 
-    counted = docs.select("text").mapInArrow(digests, "digest binary, low long, n long").groupBy("digest", "low").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(digested, "digest binary, low long, n long").groupBy("digest", "low").agg(F.sum("n").alias("n"))
     shared = cut(counted.filter("n > 1"))
     marks = spark.sparkContext.broadcast(KeyFilter(shared.select("low")))
 
@@ -266,7 +303,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            coder = _tokenizer(vocabulary.value)
+            coder = _spelling(vocabulary.value)
             parts = [packed(cut_ids(coder, unpacked(i), a, b)) for i, a, b in zip(batch.column("ids").to_pylist(), batch.column("first").to_pylist(), batch.column("last").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("name"), batch.column("number"), pa.array(parts, pa.binary()), pa.nulls(len(parts), pa.binary())], ["doc_id", "name", "number", "ids", "at"])
         give_back()
@@ -277,7 +314,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
             coder, names, ids, at = _tokenizer(vocabulary.value), [], [], []
             for lo, hi, data, pieces in _pieces(batch, coder):
                 used, first, last = referred(pieces, data)
-                for row, (literal, places) in enumerate(_literals(pieces, used, first, last, coder, heavy.value)):
+                for row, (literal, places) in enumerate(_literals(pieces, used, first, last, coder, _spelling(vocabulary.value), heavy.value)):
                     names.append(named(pieces.raw[pieces.offsets[row] : pieces.offsets[row + 1]]))
                     ids.append(packed(literal))
                     at.append(np.array(places, "<i8").tobytes())
@@ -285,15 +322,24 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
         give_back()
 
     own = StructType([docs.schema["doc_id"]])
-    part = StructType([*own, StructField("name", BinaryType()), StructField("number", LongType()), StructField("ids", BinaryType()), StructField("at", BinaryType())])
-    uses = StructType([*own, StructField("name", BinaryType()), StructField("number", LongType()), StructField("digest", BinaryType()), StructField("first", LongType()), StructField("last", LongType())])
+    part = StructType([*own, *StructType.fromDDL("name binary, number long, ids binary, at binary")])
+    uses = StructType([*own, *StructType.fromDDL("name binary, number long, digest binary, first long, last long")])
     taken = docs.mapInArrow(references, uses).join(table, "digest").select("doc_id", "name", "number", "ids", "first", "last").mapInArrow(sliced, part)
     parts = docs.mapInArrow(windows, part).unionByName(taken)
     ordered = parts.repartition("doc_id", "name").sortWithinPartitions("doc_id", "name", "number")
-    return ordered.mapInArrow(_assembled, StructType([*own, StructField("n_tokens", LongType()), StructField("ids", BinaryType())]))
+    if not digests:
+        return ordered.mapInArrow(_assembled, StructType([*own, *StructType.fromDDL("n_tokens long, ids binary")]))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _assembled(batches):
+            ids = batch.column("ids").to_pylist()
+            columns = [pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()) for texts in (ids, (_spelling(vocabulary.value).decode(np.frombuffer(i, "<u4")) for i in ids))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return ordered.mapInArrow(hashed, StructType([*own, *StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string")]))
 
 
-def cut_ids(coder: Tokenizer, ids: np.ndarray, first: int, last: int) -> np.ndarray:
+def cut_ids(coder: Spelling, ids: np.ndarray, first: int, last: int) -> np.ndarray:
     """The ids of a chunk's bytes from `first` to `last`, which are token boundaries of it."""
     ends = np.cumsum(coder.lengths[ids])
     a, b = (int(np.searchsorted(ends, x, "right")) for x in (first, last))
@@ -302,7 +348,7 @@ def cut_ids(coder: Tokenizer, ids: np.ndarray, first: int, last: int) -> np.ndar
     return ids[a:b]
 
 
-def _literals(pieces: Pieces, used: np.ndarray, first: np.ndarray, last: np.ndarray, coder: Tokenizer, heavy: dict[bytes, bytes]) -> Iterator[tuple[np.ndarray, list[int]]]:
+def _literals(pieces: Pieces, used: np.ndarray, first: np.ndarray, last: np.ndarray, coder: Tokenizer, spelling: Spelling, heavy: dict[bytes, bytes]) -> Iterator[tuple[np.ndarray, list[int]]]:
     """For each text the ids of its windows and heavy chunks on end, and the places of its other shared chunks among them."""
     pending: list[bytes] = []
     layout: list[list] = []  # of each text: a window's number in `pending`, ids that are known, or None for a shared chunk
@@ -330,7 +376,7 @@ def _literals(pieces: Pieces, used: np.ndarray, first: np.ndarray, last: np.ndar
             window(at, int(first[k]), into)
             at = int(last[k])
             if pieces.digests[u] in heavy:
-                into.append(cut_ids(coder, unpacked(heavy[pieces.digests[u]]), int(first[k] - pieces.starts[u]), int(last[k] - pieces.starts[u])))
+                into.append(cut_ids(spelling, unpacked(heavy[pieces.digests[u]]), int(first[k] - pieces.starts[u]), int(last[k] - pieces.starts[u])))
             else:
                 into.append(None)
         window(at, int(pieces.offsets[row + 1]), into)
@@ -373,7 +419,7 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for one in whole():
                     ready.append(one)
                     size += one.nbytes
-                    if size > 1 << 24:
+                    if size > 1 << 21:
                         yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
                         ready, size = [], 0
                 key, copies, parts = (doc, name), 0, {}
@@ -396,11 +442,11 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            coder = _tokenizer(vocabulary.value)
+            coder = _spelling(vocabulary.value)
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [None if i is None else coder.decode(np.frombuffer(i, "<u4")) for i in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.binary()).cast(pa.string())], [*names, "decoded"])
         give_back()
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("decoded", StructType.fromDDL("decoded string")["decoded"].dataType)]))
+    return kept.mapInArrow(run, widened(kept, "decoded string"))

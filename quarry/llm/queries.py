@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import decode_documents, encode_documents
+from .bpe import encode_documents
 from .chat import chat_digests, format_chats
 from .common import bound_batches, id_crc, map_arrow, widened
 from .decontaminate import items_digest, match_benchmark
@@ -110,8 +110,7 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    decoded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode_documents(table(spark, sf_dir, "documents"), path, digests=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_language_id, op4_token_counts, op5_mixing, op6_secrets, op7_fingerprints, op8_chat, op9_near_dedup, op10_toxicity, op11_divergence, op12_merkle, op13_bpe)}

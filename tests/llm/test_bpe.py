@@ -1,5 +1,6 @@
 """Encoding by reused chunks against the library on whole texts, and decoding back."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -30,7 +31,7 @@ def wanted(rows):
     return sorted(((r[0], expected(r[1]), len(expected(r[1])), library.decode(expected(r[1]), skip_special_tokens=False)) for r in rows), key=str)
 
 
-ALPHABETS = ["ab '", "'srtveml d!", " \n\t\xa0x", "é日本語 。a1", "0123456789 ٣½a", "<|endoftext|> x", "aaaa", "🙂👍‍ a'", "\x00\x01\x7f -"]
+ALPHABETS = ["ab '", "'srtveml d!", " \n\t\xa0x", "é日本語 。a1", "éßÀ×÷ŉſǅɐʰ\u0301 a'.1", "0123456789 ٣½a", "<|endoftext|> x", "aaaa", "🙂👍‍ a'", "\x00\x01\x7f -"]
 
 
 @settings(max_examples=300, deadline=None)
@@ -68,6 +69,9 @@ def test_awkward_rows_and_empty_tables(make):
     rows = AWKWARD * 2 + [(20, "<|endoftext|>"), (21, "a<|endoftext|><|endoftext|> b"), (22, "<|endoftext|" * 40), (23, "<|endo"), (24, "ftext|>"), (None, "<|endoftext|>x" * 300), (None, "<|endoftext|>x" * 300)]
     assert found(make(rows)) == wanted(rows)
     assert found(make([])) == []
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got = sorted(map(tuple, encode_documents(make(rows), PATH, digests=True).collect()), key=str)
+    assert got == sorted(((i, n, sha(np.array(ids, "<u4").tobytes()), sha(text.encode())) for i, ids, n, text in wanted(rows)), key=str)
 
 
 def test_chunks_are_the_same_wherever_a_passage_stands():
@@ -91,8 +95,7 @@ def test_packed(ids):
 
 
 def test_disagreement_is_an_error():
-    coder = bpe._tokenizer(open(PATH, "rb").read())
-    ids = coder.encode([b"word count"])[0]
+    ids, coder = bpe._tokenizer(open(PATH, "rb").read()).encode([b"word count"])[0], bpe._spelling(open(PATH, "rb").read())
     assert cut_ids(coder, ids, 0, 4).tolist() == expected("word")
     with pytest.raises(AssertionError):
         cut_ids(coder, ids, 2, 10)
@@ -104,7 +107,7 @@ def test_refuses_tokenizers_that_cut_otherwise():
 
 
 def test_decoding_beyond_the_vocabulary(spark):
-    coder = bpe._tokenizer(open(PATH, "rb").read())
+    coder = bpe._spelling(open(PATH, "rb").read())
     for ids in ([50256, 1, 60000], [127, 128, 255, 198], [], list(range(0, 50257, 97))):
         assert coder.decode(np.array(ids, "<u4")).decode() == library.decode(ids, skip_special_tokens=False)
     df = spark.createDataFrame([(1, None)], "doc_id long, ids binary")
