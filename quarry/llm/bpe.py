@@ -24,7 +24,7 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -46,7 +46,7 @@ for _c in range(128):
 
 
 #: Units whose ids a worker remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
 
 
 class Spelling:
@@ -59,15 +59,15 @@ class Spelling:
         others = [b for b in range(256) if b not in set(printable)]
         byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
         vocabulary = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.spelled: list[bytes | None] = [None] * (max(vocabulary.values()) + 1)
+        self.spelled = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.spelled[i] = b"".join(bytes([byte_of[c]]) if c in byte_of else c.encode() for c in token)
-        self.lengths = np.array([len(b or b"") for b in self.spelled], np.int64)
+        self.lengths = np.array(list(map(len, self.spelled)), np.int64)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text that the ids spell; ids beyond the vocabulary are passed over, bytes that aren't UTF-8 become U+FFFD."""
-        spelled = self.spelled
-        out = b"".join([spelled[i] or b"" for i in ids.tolist() if i < len(spelled)])
+        ids = ids if not len(ids) or ids.max() < len(self.spelled) else ids[ids < len(self.spelled)]
+        out = b"".join(map(self.spelled.__getitem__, ids.tolist()))
         try:
             out.decode()
         except UnicodeDecodeError:
@@ -244,13 +244,16 @@ def encode_documents(docs: DataFrame, tokenizer: str, digests: bool = False) ->
                 for d in pieces.digests:
                     count[d] = count.get(d, 0) + 1
             count.pop(b"", None)
-            low = np.frombuffer(b"".join(d[:8] for d in count), "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(low), pa.array(count.values(), pa.int64())], ["digest", "low", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(count.values(), pa.int64())], ["digest", "n"])
         give_back()
 
-    counted = docs.select("text").mapInArrow(digested, "digest binary, low long, n long").groupBy("digest", "low").agg(F.sum("n").alias("n"))
+    def lows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column("digest").to_pylist()), "<i8")[::2])], ["low"])
+
+    counted = docs.select("text").mapInArrow(digested, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n"))
     shared = cut(counted.filter("n > 1"))
-    marks = spark.sparkContext.broadcast(KeyFilter(shared.select("low")))
+    marks = spark.sparkContext.broadcast(KeyFilter(shared.select("digest").mapInArrow(lows, "low long")))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,8 +319,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, digests: bool = False) ->
                 used, first, last = referred(pieces, data)
                 for row, (literal, places) in enumerate(_literals(pieces, used, first, last, coder, _spelling(vocabulary.value), heavy.value)):
                     names.append(named(pieces.raw[pieces.offsets[row] : pieces.offsets[row + 1]]))
-                    ids.append(packed(literal))
-                    at.append(np.array(places, "<i8").tobytes())
+                    done = digests and not places
+                    ids.append(summary(literal.tobytes(), _spelling(vocabulary.value)) if done else packed(literal))
+                    at.append(None if done else np.array(places, "<i8").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.binary()), pa.array([-1] * len(names), pa.int64()), pa.array(ids, pa.binary()), pa.array(at, pa.binary())], ["doc_id", "name", "number", "ids", "at"])
         give_back()
 
@@ -331,14 +335,19 @@ def encode_documents(docs: DataFrame, tokenizer: str, digests: bool = False) ->
         return ordered.mapInArrow(_assembled, StructType([*own, *StructType.fromDDL("n_tokens long, ids binary")]))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _assembled(batches):
-            ids = batch.column("ids").to_pylist()
-            columns = [pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()) for texts in (ids, (_spelling(vocabulary.value).decode(np.frombuffer(i, "<u4")) for i in ids))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in _assembled(batches, lambda ids: summary(ids, _spelling(vocabulary.value))):
+            n, *columns = zip(*(x.decode().split() for x in batch.column("ids").to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(int, n), pa.int64()), *(pa.array(c, pa.string()) for c in columns)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return ordered.mapInArrow(hashed, StructType([*own, *StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string")]))
 
 
+def summary(ids: bytes, spelling: Spelling) -> bytes:
+    """The number of ids, and the digests of them and of the text that they are decoded to."""
+    decoded = spelling.decode(np.frombuffer(ids, "<u4"))
+    return f"{len(ids) // 4} {hashlib.sha256(ids).hexdigest()} {hashlib.sha256(decoded).hexdigest()}".encode()
+
+
 def cut_ids(coder: Spelling, ids: np.ndarray, first: int, last: int) -> np.ndarray:
     """The ids of a chunk's bytes from `first` to `last`, which are token boundaries of it."""
     ends = np.cumsum(coder.lengths[ids])
@@ -394,13 +403,13 @@ def _literals(pieces: Pieces, used: np.ndarray, first: np.ndarray, last: np.ndar
         yield np.concatenate(literal) if literal else np.zeros(0, "<u4"), places
 
 
-def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents from their rows in order of (doc_id, name, number); equal documents have each row as many times."""
-    key, head, copies, parts = None, (), 0, {}
+def _assembled(batches: Iterator[pa.RecordBatch], finish: Callable[[bytes], bytes] = bytes) -> Iterator[pa.RecordBatch]:
+    """Documents from their rows in order of (doc_id, name, number); equal documents have each row as many times. `finish` is applied to the ids."""
+    key, head, copies, parts, kind = None, (), 0, {}, None
 
-    def whole() -> Iterator[pa.RecordBatch]:
-        if key is None:
-            return
+    def whole() -> bytes:
+        if head[1] is None:  # finished already
+            return head[0]
         literal, at = unpacked(head[0]), np.frombuffer(head[1], "<i8").tolist()
         if len(at) != len(parts):
             raise AssertionError("a document's shared chunks aren't all there")
@@ -408,28 +417,36 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, place in enumerate(at):
             ids += [literal[before:place].tobytes(), unpacked(parts[k]).tobytes()]
             before = place
-        made = b"".join([*ids, literal[before:].tobytes()])
-        for _ in range(copies):
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]], kind), pa.array([len(made) // 4], pa.int64()), pa.array([made], pa.binary())], ["doc_id", "n_tokens", "ids"])
-
-    for batch in batches:
-        kind, ready, size = batch.schema.field("doc_id").type, [], 0
-        for doc, name, number, ids, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "name", "number", "ids", "at")), strict=True):
-            if (doc, name) != key:
-                for one in whole():
-                    ready.append(one)
-                    size += one.nbytes
-                    if size > 1 << 21:
-                        yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
-                        ready, size = [], 0
-                key, copies, parts = (doc, name), 0, {}
-            if number < 0:
-                head, copies = (ids, at), copies + 1
-            else:
-                parts[number] = ids
-        if ready:
-            yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
-    yield from whole()
+        return finish(b"".join([*ids, literal[before:].tobytes()]))
+
+    def ready(docs: list, made: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(docs, kind), pa.array([len(x) // 4 for x in made], pa.int64()), pa.array(made, pa.binary())], ["doc_id", "n_tokens", "ids"])
+
+    def rows() -> Iterator[tuple]:
+        nonlocal kind
+        for batch in batches:
+            kind = batch.schema.field("doc_id").type
+            yield from zip(*(batch.column(c).to_pylist() for c in ("doc_id", "name", "number", "ids", "at")), strict=True)
+        yield None, None, 0, None, None  # after the last document
+
+    docs, made, size = [], [], 0
+    for doc, name, number, ids, at in rows():
+        if (doc, name) != key:
+            text = whole() if key else b""
+            for _ in range(copies):
+                docs.append(key[0])
+                made.append(text)
+                size += len(text) + 64
+                if size > 1 << 21:
+                    yield ready(docs, made)
+                    docs, made, size = [], [], 0
+            key, copies, parts = (doc, name), 0, {}
+        if number < 0:
+            head, copies = (ids, at), copies + 1
+        else:
+            parts[number] = ids
+    if docs:
+        yield ready(docs, made)
     give_back()
 
 
