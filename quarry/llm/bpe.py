@@ -183,9 +183,9 @@ class Pieces:
             self.digests = [b"" if a in self.specials else d for a, d in zip(self.starts.tolist(), self.digests, strict=True)]
         self.text = np.searchsorted(offsets, self.starts, "right") - 1
 
-    def low(self) -> np.ndarray:
-        """The first eight bytes of each digest as an integer."""
-        return np.frombuffer(b"".join(self.digests), "<i8")[::2] if not self.specials else np.frombuffer(b"".join(d or bytes(16) for d in self.digests), "<i8")[::2]
+    def halves(self) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of each digest as integers."""
+        return halves([d or bytes(16) for d in self.digests] if self.specials else self.digests)
 
     def usable(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each chunk the first and last place in it where the pre-tokenizer always cuts."""
@@ -213,9 +213,15 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<u{width}").ravel().astype("<u4")
 
 
-def marked(pieces: Pieces, shared: KeyFilter) -> np.ndarray:
-    """Which chunks are encoded in the table of shared ones."""
-    found = shared(pieces.low())
+def halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(digests), "<i8")
+    return both[::2], both[1::2]
+
+
+def marked(pieces: Pieces, shared: tuple[KeyFilter, KeyFilter]) -> np.ndarray:
+    """Which chunks are encoded in the table of shared ones: those that two filters, of either half of the digests, let through."""
+    a, b = pieces.halves()
+    found = shared[0](a) & shared[1](b)
     return found & np.array([len(d) > 0 for d in pieces.digests], bool) if pieces.specials else found
 
 
@@ -247,13 +253,14 @@ def encode_documents(docs: DataFrame, tokenizer: str, digests: bool = False) ->
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(count.values(), pa.int64())], ["digest", "n"])
         give_back()
 
-    def lows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column("digest").to_pylist()), "<i8")[::2])], ["low"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.copy()) for h in halves(batch.column("digest").to_pylist())], ["low", "high"])
 
     counted = docs.select("text").mapInArrow(digested, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n"))
     shared = cut(counted.filter("n > 1"))
-    marks = spark.sparkContext.broadcast(KeyFilter(shared.select("digest").mapInArrow(lows, "low long")))
+    parts = shared.select("digest").mapInArrow(split, "low long, high long")
+    marks = spark.sparkContext.broadcast((KeyFilter(parts.select("low")), KeyFilter(parts.select("high"))))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
