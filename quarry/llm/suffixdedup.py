@@ -109,8 +109,14 @@ class Anchors:
         ok = valid[first]
         first, last = first[ok], last[ok]
         at = place[first]
-        span = (sums[last + length] - sums[first]) * down[first]
-        outer = mix(span + mix((at - first).astype(np.uint64) * np.uint64(1 << 20) + (last - first).astype(np.uint64)))
+        # the context's own hash: the hashes of the anchor-sized strings that it consists of, mixed one after another (a polynomial modulo 2**64 over
+        # hundreds of bytes would take some different contexts for equal ones)
+        outer, step, end = mix((at - first).astype(np.uint64) * np.uint64(1 << 20) + (last - first).astype(np.uint64)), first, last + length - anchor
+        while True:
+            outer = mix((outer ^ kmers[step]) * np.uint64(0x9FB21C651E98DF25))
+            if (step == end).all():
+                break
+            step = np.minimum(step + anchor, end)
         return owner[first], at, first, last, kmers[at], outer
 
 
