@@ -3,16 +3,18 @@
 import hashlib
 import random
 import re
+import string
 import time
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
 from quarry.llm.langid import UNDETERMINED, fit_languages, predict_languages
 from quarry.llm.queries import QUERIES
-from quarry.llm.secrets import CLASSES, EMBED, FILTERS, HIDDEN, KINDS, WIDTH, Cover, SecretNet, base_spans, beyond, candidates, codes, findings_of, redact, scan_secrets, spans_text, train
+from quarry.llm.secrets import CLASSES, EMBED, FILTERS, HARMLESS, HIDDEN, KINDS, WIDTH, Cover, SecretNet, base_spans, beyond, candidates, codes, findings_of, harmless, redact, scan_secrets, spans_text, train
 from quarry.llm.toxicity import DIMS, fit_toxicity, score_toxicity
 
 from .conftest import AWKWARD
@@ -92,10 +94,11 @@ def test_secret_spans(spark, make):
         assert base_spans(t or "") == brute_spans(t or "")
     net = train(findings_of(docs))
     assert net is not None and 0.5 <= net.threshold <= 1
-    fresh = [(f"zq {''.join(random.Random(k).choice('0123456789abcdef') for _ in range(20))} zq", 1) for k in range(30)] + [("zq mail42@example.com 4111111111111111 zq", 0)] * 5
+    rng = random.Random(8)
+    fresh = [(f"zq {''.join(rng.choice('0123456789abcdef') for _ in range(20))} zq", 1) for _ in range(30)] + [("zq mail42@example.com 4111111111111111 zq", 0)] * 5
     scanned = scan_secrets(make([(k, t) for k, (t, _) in enumerate(fresh)]), net).orderBy("doc_id").collect()
     hits = [any(s["kind"] == "cnn" for s in r["spans"]) for r in scanned]
-    assert np.mean(hits[:30]) > 0.25 and not any(hits[30:])
+    assert np.mean(hits[:30]) > 0.9 and not any(hits[30:])
     again = Counter((r["doc_id"], spans_text([s.asDict() for s in r["spans"]], KINDS[:3])) for r in scan_secrets(docs, net).collect())
     assert again == Counter((i, ",".join(f"{k}:{a}:{b}" for a, b, k in brute_spans(t or ""))) for i, t in rows)
     clean = {r["doc_id"]: r["text"] for r in redact(scan_secrets(make([(1, "x token=abcdef123 y"), (2, "nothing here"), (3, None)]), net)).collect()}
@@ -171,3 +174,41 @@ def test_secret_digest(spark):
         base = brute_spans(texts[r["doc_id"]] or "")
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for _, _, k in base) for x in KINDS[:3])
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest()
+
+
+KEY_FORMS = {"lower and digits": (string.ascii_lowercase + string.digits, 16), "capitals and digits": (string.ascii_uppercase + string.digits, 16), "letters and digits": (string.ascii_letters + string.digits, 16), "hex digits": ("0123456789abcdef", 20), "capital hex digits": ("0123456789ABCDEF", 20), "base64": (string.ascii_letters + string.digits + "+/", 40)}
+OTHER_WORDS = "international congratulations terms and conditions responsible government between machine learning table river mountain quickly house garden evening question answer".split()
+
+
+@pytest.fixture(scope="module")
+def secret_net(spark):
+    return train(findings_of(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")))
+
+
+def share_marked(net, runs):
+    texts = [f"er sagte dann nun ein {r} und ging weiter" for r in runs]
+    spans = [[(22, 22 + len(r))] for r in runs]
+    return float((net.score([codes(t) for t in texts], spans) >= net.threshold).mean())
+
+
+@pytest.mark.parametrize("form", HARMLESS)
+def test_harmless_runs_of_unseen_words(secret_net, form):
+    rng = np.random.default_rng(77)
+    assert share_marked(secret_net, [harmless(OTHER_WORDS, form, rng) for _ in range(600)]) <= 0.01
+
+
+@pytest.mark.parametrize("form", KEY_FORMS)
+def test_short_keys(secret_net, form):
+    rng = random.Random(9)
+    letters, n = KEY_FORMS[form]
+    assert share_marked(secret_net, ["".join(rng.choice(letters) for _ in range(n)) for _ in range(400)]) >= 0.9
+
+
+def test_clean_texts_stay_word_for_word(spark, make, secret_net):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    clean = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"] is None or not base_spans(r["text"])}
+    said = ["INTERNATIONALIZATION of /usr/local/lib/python3.13/site-packages", "TERMS-AND-CONDITIONS.AND.MORE 2024-01-02T10:20:30-2024-02-03", "====================", "call getElementsByTagName(1234567890123456)"]
+    rows = [*clean.items(), *((-k, t) for k, t in enumerate(said, 1))]
+    got = {r["doc_id"]: r["text"] for r in redact(scan_secrets(make(rows), secret_net)).collect()}
+    changed = [k for k, t in rows if got[k] != t]
+    assert len(changed) <= len(rows) // 500 and not [k for k in changed if k < 0]
