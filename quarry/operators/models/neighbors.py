@@ -1,7 +1,7 @@
 """k nearest neighbours and k-means.
 
 Neighbours: a training set of up to BROADCAST_BYTES is sent to the tasks and queries stream past it, without a shuffle. A larger
-one stays where it is: queries go in blocks, each task keeps its k best for each query of a block, and only these are shuffled.
+one meets its queries in the cells of pivots that can hold a neighbour, by the triangle inequality; neither side passes the driver.
 """
 
 from __future__ import annotations
@@ -11,12 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from ..frame import dimension, positive
+from ..ranges import shared
 from ..stats import majority
 
 BROADCAST_BYTES = 64 << 20
-QUERY_BLOCK = 4096
+#: Pivots of two large sides, and the rows and queries that one task compares at once.
+PIVOTS, CELL_ROWS, CELL_QUERIES = 256, 20_000, 4096
 #: Rows whose distances to a query are computed directly at once.
 PIECE = 8192
 
@@ -54,9 +57,6 @@ def nearest(test: DataFrame, train: DataFrame, k: int) -> DataFrame:
         w = place.shape[1]
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, w)), pa.array(numbers[place].ravel()), pa.array(np.tile(np.arange(1, w + 1, dtype=np.int32), len(ids))), pa.array(far.ravel()), pa.array(y[place].ravel())], ["query", "neighbor", "rank", "distance", "y"])
 
-    def matrix(batch: pa.RecordBatch) -> np.ndarray:
-        return batch.column("x").flatten().to_numpy().astype(float).reshape(batch.num_rows, -1)
-
     if n * (d + 2) * 8 <= BROADCAST_BYTES:
         table = train.select("row_id", "x", F.col("y").cast("double")).toArrow().combine_chunks()
         known = context.broadcast((table.column("x").combine_chunks().flatten().to_numpy().astype(float).reshape(n, d), table.column("row_id").to_numpy(), table.column("y").to_numpy()))
@@ -66,30 +66,109 @@ def nearest(test: DataFrame, train: DataFrame, k: int) -> DataFrame:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
-                    yield ranked(matrix(part), part.column("row_id").to_numpy(), rows, numbers, y)
+                    yield ranked(_matrix(part), part.column("row_id").to_numpy(), rows, numbers, y)
 
         return test.select("row_id", "x").mapInArrow(past, schema)
-    found, held = None, []
+    return nearest_by_pivots(test, train, k)
+
 
-    def block(queries: list) -> DataFrame:
-        asked = context.broadcast((np.array([r["x"] for r in queries], float), np.array([r["row_id"] for r in queries], np.int64)))
+def nearest_by_pivots(test: DataFrame, train: DataFrame, k: int, pivots: int = PIVOTS, rows: int = CELL_ROWS, asked: int = CELL_QUERIES) -> DataFrame:
+    """The same as `nearest` for two sides of any size: nothing but at most `pivots` rows and their cells' sizes and radii passes the driver.
 
-        def best(batches):
+    Training rows go to the cell of their nearest pivot. A query first meets the nearest cells that hold k rows together; its k-th distance there
+    bounds the true one, and by the triangle inequality it then meets the other cells that can hold a row as near: cells whose pivot is no
+    farther than their radius and the bound. Cells of more than `rows` rows are cut into parts, queries of a part into groups of `asked`, so that
+    copies of one vector are spread over tasks. Every row within the k-th distance is met: results are exact, ties by id.
+    """
+    positive(k=k)
+    d = dimension(train)
+    context = test.sparkSession.sparkContext
+    base = train.select(F.col("row_id").alias("id"), "x", F.col("y").cast("double").alias("y"))
+    size = base.count()
+    chosen = base.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(max(1, min(pivots, int(size**0.5)))).collect()
+    centres = context.broadcast(np.array([r["x"] for r in chosen], float).reshape(len(chosen), d))
+
+    def far(x: np.ndarray) -> np.ndarray:
+        c = centres.value
+        return np.sqrt(np.maximum(0.0, (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None]))
+
+    def celled(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                f = far(_matrix(part))
+                cell = f.argmin(1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(f[np.arange(len(cell)), cell])], ["id", "x", "y", "cell", "far"])
+
+    cells = base.mapInArrow(celled, StructType([*base.schema.fields, *StructType.fromDDL("cell int, far double").fields]))
+    stats = {r["cell"]: (r["n"], r["far"]) for r in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
+    held = np.array([stats.get(c, (0, 0.0))[0] for c in range(len(chosen))], np.int64)
+    radius = np.array([stats.get(c, (0, 0.0))[1] for c in range(len(chosen))])
+    parts = np.maximum(1, -(-held // rows))
+    shape = context.broadcast((held, radius, parts))
+    dealt = cells.select("id", "x", "y", "cell", F.pmod(F.xxhash64("id"), F.element_at(F.array(*(F.lit(int(p)) for p in parts)), F.col("cell") + 1)).cast("int").alias("part"))
+
+    def visits(first: bool):
+        def run(batches):
+            held, radius, parts = shape.value
             for batch in batches:
-                if batch.num_rows:
-                    yield ranked(*asked.value, matrix(batch), batch.column("row_id").to_numpy(), batch.column("y").to_numpy())
-
-        own = train.select("row_id", "x", F.col("y").cast("double")).mapInArrow(best, schema)
-        first = F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbor"))
-        return own.withColumn("rank", first.cast("int")).filter(F.col("rank") <= k)
-
-    for row in test.select("row_id", "x").toLocalIterator():
-        held.append(row)
-        if len(held) == QUERY_BLOCK:
-            found, held = (block(held) if found is None else found.unionByName(block(held))), []
-    if held or found is None:
-        found = block(held) if found is None else found.unionByName(block(held))
-    return found
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    x = _matrix(part)
+                    f = far(x)
+                    order = np.argsort(np.where(held > 0, f, np.inf), axis=1, kind="stable")
+                    before = np.cumsum(held[order], axis=1) - held[order]
+                    near = np.zeros(f.shape, bool)
+                    np.put_along_axis(near, order, before < k, axis=1)
+                    near &= held > 0
+                    if not first:  # slack: squares are rounded
+                        bound = part.column("bound").to_numpy(zero_copy_only=False)
+                        slack = 1e-6 * (1 + np.sqrt((x * x).sum(1)) + np.sqrt((centres.value**2).sum(1).max()))
+                        near = ~near & (held > 0) & (f - radius[None] <= (bound + slack)[:, None])
+                    q, cell = np.nonzero(near)
+                    times = parts[cell]
+                    q, cell = np.repeat(q, times), np.repeat(cell, times)
+                    nth = np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times)
+                    yield pa.RecordBatch.from_arrays([part.column("query").take(pa.array(q)), part.column("x").take(pa.array(q)), pa.array(cell.astype(np.int32)), pa.array(nth.astype(np.int32))], ["query", "x", "cell", "part"])
+
+        return run
+
+    queries = test.select(F.col("row_id").alias("query"), "x")
+    met = StructType([*queries.schema.fields, *StructType.fromDDL("cell int, part int").fields])
+    schema = "query long, neighbor long, rank int, distance double, y double"
+
+    def best(key, asked_: pa.Table, own: pa.Table) -> pa.Table:
+        if not asked_.num_rows or not own.num_rows:
+            return pa.table({"query": pa.array([], pa.int64()), "neighbor": pa.array([], pa.int64()), "rank": pa.array([], pa.int32()), "distance": pa.array([], pa.float64()), "y": pa.array([], pa.float64())})
+        ids, numbers, x, y = asked_.column("query").to_numpy(), own.column("id").to_numpy(), _matrix(own), own.column("y").to_numpy()
+        q, out = _matrix(asked_), []
+        for at in range(0, len(q), 256):
+            place, distance = _nearest(q[at : at + 256], x, numbers, k)
+            w = place.shape[1]
+            out.append(pa.table({"query": np.repeat(ids[at : at + 256], w), "neighbor": numbers[place].ravel(), "rank": np.tile(np.arange(1, w + 1, dtype=np.int32), len(place)), "distance": distance.ravel(), "y": y[place].ravel()}))
+        return pa.concat_tables(out)
+
+    def met_in(frame: DataFrame) -> DataFrame:
+        """The k best of each query in each part that it meets; a part's queries in groups, with a copy of the part's rows for each."""
+        frame = shared(frame)
+        groups = frame.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / asked).cast("int").alias("groups"))
+        dealt_ = frame.join(groups, ["cell", "part"]).withColumn("group", F.pmod(F.xxhash64("query"), "groups").cast("int")).select("query", "x", "cell", "part", "group")
+        copies = dealt.join(groups, ["cell", "part"]).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("id", "x", "y", "cell", "part", "group")
+        return dealt_.groupBy("cell", "part", "group").cogroup(copies.groupBy("cell", "part", "group")).applyInArrow(best, schema)
+
+    ranks = F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbor")).cast("int")
+    top = lambda df: df.withColumn("rank", ranks).filter(F.col("rank") <= k)
+    first = shared(top(met_in(queries.mapInArrow(visits(True), met))))
+    bounds = first.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("bound"))
+    again = queries.join(bounds, "query").select("query", "x", "bound")
+    second = met_in(again.mapInArrow(visits(False), met))
+    return top(first.unionByName(second))
+
+
+def _matrix(batch) -> np.ndarray:
+    column = batch.column("x")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().astype(float).reshape(batch.num_rows, -1)
 
 
 def knn_predict(test: DataFrame, train: DataFrame, k: int) -> DataFrame:

@@ -15,10 +15,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .nn import Sequential
 from .optim import Optimizer
+from .ranges import discounted_scan
 
 #: Rewards of a win, a loss, a draw, a move that blocks the second player's line, an invalid move.
 WIN, LOSS, DRAW, BLOCK, INVALID = 1.0, -1.0, 0.1, 0.6, -10.0
@@ -378,14 +378,5 @@ def sweep(spark: SparkSession, configs: list[Config], games: int = 1000) -> Data
 
 
 def episode_returns(steps: DataFrame, gamma: float, episode: str = "episode_id", t: str = "t", reward: str = "reward") -> DataFrame:
-    """Adds `ret` = r + gamma * next ret, and `normalized` (by episode, population deviation; unchanged at 1e-8 or less).
-
-    An episode is one row while its returns are folded from the end; episodes, not the table, must fit a task.
-    """
-    folded = steps.groupBy(episode).agg(F.sort_array(F.collect_list(F.struct(F.col(t).alias("t"), F.col(reward).cast("double").alias("r"))), asc=False).alias("s"))
-    start = F.array().cast("array<struct<t:bigint,r:double,ret:double>>")
-    fold = F.aggregate("s", start, lambda acc, s: F.concat(acc, F.array(F.struct(s["t"].cast("long").alias("t"), s["r"].alias("r"), (s["r"] + F.lit(gamma) * F.coalesce(F.try_element_at(acc, F.lit(-1))["ret"], F.lit(0.0))).alias("ret")))))
-    rows = folded.select(episode, F.explode(fold).alias("s")).select(episode, F.col("s.t").alias(t), F.col("s.r").alias(reward), F.col("s.ret").alias("ret"))
-    own = W.partitionBy(episode)
-    spread = F.stddev_pop("ret").over(own)
-    return rows.withColumn("normalized", F.when(spread > 1e-8, (F.col("ret") - F.avg("ret").over(own)) / spread).otherwise(F.col("ret")))
+    """Adds `ret` = r + gamma * next ret, and `normalized` (by episode, population deviation; unchanged at 1e-8 or less): see `ranges.discounted_scan`."""
+    return discounted_scan(steps.select(episode, t, reward), gamma, episode, t, reward)

@@ -318,6 +318,13 @@ def discounted_return(spark, sf_dir):
     return rl.episode_returns(steps, 0.9).select("episode_id", "t", r(F.col("ret") + 1e-9, 5).alias("ret"))
 
 
+@query("WITH e AS (SELECT event_id AS t, value / 100 AS reward FROM events) SELECT a.t, round(sum(b.reward * pow(0.9, b.t - a.t)) + 1e-9, 5) AS ret FROM e a JOIN e b ON b.t BETWEEN a.t AND a.t + 300 GROUP BY ALL")
+def discounted_return_whole(spark, sf_dir):
+    """The whole log as one episode, in as many tasks as any other table of its size (0.9 ** 300 is far below the rounding)."""
+    steps = pulls(spark, sf_dir).select(F.lit(1).alias("episode_id"), "t", (F.col("reward") / 100).alias("reward"))
+    return rl.episode_returns(steps, 0.9).select("t", r(F.col("ret") + 1e-9, 5).alias("ret"))
+
+
 @query(EPISODES + ", g AS (SELECT a.episode_id, a.t, sum(b.reward * pow(0.9, b.t - a.t)) AS ret FROM e a JOIN e b ON a.episode_id = b.episode_id AND b.t >= a.t GROUP BY ALL) SELECT episode_id, t, round(CASE WHEN stddev_pop(ret) OVER w > 1e-8 THEN (ret - avg(ret) OVER w) / stddev_pop(ret) OVER w ELSE ret END, 4) + 0.0 AS normalized FROM g WINDOW w AS (PARTITION BY episode_id)")
 def normalized_returns(spark, sf_dir):
     steps = pulls(spark, sf_dir).select(F.floor(F.col("t") / 20).alias("episode_id"), "t", (F.col("reward") / 100).alias("reward"))
@@ -351,3 +358,12 @@ def xor_logistic(spark, sf_dir):
     df = readers.xor_grid(spark, 10, cross=True)
     m = linear.fit_logistic(df, Optimizer("adam", 0.2), 60, start=0.0)
     return df.agg(r(accuracy(m.predict(F.col("x")), F.col("y"))).alias("accuracy"))
+
+
+@query("WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), p AS (SELECT a.vec_id AS query, a.label AS label, b.label AS other, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), b.vec_id) AS rank FROM e a, e b) SELECT label, other, rank::INT AS rank, count(*) AS n FROM p WHERE rank <= 5 GROUP BY ALL")
+def knn_by_pivots(spark, sf_dir):
+    """All embeddings against all, by pivots: how often each label stands at each rank among the neighbours of each."""
+    rows = embeddings(spark, sf_dir)
+    found = neighbors.nearest_by_pivots(rows, rows, 5).select("query", "rank", F.col("y").cast("int").alias("other"))
+    asked = rows.select(F.col("row_id").alias("query"), F.col("y").cast("int").alias("label"))
+    return found.join(asked, "query").groupBy("label", "other", "rank").agg(F.count(F.lit(1)).alias("n"))

@@ -244,7 +244,7 @@ def sliding_windows(spark, sf_dir):
 def stream_deduplicated(spark, sf_dir):
     """Within a watermark longer than the log all repeats go."""
     found = streams.deduplicated(_event_stream(spark, sf_dir), "ts", ["user_id", "event_type"], "10000 days").select("user_id", "event_type")
-    return _drained(spark, found, "append")
+    return _drained(spark, found, "append").drop("batch")
 
 
 @query("SELECT event_type AS arm, count(*)::INT AS held, round(avg(value) + 1e-9, 5) AS mean FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC, value DESC) <= 200) GROUP BY 1")
@@ -252,7 +252,7 @@ def stream_recent(spark, sf_dir):
     """Each arm's last 200 rewards, kept as a stream's state."""
     log = _event_stream(spark, sf_dir).select(F.col("event_type").alias("arm"), F.col("event_id").alias("t"), F.col("value").cast("double").alias("reward"))
     out = _drained(spark, streams.streaming_recent(log, 200), "update")
-    return out.groupBy("arm").agg(F.max_by(F.struct("held", "mean"), "held").alias("s")).select("arm", "s.held", r(F.col("s.mean") + 1e-9, 5).alias("mean"))
+    return out.groupBy("arm").agg(F.max_by(F.struct("held", "mean"), F.struct("last", "batch")).alias("s")).select("arm", "s.held", r(F.col("s.mean") + 1e-9, 5).alias("mean"))
 
 
 @query("SELECT arm, t, place FROM (SELECT event_type AS arm, event_id AS t, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS place FROM events) WHERE place <= 5")

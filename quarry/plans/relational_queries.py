@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from ..operators.nn import Sequential
 from ..operators.optim import Optimizer
+from ..operators.ranges import as_of, interval_join
 from ..operators.stats import blocked, ranked, running
 from ..sources import readers, sinks
 from ..streaming import streams
@@ -120,10 +121,27 @@ def join_range(spark, sf_dir):
 
 @query("SELECT a.event_id, arg_max(b.event_id, (b.ts, b.event_id)) AS last_purchase FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.event_type = 'purchase' AND b.ts < a.ts GROUP BY 1")
 def join_as_of(spark, sf_dir):
-    """The last earlier purchase of the same user, by one window instead of a join."""
-    before = W.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(W.unboundedPreceding, -1)
-    last = F.max(F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id"))).over(before)["event_id"]
-    return table(spark, sf_dir, "events").select("event_id", last.alias("last_purchase"))
+    """The last earlier purchase of the same user: ranges of time by quantiles, so that a busy user is spread over tasks."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    purchases = events.filter("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase"))
+    return as_of(events, purchases, "user_id", "ts", "purchase").select("event_id", F.col("match.purchase").alias("last_purchase"))
+
+
+@query("SELECT a.event_id, arg_max(b.event_id, (b.ts, b.event_id)) AS last_error FROM events a LEFT JOIN events b ON a.event_type = b.event_type AND b.value > 50 AND b.ts <= a.ts GROUP BY 1")
+def join_as_of_hot(spark, sf_dir):
+    """The last event of a high value of the same type up to each event: five keys, each of a fifth of the rows."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    high = events.filter("value > 50").select("event_type", "ts", F.col("event_id").alias("error"))
+    return as_of(events, high, "event_type", "ts", "error", strict=False).select("event_id", F.col("match.error").alias("last_error"))
+
+
+@query("SELECT s_suppkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM supplier JOIN orders ON o_totalprice / 100 BETWEEN s_acctbal AND s_acctbal + pow(10, s_suppkey % 5) GROUP BY 1")
+def join_intervals(spark, sf_dir):
+    """Orders in intervals of very uneven widths: 1 to 10,000 wide, several levels of bins."""
+    low, wide = F.col("s_acctbal"), F.pow(F.lit(10.0), F.col("s_suppkey") % 5)
+    intervals = table(spark, sf_dir, "supplier").select("s_suppkey", low.alias("low"), (low + wide).alias("high"))
+    points = table(spark, sf_dir, "orders").select((F.col("o_totalprice") / 100).alias("price"), "o_totalprice")
+    return interval_join(points, intervals, "price", "low", "high").groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -207,19 +225,24 @@ def _scratch(spark) -> str:
 
 
 def _drained(spark, frame, mode: str):
-    """The rows that a stream has put out, over all micro-batches: written to the shared folder, read again."""
+    """The rows that a stream has put out, over all micro-batches, with their `batch`: written to the shared folder, read again.
+
+    A batch's rows go to a folder of its own, anew each time, so that a batch that runs again after a failure changes nothing. A stream
+    without a batch gives an empty table.
+    """
     path = _scratch(spark)
-    if mode == "append":
-        frame.writeStream.format("parquet").option("path", path).option("checkpointLocation", _scratch(spark)).trigger(availableNow=True).start().awaitTermination()
-    else:
-        put = lambda batch, k: batch.write.mode("append").parquet(path)
-        frame.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", _scratch(spark)).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(frame.schema).parquet(path)
+    spark.conf.set(*streams.STATE_STORE)
+    frame.writeStream.foreachBatch(streams.batch_sink(path)).outputMode(mode).option("checkpointLocation", _scratch(spark)).trigger(availableNow=True).start().awaitTermination()
+    return streams.read_batches(spark, path, frame.schema)
 
 
 def _event_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events as a stream, whether the table is a file or a folder of files."""
+    path = f"{sf_dir}/events.parquet"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+    reader = spark.readStream.schema(table(spark, sf_dir, "events").schema)
+    raw = reader.parquet(path) if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -236,6 +259,22 @@ def stream_tumbling(spark, sf_dir):
     return out.groupBy("event_type", F.col("start").cast("timestamp_ntz").alias("start")).agg(F.max("n").alias("n"))
 
 
+@query("SELECT a.event_id AS click, b.event_id AS purchase FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOURS")
+def stream_join(spark, sf_dir):
+    """Clicks and what their users bought within six hours: two streams, joined in bounded state."""
+    side = lambda kind, name, ts: _event_stream(spark, sf_dir).filter(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(name), F.col("ts").alias(ts))
+    joined = streams.interval_joined(side("click", "click", "clicked"), side("purchase", "purchase", "bought"), "user_id", "clicked", "bought", "6 hours")
+    return _drained(spark, joined.select("click", "purchase"), "append").drop("batch")
+
+
+@query("WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events), s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 12 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 12 HOURS <= (SELECT max(ts) FROM events)")
+def stream_closed_sessions(spark, sf_dir):
+    """Sessions that are over when the stream ends, put out by timers; those still open stay in the state."""
+    events = _event_stream(spark, sf_dir).select("user_id", "ts")
+    out = _drained(spark, streams.closed_sessions(events, 12 * 3_600_000), "append")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
+
+
 @query("SELECT count(DISTINCT p_type) AS kinds, min(p_size)::BIGINT AS least, max(p_size)::BIGINT AS most FROM part")
 def variable_sets(spark, sf_dir):
     return table(spark, sf_dir, "part").agg(F.count_distinct("p_type").alias("kinds"), F.min("p_size").cast("long").alias("least"), F.max("p_size").cast("long").alias("most"))

@@ -17,7 +17,8 @@ def read_csv(spark: SparkSession, path: str, columns: dict[str, str], *, ignore_
 
     Header policies: columns that aren't asked for are ignored, or an error; missing ones an error, or null. `quote` None: no
     quotes; '"': doubled quotes are unescaped. `comment`: lines that begin with it are skipped. `overflow` for numbers that
-    don't parse or fit: throw, null, or clamp (whole numbers, to the type's limits). Files are split over tasks; CRLF is fine.
+    don't parse or fit: throw, null, or clamp (whole numbers, to the type's limits). Files are split over tasks; CRLF is fine. Blank lines
+    of the file are no rows; with `skip_empty`, lines of nothing but separators aren't either. A row stays whatever its cast columns are.
     """
     reader = spark.read.option("header", True).option("quote", quote or "").option("escape", quote or "\\").option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim).option("enforceSchema", False)
     raw = (reader.option("comment", comment) if comment else reader).csv(path)
@@ -30,9 +31,9 @@ def read_csv(spark: SparkSession, path: str, columns: dict[str, str], *, ignore_
     if extra and not ignore_extra:
         raise ValueError(f"columns that weren't asked for: {', '.join(extra)}")
     raw = raw.toDF(*names)
+    raw = raw.dropna("all") if skip_empty and len(names) > 1 else raw
     cast = [number(F.col(c), kind, overflow, decimal_comma).alias(c) if c in names else F.lit(None).cast(kind).alias(c) for c, kind in columns.items()]
-    out = raw.select(*cast)
-    return out.dropna("all") if skip_empty else out
+    return raw.select(*cast)
 
 
 def number(text: Column, kind: str, overflow: str = "throw", decimal_comma: bool = False) -> Column:
