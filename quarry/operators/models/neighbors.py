@@ -69,7 +69,7 @@ def nearest(test: DataFrame, train: DataFrame, k: int) -> DataFrame:
                     yield ranked(_matrix(part), part.column("row_id").to_numpy(), rows, numbers, y)
 
         return test.select("row_id", "x").mapInArrow(past, schema)
-    return nearest_by_pivots(test, train, k)
+    return nearest_by_pivots(test, train, k, PIVOTS, CELL_ROWS, CELL_QUERIES)
 
 
 def nearest_by_pivots(test: DataFrame, train: DataFrame, k: int, pivots: int = PIVOTS, rows: int = CELL_ROWS, asked: int = CELL_QUERIES) -> DataFrame:

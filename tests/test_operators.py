@@ -93,7 +93,7 @@ def test_neighbors(spark, monkeypatch):
     got = lambda: sorted(map(tuple, neighbors.nearest(ask, train, 7).collect()))
     broadcast = got()
     monkeypatch.setattr(neighbors, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(neighbors, "QUERY_BLOCK", 11)
+    monkeypatch.setattr(neighbors, "CELL_QUERIES", 11)
     assert got() == broadcast
     with pytest.raises(ValueError):
         neighbors.nearest(ask, train, 0)

@@ -1,6 +1,7 @@
 """As-of and interval joins, scans, pivots and streams against brute force; hot keys, ties, nulls, several micro-batches."""
 
 import math
+import os
 import random
 from collections import defaultdict
 
@@ -109,6 +110,8 @@ def event_folder(spark, tmp_path_factory):
     """The events as a folder of five files in order of time."""
     base = tmp_path_factory.mktemp("streams")
     spark.read.parquet(f"{SF}/events.parquet").repartitionByRange(5, "ts").sortWithinPartitions("ts").write.parquet(f"{base}/events.parquet")
+    for k, f in enumerate(sorted((base / "events.parquet").glob("part-*"))):  # a stream takes files by their times
+        os.utime(f, (1_600_000_000 + 60 * k,) * 2)
     return str(base)
 
 
