@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import arrays, text
-from ..operators import linalg, rl, split, symbolic
+from ..functions import arrays, random, text
+from ..functions.random import draw_sql
+from ..operators import blocks, linalg, rl, sketches, split, symbolic
 from ..operators.augment import augment
 from ..operators.frame import dimension
 from ..operators.models import components
@@ -284,3 +285,55 @@ def move_quality(spark, sf_dir):
     """The first player's move on a board whose cells are the key's digits to base 3."""
     key, board = F.col("p_partkey"), F.array(*[(F.floor(F.col("p_partkey") / 3**i) % 3).cast("int") for i in range(9)])
     return table(spark, sf_dir, "part").withColumn("board", board).select(key, r(rl.move_quality(F.col("board"), F.col("p_size") % 9, 1, 3)).alias("quality"))
+
+
+@query("WITH x AS (SELECT vec_id AS i, unnest(generate_series(1, 64)) AS j, embedding FROM embeddings), y AS (SELECT unnest(generate_series(0, 4095)) AS c) SELECT i, c % 64 AS j, round(sum(embedding[j]::DOUBLE * ((j * 5 - 5 + c % 64 * 3) % 11 - 5)), 6) + 0.0 AS v FROM x JOIN y ON j - 1 = c // 64 GROUP BY 1, 2")
+def matmul_blocks(spark, sf_dir):
+    """All embeddings, as a long matrix, times a 64 x 64 one, by blocks."""
+    cells = embeddings(spark, sf_dir).select(F.col("row_id").alias("i"), F.posexplode("x").alias("j", "v"))
+    c = F.col("id")
+    right = spark.range(4096).select(F.floor(c / 64).alias("i"), (c % 64).alias("j"), ((F.floor(c / 64) * 5 + c % 64 * 3) % 11 - 5).cast("double").alias("v"))
+    return blocks.block_matmul(cells, right).select("i", "j", r(F.col("v")).alias("v"))
+
+
+@query("WITH x AS (SELECT vec_id, unnest(generate_series(1, 64)) AS i, embedding AS e FROM embeddings) SELECT i - 1 AS i, j - 1 AS j, round(sum(e[i]::DOUBLE * e[j]::DOUBLE), 6) + 0.0 AS v FROM x, (SELECT unnest(generate_series(1, 64)) AS j) GROUP BY 1, 2")
+def gram_by_blocks(spark, sf_dir):
+    """The embeddings' transpose times themselves: a small product of a long inner index, cut into slabs."""
+    cells = embeddings(spark, sf_dir).select(F.col("row_id").alias("i"), F.posexplode("x").alias("j", "v"))
+    return blocks.block_matmul(cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), cells).select("i", "j", r(F.col("v")).alias("v"))
+
+
+@query("WITH x AS (SELECT vec_id, unnest(generate_series(1, 64)) AS i, embedding AS e FROM embeddings) SELECT (i - 1)::INT AS i, (j - 1)::INT AS j, round(sum(e[i]::DOUBLE * e[j]::DOUBLE), 5) + 0.0 AS v, true AS orthogonal FROM x, (SELECT unnest(generate_series(1, 64)) AS j) GROUP BY 1, 2")
+def qr_tall(spark, sf_dir):
+    """QR of all embeddings by a tree: R'R is the Gram matrix, and the rows of Q together are orthogonal."""
+    q, upper = blocks.tall_qr(embeddings(spark, sf_dir).select("row_id", "x"))
+    off = linalg.gramian(q).agg(F.max(F.abs(F.col("v") - F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0))).alias("off"))
+    cells = spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(upper.T @ upper) for j, v in enumerate(row)], "i int, j int, v double")
+    return cells.crossJoin(off).select("i", "j", r(F.col("v"), 5).alias("v"), (F.col("off") < 1e-9).alias("orthogonal"))
+
+
+@query("SELECT event_type, count(*) AS n, true AS distinct_within, true AS quantiles_within, true AS top_within, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def sketches_by_day(spark, sf_dir):
+    """Sketches of each type and day, stored, then merged by type: estimates within their bounds of the exact figures, which are computed beside them."""
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    path = _scratch(spark)
+    sketches.sketched(events, ["event_type", "day"], "user_id", "value", "user_id").write.parquet(path)
+    found = sketches.read(sketches.merged(spark.read.parquet(path), ["event_type"]), [0.1, 0.5, 0.9], 1)
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    below = events.join(found.select("event_type", "quantiles"), "event_type").groupBy("event_type").agg(F.array(*(F.avg((F.col("value") <= F.col("quantiles")[k]).cast("double")) for k in range(3))).alias("ranks"))
+    often = events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("c")).groupBy("event_type").agg(F.max("c").alias("most"))
+    near = [F.abs(F.col("ranks")[k] - q) <= sketches.RANK_ERROR + 0.01 for k, q in enumerate((0.1, 0.5, 0.9))]
+    # a count of a heavy hitter is off by 3.5 * n / items at most
+    top = F.abs(F.col("top")[0]["count"] - F.col("most")) <= F.greatest(F.lit(1.0), F.col("n") * 3.5 / sketches.MAX_ITEMS)
+    joined = found.join(exact, "event_type").join(below, "event_type").join(often, "event_type")
+    return joined.select("event_type", "n", (F.abs(F.col("distinct") - F.col("users")) <= F.col("users") * sketches.DISTINCT_ERROR).alias("distinct_within"), (near[0] & near[1] & near[2]).alias("quantiles_within"), top.alias("top_within"), "users")
+
+
+_DRAWN = {k: draw_sql("p_partkey", 7, k) for k in range(4)}
+
+
+@query(f"WITH d AS (SELECT p_partkey, {_DRAWN[0]} AS drawn, ({_DRAWN[1]} + 0.5::DOUBLE) / 2147483647 AS u, ({_DRAWN[2]} + 0.5::DOUBLE) / 2147483647 AS a, ({_DRAWN[3]} + 0.5::DOUBLE) / 2147483647 AS b FROM part) SELECT p_partkey, drawn, round(sqrt(-2 * ln(a)) * cos(2 * pi() * b), 6) + 0.0 AS gauss, CASE WHEN u < 0.5 THEN 0 WHEN u < 0.75 THEN 2 ELSE 3 END AS side FROM d")
+def random_numbers(spark, sf_dir):
+    """Three draws for each part, by its key alone."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(key, random.draw(key, 7).alias("drawn"), r(random.normal(key, 7, 1)).alias("gauss"), random.discrete(key, [2.0, 0.0, 1.0, 1.0], 7, 1).alias("side"))
