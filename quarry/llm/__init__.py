@@ -1,4 +1,4 @@
-"""Operators for training-data pipelines: the ten of the README's second list.
+"""Operators for training-data pipelines: the thirteen of the README's second list.
 
 Nothing outside this package imports it. Every operator takes and returns DataFrames; `queries.py` holds
 the thin contract queries and their SQL.
