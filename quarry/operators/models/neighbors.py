@@ -20,6 +20,8 @@ from ..stats import majority
 BROADCAST_BYTES = 64 << 20
 #: Pivots of two large sides, and the rows and queries that one task compares at once.
 PIVOTS, CELL_ROWS, CELL_QUERIES = 256, 20_000, 4096
+#: A pivot for so many rows, but FEWEST at least: a query is sent to each cell that it meets, so cells aren't made smaller than they need be.
+PIVOT_ROWS, FEWEST = 4096, 8
 #: Rows whose distances to a query are computed directly at once.
 PIECE = 8192
 
@@ -85,7 +87,7 @@ def nearest_by_pivots(test: DataFrame, train: DataFrame, k: int, pivots: int = P
     context = test.sparkSession.sparkContext
     base = train.select(F.col("row_id").alias("id"), "x", F.col("y").cast("double").alias("y"))
     size = base.count()
-    chosen = base.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(max(1, min(pivots, int(size**0.5)))).collect()
+    chosen = base.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(max(1, min(pivots, max(FEWEST, -(-size // PIVOT_ROWS))))).collect()
     centres = context.broadcast(np.array([r["x"] for r in chosen], float).reshape(len(chosen), d))
 
     def far(x: np.ndarray) -> np.ndarray:
@@ -150,7 +152,6 @@ def nearest_by_pivots(test: DataFrame, train: DataFrame, k: int, pivots: int = P
 
     def met_in(frame: DataFrame) -> DataFrame:
         """The k best of each query in each part that it meets; a part's queries in groups, with a copy of the part's rows for each."""
-        frame = shared(frame)
         groups = frame.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / asked).cast("int").alias("groups"))
         dealt_ = frame.join(groups, ["cell", "part"]).withColumn("group", F.pmod(F.xxhash64("query"), "groups").cast("int")).select("query", "x", "cell", "part", "group")
         copies = dealt.join(groups, ["cell", "part"]).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("id", "x", "y", "cell", "part", "group")

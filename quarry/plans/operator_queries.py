@@ -252,7 +252,7 @@ def stream_deduplicated(spark, sf_dir):
 def stream_recent(spark, sf_dir):
     """Each arm's last 200 rewards, kept as a stream's state."""
     log = _event_stream(spark, sf_dir).select(F.col("event_type").alias("arm"), F.col("event_id").alias("t"), F.col("value").cast("double").alias("reward"))
-    out = _drained(spark, streams.streaming_recent(log, 200), "update")
+    out = _drained(spark, streams.streaming_recent(log, 200), "update", True)
     return out.groupBy("arm").agg(F.max_by(F.struct("held", "mean"), F.struct("last", "batch")).alias("s")).select("arm", "s.held", r(F.col("s.mean") + 1e-9, 5).alias("mean"))
 
 

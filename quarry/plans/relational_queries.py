@@ -224,15 +224,20 @@ def _scratch(spark) -> str:
     return f"{base or tempfile.mkdtemp(prefix='quarry-')}/{uuid.uuid4().hex}"
 
 
-def _drained(spark, frame, mode: str):
+def _drained(spark, frame, mode: str, stateful: bool = False):
     """The rows that a stream has put out, over all micro-batches, with their `batch`: written to the shared folder, read again.
 
     A batch's rows go to a folder of its own, anew each time, so that a batch that runs again after a failure changes nothing. A stream
-    without a batch gives an empty table.
+    without a batch gives an empty table. `stateful`: with processors, which need their state store; the session's own is set again afterwards.
     """
-    path = _scratch(spark)
-    spark.conf.set(*streams.STATE_STORE)
-    frame.writeStream.foreachBatch(streams.batch_sink(path)).outputMode(mode).option("checkpointLocation", _scratch(spark)).trigger(availableNow=True).start().awaitTermination()
+    path, (name, store) = _scratch(spark), streams.STATE_STORE
+    before = spark.conf.get(name)
+    if stateful:
+        spark.conf.set(name, store)
+    try:
+        frame.writeStream.foreachBatch(streams.batch_sink(path)).outputMode(mode).option("checkpointLocation", _scratch(spark)).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
     return streams.read_batches(spark, path, frame.schema)
 
 
@@ -249,7 +254,7 @@ def _event_stream(spark, sf_dir):
 @query("SELECT event_type AS arm, count(*) AS pulls, round(avg(value) + 1e-9, 5) AS value FROM events GROUP BY 1")
 def stream_arms(spark, sf_dir):
     log = _event_stream(spark, sf_dir).select(F.col("event_type").alias("arm"), F.col("event_id").alias("t"), F.col("value").cast("double").alias("reward"))
-    out = _drained(spark, streams.streaming_arms(log), "update")
+    out = _drained(spark, streams.streaming_arms(log), "update", True)
     return out.groupBy("arm").agg(F.max(F.struct("pulls", "value")).alias("s")).select("arm", "s.pulls", r(F.col("s.value") + 1e-9, 5).alias("value"))
 
 
@@ -271,7 +276,7 @@ def stream_join(spark, sf_dir):
 def stream_closed_sessions(spark, sf_dir):
     """Sessions that are over when the stream ends, put out by timers; those still open stay in the state."""
     events = _event_stream(spark, sf_dir).select("user_id", "ts")
-    out = _drained(spark, streams.closed_sessions(events, 12 * 3_600_000), "append")
+    out = _drained(spark, streams.closed_sessions(events, 12 * 3_600_000), "append", True)
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
 
 
