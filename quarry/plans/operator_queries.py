@@ -323,8 +323,8 @@ def sketches_by_day(spark, sf_dir):
     below = events.join(found.select("event_type", "quantiles"), "event_type").groupBy("event_type").agg(F.array(*(F.avg((F.col("value") <= F.col("quantiles")[k]).cast("double")) for k in range(3))).alias("ranks"))
     often = events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("c")).groupBy("event_type").agg(F.max("c").alias("most"))
     near = [F.abs(F.col("ranks")[k] - q) <= sketches.RANK_ERROR + 0.01 for k, q in enumerate((0.1, 0.5, 0.9))]
-    # a count of a heavy hitter is off by 3.5 * n / items at most
-    top = F.abs(F.col("top")[0]["count"] - F.col("most")) <= F.greatest(F.lit(1.0), F.col("n") * 3.5 / sketches.MAX_ITEMS)
+    # a count of a heavy hitter is off by 3.5 * n / items at most; where none is listed (no item stands out of that error), the most frequent has no more
+    top = F.abs(F.coalesce(F.get("top", F.lit(0))["count"], F.lit(0)) - F.col("most")) <= F.greatest(F.lit(1.0), F.col("n") * 3.5 / sketches.MAX_ITEMS)
     joined = found.join(exact, "event_type").join(below, "event_type").join(often, "event_type")
     return joined.select("event_type", "n", (F.abs(F.col("distinct") - F.col("users")) <= F.col("users") * sketches.DISTINCT_ERROR).alias("distinct_within"), (near[0] & near[1] & near[2]).alias("quantiles_within"), top.alias("top_within"), "users")
 

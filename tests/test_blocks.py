@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.functions import random as rnd
 from quarry.operators import sketches
 from quarry.operators.blocks import block_matmul, tall_qr, triangle
+from quarry.plans import operator_queries
 
 LONG = "i long, j long, v double"
 
@@ -58,6 +59,13 @@ def test_sketches_merge(spark):
     assert sketches.read(sketches.merged(sketches.sketched(nulls, ["day"], "user", "value", "item"), ["day"]), [0.5], 1).first()["distinct"] == 0
 
 
+def test_sketches_without_a_frequent_item(spark, tmp_path):
+    """More users than a sketch tells apart, none of whom stands out: the list of frequent ones is empty, the query's bounds hold."""
+    events = spark.range(30_000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") % 5 * 86400).alias("ts"), (F.col("id") % 15_000).alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") % 997).cast("double").alias("value"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in operator_queries.sketches_by_day(spark, str(tmp_path)).collect()] == [("view", 30_000, True, True, True, 15_000)]
+
+
 def plain(counter, seed, stream):
     x = ((counter & rnd.PRIME) + (seed * 7919 + stream * 104729 + 12345) % rnd.PRIME) % rnd.PRIME
     for m in rnd.ROUNDS:
