@@ -131,6 +131,20 @@ def test_kmeans(spark):
     assert {r["cluster"] for r in neighbors.kmeans(rows(spark, [(1, 1)] * 4), 2)[0].collect()} == {0}
 
 
+def test_kmeans_of_equal_clusters(spark):
+    """Clusters 0 and 2 start with equal rows in another order: their means are equal, the first takes all, the other stays empty as in SQL."""
+    values = [0.1 * v + 900 for v in range(997)]
+    data = [(2 * n, v) for n, v in enumerate(values + values[::-1])] + [(2 * n + 1, v + 50) for n, v in enumerate(values)]
+    df = spark.createDataFrame([(4 * (n // 2) + (n % 2 if n % 2 else 0 if n // 2 < 997 else 2), [v]) for n, v in data], "row_id long, x array<double>").repartition(7)
+    found, centroids = neighbors.kmeans(df, 4, 3, refill=False)
+    assert {r["cluster"] for r in found.collect()} == {0, 1} and np.isinf(centroids[2:]).all()
+    again, _ = neighbors.kmeans(df.repartition(3), 4, 3, refill=False)
+    assert sorted(found.select("row_id", "cluster").collect()) == sorted(again.select("row_id", "cluster").collect())
+    scattered = [(i, float(v)) for i, v in enumerate(np.random.default_rng(0).normal(size=500) * 1e3)]
+    means = neighbors.cluster_means(spark.createDataFrame([(0, [v]) for _, v in scattered], "cluster int, x array<double>"), 1, 1, exponents=[13])
+    assert means[0][0] == pytest.approx(math.fsum(v for _, v in scattered) / 500, rel=1e-14)
+
+
 def test_pca(spark):
     raw = np.array([[((i + 1) * (j + 2) % 7) - 2.0 for j in range(3)] for i in range(20)])
     df = rows(spark, (raw - raw.mean(0)).tolist())
