@@ -47,6 +47,29 @@ def test_kernels(spark):
     assert masked[1] == 0 and sum(masked) == pytest.approx(1)
 
 
+def test_cells_with_all(spark, monkeypatch):
+    """Several blocks of queries, cells in small pieces, a null vector, vectors whose products would cancel; no join."""
+    rng = np.random.default_rng(4)
+    vectors = [*rng.normal(size=(40, 3)).tolist(), None, [1e7, 1e7, 1e7], [1e7, 1e7, 1e7 + 0.5]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "row_id long, x array<double>").repartition(3)
+    monkeypatch.setattr(linalg, "QUERY_BYTES", 400)
+    monkeypatch.setattr(linalg, "PIECE_CELLS", 7)
+    for name, f in (("linear", lambda a, b: a @ b), ("rbf", lambda a, b: math.exp(-0.7 * float(((a - b) ** 2).sum()))), ("poly3", lambda a, b: (1 + a @ b) ** 3)):
+        asked = df.filter("row_id % 2 = 0")
+        cells = linalg.cells_with_all(asked, df, lambda a, b, n=name: kernels.kernel_matrix(n, a, b, 0.7), 6)
+        assert "Join" not in cells._jdf.queryExecution().executedPlan().toString()
+        got = {(r["i"], r["j"]): r["v"] for r in cells.collect()}
+        assert len(got) == 22 * 43
+        for (i, j), v in got.items():
+            if vectors[i] is None or vectors[j] is None:
+                assert v is None
+            else:
+                assert v == pytest.approx(f(np.array(vectors[i]), np.array(vectors[j])), rel=1e-12, abs=6e-7)
+    assert linalg.cells_with_all(df.limit(0), df, lambda a, b: a @ b.T, 6).count() == 0
+    v = np.array([0.0000005, -0.0000005, 2.5e-6, -1e-9, 1e308, np.inf, 0.12345649999999])
+    assert repr(linalg.rounded(v, 6).tolist()) == "[1e-06, -1e-06, 3e-06, 0.0, 1e+308, inf, 0.123456]"
+
+
 def test_lexer():
     kinds = text.tokenize("exp(x) + max(1.25, _y2) - sigmoid(z) / min(abs(.5), log2)")
     assert len(kinds) == 27 and kinds[-1].kind == "end"
