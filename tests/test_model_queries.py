@@ -34,3 +34,18 @@ def test_classification_takes_all_rows(spark, late, monkeypatch):
 def test_fourier_machine_has_no_bound(spark, late, monkeypatch):
     monkeypatch.setattr(kernels, "training_rows", lambda df: pytest.fail("a variable for each row"))
     assert QUERIES["rff_svm"](spark, late).first()["n"] == 40
+
+
+def test_dual_machine_beyond_the_former_bound(spark):
+    """Rows that overlap, in several partitions: as many as there are, and no step from the solution lowers the primal objective."""
+    rng = np.random.default_rng(3)
+    y = np.where(np.arange(5200) % 2, 1.0, -1.0)
+    x = rng.normal(size=(5200, 3)) + 0.6 * y[:, None]
+    df = spark.createDataFrame([(i, v.tolist(), float(c)) for i, (v, c) in enumerate(zip(x, y, strict=True))], "row_id long, x array<double>, y double").repartition(3)
+    model = kernels.fit_svm_dual(df, 0.5)
+    objective = lambda w, b: w @ w / 2 + 0.5 * np.maximum(0, 1 - y * (x @ w + b)).sum()
+    least = objective(model.w, model.b)
+    for size in (1e-4, 1e-2, 1.0):
+        for step in rng.normal(size=(200, 4)):
+            assert objective(model.w + size * step[:3], model.b + size * step[3]) >= least * (1 - 1e-7)
+    assert kernels.fit_svm_dual(df.filter("y > 0")).b == 0.0
