@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from quarry.operators.models import kernels
-from quarry.plans import model_queries
+from quarry.plans import model_queries, pipelines
 from quarry.plans.registry import QUERIES
 
 
@@ -49,3 +49,13 @@ def test_dual_machine_beyond_the_former_bound(spark):
         for step in rng.normal(size=(200, 4)):
             assert objective(model.w + size * step[:3], model.b + size * step[3]) >= least * (1 - 1e-7)
     assert kernels.fit_svm_dual(df.filter("y > 0")).b == 0.0
+
+
+def test_classification_beyond_the_former_bound(spark):
+    """A training set of over 5,000 rows; two classes that all six models tell apart."""
+    rng = np.random.default_rng(4)
+    y = np.arange(6500) % 2
+    x = rng.normal(size=(6500, 3)) + 4.0 * y[:, None]
+    df = spark.createDataFrame([(i, v.tolist(), float(c)) for i, (v, c) in enumerate(zip(x, y, strict=True))], "row_id long, x array<double>, y double")
+    found = {r["model"]: r["accuracy"] for r in pipelines.classification_scores(df).collect()}
+    assert len(found) == 6 and all(a > 0.95 for name, a in found.items() if name != "linear") and found["linear"] < 0.05
