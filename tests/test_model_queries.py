@@ -59,3 +59,19 @@ def test_classification_beyond_the_former_bound(spark):
     df = spark.createDataFrame([(i, v.tolist(), float(c)) for i, (v, c) in enumerate(zip(x, y, strict=True))], "row_id long, x array<double>, y double")
     found = {r["model"]: r["accuracy"] for r in pipelines.classification_scores(df).collect()}
     assert len(found) == 6 and all(a > 0.95 for name, a in found.items() if name != "linear") and found["linear"] < 0.05
+
+
+def test_kernel_machine_beyond_the_former_bound(spark, monkeypatch):
+    """Many blocks, some cut from one partition, training rows sent in groups: the decisions of the whole kernel matrix."""
+    monkeypatch.setattr(kernels, "BLOCK_ROWS", 600)
+    monkeypatch.setattr(kernels, "SENT_BYTES", 5 * 600 * 4 * 8)
+    rng = np.random.default_rng(5)
+    y = np.where(np.arange(5100) % 2, 1.0, -1.0)
+    x = rng.normal(size=(5100, 3)) + 0.6 * y[:, None]
+    df = spark.createDataFrame([(i, v.tolist(), float(c)) for i, (v, c) in enumerate(zip(x, y, strict=True))], "row_id long, x array<double>, y double").repartition(3)
+    got = kernels.fit_kernel_svm(df, "rbf", 0.5, 1.0, 1e-4, 3).decision(df.select("row_id", "x")).orderBy("row_id").collect()
+    k, alpha, b = kernels.kernel_matrix("rbf", x, x, 0.5), np.ones(5100), 1.0
+    for _ in range(3):
+        share = (y * (k @ alpha + b) < 1) * y
+        alpha, b = alpha - 1e-4 * (k @ alpha - k @ share), b + 1e-4 * share.sum()
+    assert [r["row_id"] for r in got] == list(range(5100)) and np.allclose([r["decision"] for r in got], k @ alpha + b, atol=1e-8)
