@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.operators.models import neighbors
 from quarry.operators.models.neighbors import _nearest, nearest_by_pivots
 from quarry.operators.ranges import as_of, discounted_scan, fold_back, interval_join, interval_sums
 from quarry.plans.operator_queries import stream_deduplicated, stream_recent
@@ -117,6 +118,26 @@ def test_pivots_against_all_pairs(spark, pivots, rows, asked):
         assert got == sorted((int(ids[q]), r + 1, int(ids[p]), float(y[p])) for q in range(len(x)) for r, p in enumerate(place[q]))
 
 
+def test_tiles_where_pivots_tell_nothing_apart(spark, monkeypatch):
+    """Unclustered vectors, copies among them: queries aren't sent to each cell, and tiles of several sizes find the same neighbours."""
+    assert neighbors.tiling(600_000, 600_000, 100 * 600_000, 6) == (8, 8)  # 16 rows moved for each instead of 100
+    assert neighbors.tiling(600_000, 600_000, 3 * 600_000, 6) is None
+    monkeypatch.setattr(neighbors, "TILE_ROWS", 90)
+    monkeypatch.setattr(neighbors, "PIVOT_ROWS", 4)
+    cuts, tiling = [], neighbors.tiling
+    monkeypatch.setattr(neighbors, "tiling", lambda *a: cuts.append(tiling(*a)) or cuts[-1])
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 24))
+    x[200:230] = x[7]
+    ids, y = np.arange(300) * 2, rng.integers(0, 4, 300).astype(float)
+    df = spark.createDataFrame([(int(i), v.tolist(), float(c)) for i, v, c in zip(ids, x, y)], "row_id long, x array<double>, y double").repartition(5)
+    for k in (1, 5, 400):
+        got = sorted(map(tuple, nearest_by_pivots(df, df, k, 64).select("query", "rank", "neighbor", "y").collect()))
+        place, _ = _nearest(x, x, ids, k)
+        assert got == sorted((int(ids[q]), r + 1, int(ids[p]), float(y[p])) for q in range(300) for r, p in enumerate(place[q]))
+    assert cuts[1] == (4, 4)
+
+
 def test_csv_rows_stay(spark, tmp_path):
     f = tmp_path / "a.csv"
     f.write_text("a,b\n1,x\n99999,y\n,z\n\n   \n,\n3,w\n")
