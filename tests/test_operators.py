@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,31 @@ def test_cells_with_all(spark, monkeypatch):
     assert repr(linalg.rounded(v, 6).tolist()) == "[1e-06, -1e-06, 3e-06, 0.0, 1e+308, inf, 0.123456]"
 
 
+def test_cells_by_value(spark, monkeypatch, tmp_path):
+    """Cells of a task stand ordered by value and take less disk than 8 bytes a value; the grid is whole, also in shares of queries, whose rows are dealt once."""
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 1)
+    x = np.random.default_rng(7).normal(size=(2400, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "row_id long, x array<double>")
+    f = lambda a, b: kernels.kernel_matrix("rbf", a, b, 0.7)
+    linalg.cells_with_all(df, df, f, 6).write.parquet(str(tmp_path / "cells"))
+    files = list((tmp_path / "cells").glob("*.parquet"))
+    assert sum(p.stat().st_size for p in files) < 6 * 2400 * 2400
+    got, i, j = np.full((2400, 2400), np.nan), *(np.concatenate([pq.read_table(p).column(c).to_numpy() for p in files]) for c in "ij")
+    got[i, j] = np.concatenate([pq.read_table(p).column("v").to_numpy() for p in files])
+    assert len(i) == 2400 * 2400 and np.abs(got - f(x, x)).max() < 5.1e-7
+
+    monkeypatch.setattr(linalg, "QUERIES", 9)
+    monkeypatch.setattr(linalg, "ORDERED_CELLS", 1)
+    small = spark.createDataFrame([*enumerate(x[:20].tolist()), (20, None)], "row_id long, x array<double>")
+    cells = linalg.cells_with_all(small, small, f, 6)
+    rows = cells.withColumn("task", F.spark_partition_id()).collect()
+    assert {(r["i"], r["j"]) for r in rows} == {(i, j) for i in range(21) for j in range(21)} and len(rows) == 21 * 21
+    assert all((r["v"] is None) == (20 in (r["i"], r["j"])) for r in rows) and all(abs(r["v"] - f(x[[r["i"]]], x[[r["j"]]])[0, 0]) < 5.1e-7 for r in rows if r["v"] is not None)
+    assert all(a["v"] <= b["v"] for a, b in zip(rows, rows[1:]) if a["task"] == b["task"] and None not in (a["v"], b["v"]))
+    assert linalg.by_value(np.array([3e-6, np.nan, -1.0, 1e300]), 6).tolist() == [2, 0, 3, 1] and linalg.by_value(np.array([2.5, -1.0, 0.0]), 6).tolist() == [1, 2, 0]
+
+
 def test_lexer():
     kinds = text.tokenize("exp(x) + max(1.25, _y2) - sigmoid(z) / min(abs(.5), log2)")
     assert len(kinds) == 27 and kinds[-1].kind == "end"
