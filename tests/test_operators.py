@@ -93,7 +93,10 @@ def test_cells_by_value(spark, monkeypatch, tmp_path):
     assert {(r["i"], r["j"]) for r in rows} == {(i, j) for i in range(21) for j in range(21)} and len(rows) == 21 * 21
     assert all((r["v"] is None) == (20 in (r["i"], r["j"])) for r in rows) and all(abs(r["v"] - f(x[[r["i"]]], x[[r["j"]]])[0, 0]) < 5.1e-7 for r in rows if r["v"] is not None)
     assert all(a["v"] <= b["v"] for a, b in zip(rows, rows[1:]) if a["task"] == b["task"] and None not in (a["v"], b["v"]))
-    assert linalg.by_value(np.array([3e-6, np.nan, -1.0, 1e300]), 6).tolist() == [2, 0, 3, 1] and linalg.by_value(np.array([2.5, -1.0, 0.0]), 6).tolist() == [1, 2, 0]
+    for v, places in (([[3e-6, np.nan], [-1.0, 1e300]], [(1, 0), (0, 0), (1, 1), (0, 1)]), ([[2.5, -1.0, 0.0]], [(0, 1), (0, 2), (0, 0)])):
+        steps = list(linalg.by_value(np.array(v), 6, 2))
+        assert [(j, i) for js, i_s, _ in steps for j, i in zip(js.tolist(), i_s.tolist(), strict=True)] == places
+        assert np.array_equal(np.concatenate([x[2] for x in steps]), [v[j][i] for j, i in places], equal_nan=True)
 
 
 def test_lexer():
